@@ -16,7 +16,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    plain = F.coalesce(text, F.lit(""))
+    for space in "\t\n\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    # splitting at one character needs no regular expression; runs leave empty strings
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def n_words(text: Column) -> Column:

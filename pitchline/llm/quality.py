@@ -48,6 +48,9 @@ POLICIES = (
 )
 CURRENT = POLICIES[-1]
 
+_START_BITS = 20
+_STARTS = (1 << _START_BITS) - 1
+
 
 def repeated_words(w: Column, window: int = 3) -> Column:
     """How many words of array ``w`` lie in a window of words found twice or more.
@@ -55,20 +58,32 @@ def repeated_words(w: Column, window: int = 3) -> Column:
     Windows are compared by 64-bit hash; sorting (hash, start) pairs inside
     the row finds the repeats in n log n, without a shuffle.
     """
-    starts = F.when(F.size(w) >= window, F.sequence(F.lit(0), F.size(w) - window)).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: F.struct(F.xxhash64(*(F.get(w, i + k) for k in range(window))).alias("h"), i.alias("i")))
-
-    def repeats(s: Column) -> Column:
-        same = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
-        return F.array_sort(F.transform(F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
+    hashed = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, window)))), F.lit(1), F.greatest(F.size(w) - (window - 1), F.lit(0)))
 
     def covered(p: Column) -> Column:
         fresh = F.transform(p, lambda x, j: F.when(j == 0, F.lit(window)).otherwise(F.least(F.lit(window), x - F.get(p, j - 1))))
         return F.aggregate(fresh, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
-    def count(pairs: Column) -> Column:
-        plain = F.size(F.array_distinct(F.transform(pairs, lambda x: x["h"]))) == F.size(pairs)
-        return F.when(plain, F.lit(0).cast("long")).otherwise(let(let(F.sort_array(pairs), repeats), covered))
+    def packed(h: Column) -> Column:
+        """Starts of repeats: hash bits above, start below, sorted as plain longs;
+        neighbours that agree in the hash bits are compared by the whole hash."""
+        start = lambda x: x.bitwiseAND(F.lit(_STARTS).cast("long")).cast("int")
+        hash_of = lambda x: F.get(h, start(x))
+        top = lambda x: F.shiftright(x, _START_BITS)
+        same = lambda s, x, j: F.coalesce((top(F.get(s, j)) == top(x)) & (hash_of(F.get(s, j)) == hash_of(x)), F.lit(False))
+        keys = F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~_STARTS).cast("long")).bitwiseOR(i.cast("long")))
+        return let(F.sort_array(keys), lambda s: F.array_sort(F.transform(F.filter(s, lambda x, j: same(s, x, j - 1) | same(s, x, j + 1)), start)))
+
+    def paired(h: Column) -> Column:
+        """The same for texts with more words than a start has bits for."""
+        same = lambda s, x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
+        pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        return let(F.sort_array(pairs), lambda s: F.array_sort(F.transform(F.filter(s, lambda x, j: same(s, x, j - 1) | same(s, x, j + 1)), lambda x: x["i"])))
+
+    def count(h: Column) -> Column:
+        plain = F.size(F.array_distinct(h)) == F.size(h)
+        starts = F.when(F.size(h) <= _STARTS, packed(h)).otherwise(paired(h))
+        return F.when(plain, F.lit(0).cast("long")).otherwise(let(starts, covered))
 
     return let(hashed, count)
 
