@@ -4,13 +4,26 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchline.llm import chat, licenses, mixing, packing, quality, secrets, simhash
+from pitchline.llm import chat, chroma, licenses, mixing, packing, quality, secrets, simhash, suffixes
 from pitchline.llm.common import read
 
 
+def _wav(text: Column) -> Column:
+    """A text's bytes as the samples of an 8 kHz, 8-bit mono recording."""
+    data = F.coalesce(text, F.lit("")).cast("binary")
+    size = F.concat(*(F.unhex(F.substring(F.lpad(F.hex(F.length(data)), 8, "0"), k, 2)) for k in (7, 5, 3, 1)))
+    head = "524946460000000057415645666d74201000000001000100401f0000401f00000100080064617461"
+    return F.concat(F.unhex(F.lit(head)), size, data)
+
+
+def op1_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", _wav(F.col("text")).alias("audio"))
+    return chroma.find_recordings(docs, "doc_id", "audio", F.col("doc_id") % 100 == 0)
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -70,11 +83,15 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_secret_scan, op4_license_scan, op5_best_fit_packing, op6_chat_format, op7_quality_ledger, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_chroma_alignment, op2_simhash_dedup, op3_secret_scan, op4_license_scan, op5_best_fit_packing, op6_chat_format, op7_quality_ledger, op9_suffix_dedup, op10_source_mix)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
