@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchline.llm import chat, chroma, licenses, mixing, packing, quality, secrets, simhash, suffixes
+from pitchline.llm import chat, chroma, licenses, mixing, packing, pii, quality, secrets, simhash, suffixes
 from pitchline.llm.common import read
 
 
@@ -83,6 +83,12 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.pseudonymize(docs)
+    return out.select("doc_id", "text", *(F.col("pii_counts")[k].alias(f"n_{k}") for k in pii.KINDS))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -91,7 +97,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_chroma_alignment, op2_simhash_dedup, op3_secret_scan, op4_license_scan, op5_best_fit_packing, op6_chat_format, op7_quality_ledger, op9_suffix_dedup, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_chroma_alignment, op2_simhash_dedup, op3_secret_scan, op4_license_scan, op5_best_fit_packing, op6_chat_format, op7_quality_ledger, op8_pii_surrogates, op9_suffix_dedup, op10_source_mix)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
