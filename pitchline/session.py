@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def shuffle_files_end_with_query(spark: SparkSession):
+    """Within this block each query's shuffle files go when it has ended."""
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """``key`` is ``value`` within this block; what it was before comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, partitioned_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once below the shared folder and return a scan of it.
 
@@ -56,7 +78,8 @@ def cut(df: DataFrame, partitioned_by: tuple[str, ...] = ()) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     if partitioned_by:
         writer = writer.partitionBy(*partitioned_by)
-    writer.parquet(path)
+    with shuffle_files_end_with_query(spark):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pitchline_cut = path
     return out
