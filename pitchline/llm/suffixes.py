@@ -9,9 +9,10 @@ that depth.  Three passes over blocks of whole documents:
    position in common, followed by ``length - V + 1`` equal bytes.  Samples
    are ranked bucket by bucket; a sample whose string is unique rules out every
    suffix that has no other sample.
-2. *Suffix buckets.*  The suffixes left are dealt into buckets by their key and
-   sorted one bucket at a time, by key and then by document; all but the first
-   of a key have an earlier start.
+2. *Suffix buckets.*  The suffixes left are taken in parts by their leading
+   bytes, one part at a time to bound the disk; a part is dealt into buckets by
+   key, and each bucket sorted by key and then by document: all but the first of
+   a key have an earlier start.
 3. *Covering.*  Each block marks the bytes that those strings cover.
 
 Keys are 64-bit hashes of the strings next to the bits that choose a bucket.
@@ -24,40 +25,32 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchline.session import cut, small_batches
+from pitchline.session import cut, setting, shuffle_files_end_with_query, small_batches
 
 V = 73
 #: A perfect difference set: every residue modulo V is a difference of two members.
 COVER = (1, 2, 4, 8, 16, 32, 37, 55, 64)
 BLOCK_BYTES, PARTITION_BYTES = 2 << 20, 32 << 20
 BUCKET_ENTRIES = 1 << 20
+#: Suffixes are taken in so many parts by their leading bytes, one part at a time.
+PARTS = 4
 
 _BLOCK = "k long, seq int, ids array<long>, lens array<long>, data binary"
 _SENT = "k long, seq int, bucket int, keys binary, orders array<long>, runs array<int>"
 _BACK = "k long, seq int, bucket int, bits binary"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _NULL = -(1 << 63)
 
 
-@contextmanager
-def _rows_a_batch(spark: SparkSession, rows: int):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _hash(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """64-bit keys of the ``length``-byte strings (8 or more) that start at ``at``."""
     h = np.full(len(at), np.uint64(length), np.uint64)
@@ -86,8 +79,8 @@ class _Block:
         at = np.concatenate(at) if at else np.empty(0, np.int64)
         return at, _hash(self.words, at, need)
 
-    def candidates(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of whole strings with one of the repeated samples in reach, and their keys."""
+    def candidates(self, repeated: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of whole strings of a part with a repeated sample in reach, and their keys."""
         change = np.zeros(len(self.data) + 1, np.int32)
         doc = np.searchsorted(self.starts, repeated, "right") - 1
         np.add.at(change, np.maximum(repeated - V + 1, self.starts[doc]), 1)
@@ -96,6 +89,7 @@ class _Block:
         for s, n in zip(self.starts, self.lens):
             wanted[max(s, s + n - self.length + 1) : s + n] = False
         at = np.nonzero(wanted)[0]
+        at = at[(self.words[at] * _M1) >> np.uint64(32) & np.uint64(PARTS - 1) == part]
         return at, _hash(self.words, at, self.length)
 
     def documents(self, at: np.ndarray) -> np.ndarray:
@@ -214,9 +208,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a block is keyed by its first document, which hashes to the partition it was built in:
     # every task writes one bucket, and later joins by key do not move the texts again
     dealt = rows.repartition(n, "k").sortWithinPartitions("k", F.xxhash64("data"))
-    dealt.mapInPandas(_build(block_bytes), _BLOCK).write.bucketBy(n, "k").option("compression", "zstd").saveAsTable(name)
+    with shuffle_files_end_with_query(spark):
+        dealt.mapInPandas(_build(block_bytes), _BLOCK).write.bucketBy(n, "k").option("compression", "zstd").saveAsTable(name)
     bits = max(0, math.ceil(math.log2(max(1, total * len(COVER) / V / BUCKET_ENTRIES))))
-    suffix_bits = max(0, math.ceil(math.log2(max(1, total / 2 / BUCKET_ENTRIES))))
+    suffix_bits = max(0, math.ceil(math.log2(max(1, total / 2 / PARTS / BUCKET_ENTRIES))))
 
     def sample(batches):
         for batch in batches:
@@ -227,35 +222,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     first, _, borders = _dealt(keys, bits)
                     yield _send(b.k, b.seq, first, borders, keys[first].view(np.uint8).reshape(-1, 8)[:, :5])
 
-    def repeated(b) -> tuple[_Block, np.ndarray, np.ndarray]:
+    def repeated(b) -> tuple[_Block, np.ndarray]:
         block = _Block(b.data, b.lens, length)
         at, keys = block.samples()
         if not len(at):
-            return block, at, keys
+            return block, at
         first, inverse, borders = _dealt(keys, bits)
         often = _answers(b.samples, b.seq, len(first), borders) | (np.bincount(inverse) > 1)
-        return block, *block.candidates(at[often[inverse]])
+        return block, at[often[inverse]]
 
-    def suffixes(batches):
-        for batch in batches:
-            for b in batch.itertuples():
-                block, at, keys = repeated(b)
-                if len(at):
-                    first, _, borders = _dealt(keys, suffix_bits)
-                    first = _sort_in_buckets(first, borders)
-                    yield _send(b.k, b.seq, first, borders, keys[first], block.documents(at[first]), b.ids)
+    def suffixes(part: int):
+        def run(batches):
+            for batch in batches:
+                for b in batch.itertuples():
+                    block, often = repeated(b)
+                    if len(often):
+                        at, keys = block.candidates(often, part)
+                        first, _, borders = _dealt(keys, suffix_bits)
+                        first = _sort_in_buckets(first, borders)
+                        yield _send(b.k, b.seq, first, borders, keys[first], block.documents(at[first]), b.ids)
+
+        return run
 
     def finish(batches):
         for batch in batches:
             for b in batch.itertuples():
-                block, at, keys = repeated(b)
+                block, often = repeated(b)
                 gone = np.zeros(len(b.data), bool)
-                if len(at):
+                for part in range(PARTS if len(often) else 0):
+                    at, keys = block.candidates(often, part)
                     first, inverse, borders = _dealt(keys, suffix_bits)
                     sent = _sort_in_buckets(first, borders)
                     late = np.ones(len(at), bool)
-                    late[sent] = _answers(b.suffixes, b.seq, len(sent), borders)
-                    gone = block.covered(at[late])
+                    late[sent] = _answers([x for x in b.suffixes if x["part"] == part] if b.suffixes is not None else None, b.seq, len(sent), borders)
+                    gone |= block.covered(at[late])
                 data, out = np.frombuffer(b.data, np.uint8), []
                 for k, s, size in zip(b.ids, block.starts, block.lens):
                     g = gone[s : s + size]
@@ -265,16 +265,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    def gathered(sent: DataFrame, judge, as_name: str) -> DataFrame:
-        back = sent.groupBy("bucket").applyInPandas(judge, _BACK)
-        return cut(back.groupBy("k").agg(F.collect_list(F.struct("seq", "bucket", "bits")).alias(as_name)))
+    def judged(sent: DataFrame, judge) -> DataFrame:
+        return cut(sent.groupBy("bucket").applyInPandas(judge, _BACK))
 
     blocks = spark.table(name)
     try:
-        with _rows_a_batch(spark, 4):
-            samples = gathered(blocks.mapInPandas(sample, _SENT), _repeats, "samples")
+        with setting(spark, _BATCH, "4"):
+            samples = judged(blocks.mapInPandas(sample, _SENT), _repeats)
+            samples = cut(samples.groupBy("k").agg(F.collect_list(F.struct("seq", "bucket", "bits")).alias("samples")))
             known = blocks.join(samples, "k", "left")
-            later = gathered(known.mapInPandas(suffixes, _SENT), _later, "suffixes")
-            return cut(known.join(later, "k", "left").mapInPandas(finish, _OUT))
+            later = [judged(known.mapInPandas(suffixes(p), _SENT), _later).withColumn("part", F.lit(p)) for p in range(PARTS)]
+            later = reduce(DataFrame.unionByName, later).groupBy("k").agg(F.collect_list(F.struct("part", "seq", "bucket", "bits")).alias("suffixes"))
+            return cut(known.join(cut(later), "k", "left").mapInPandas(finish, _OUT))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
