@@ -238,9 +238,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     block, often = repeated(b)
                     if len(often):
                         at, keys = block.candidates(often, part)
-                        first, _, borders = _dealt(keys, suffix_bits)
-                        first = _sort_in_buckets(first, borders)
-                        yield _send(b.k, b.seq, first, borders, keys[first], block.documents(at[first]), b.ids)
+                        if len(at):
+                            first, _, borders = _dealt(keys, suffix_bits)
+                            first = _sort_in_buckets(first, borders)
+                            yield _send(b.k, b.seq, first, borders, keys[first], block.documents(at[first]), b.ids)
 
         return run
 
