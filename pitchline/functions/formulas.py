@@ -35,6 +35,36 @@ def margin_of_victory(margin: Column, gap: Column) -> Column:
     return F.greatest(F.lit(0.5), F.least(F.lit(2.5), F.pow(F.abs(margin) + 5, F.lit(0.7)) / F.greatest(F.lit(1.0), 10 + 0.004 * gap)))
 
 
+def clamp(x: Column, low: float, high: float) -> Column:
+    """x within [low, high]; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
+
+
+def combined_difference(batter: Column, bowler: Column, venue: Column, session: Column, weights: tuple[float, float, float, float], base: float = 1400.0) -> Column:
+    """Weighted rating points in the batter's favour."""
+    wb, wo, wp, ws = weights
+    return wb * (batter - base) + wo * (base - bowler) + wp * (venue - base) + ws * (session - base)
+
+
+def expected_runs(baseline: Column, difference: Column, runs_per_100: float) -> Column:
+    return clamp(baseline + difference * runs_per_100 / 100, 0.0, 6.0)
+
+
+def expected_wicket(base_rate: Column, difference: Column, divisor: float) -> Column:
+    """The base rate moved on the logit scale by a difference in the batter's favour."""
+    p = clamp(base_rate, 0.001, 0.999)
+    return clamp(1 / (1 + F.exp(-(F.ln(p / (1 - p)) - difference / divisor))), 0.001, 0.5)
+
+
+def normalized_margin(margin: Column, scale: float) -> Column:
+    return F.tanh(margin / scale)
+
+
+def decayed_k(n: Column, least: float, most: float, half: float) -> Column:
+    """The update step: most for a new entity, least for one with long history."""
+    return least + (most - least) * F.exp(-n / half)
+
+
 def uniform(seed: int, *key: Column) -> Column:
     """A draw in [0, 1) that depends on the key only, not on partitions."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11) / float(1 << 53)

@@ -34,3 +34,23 @@ def pagerank(e: DataFrame, steps: int, damping: float = 0.85) -> DataFrame:
         b2 = eb.join(va, "a").groupBy("b").agg((F.lit((1 - damping) / max(nb, 1)) + damping * F.sum(F.col("p") * F.col("r"))).alias("r"))
         va, vb = cut(a2), cut(b2)
     return va.select("a", F.col("r").alias("rank"))
+
+
+def components(e: DataFrame) -> DataFrame:
+    """``node, component``: the smallest node reachable, for every node of the edges ``a, b``.
+
+    Each round takes the smallest label of the neighbours and then the label of
+    that label, so labels jump and the rounds grow with the logarithm of a
+    path's length in practice.  Labels are cut every round.
+    """
+    both = cut(e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    now = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+    while True:
+        near = both.join(now.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("_near"))
+        step = now.join(near, "u").select("u", F.least("m", "_near").alias("m"))
+        jump = now.select(F.col("u").alias("m"), F.col("m").alias("_far"))
+        after = cut(step.join(jump, "m", "left").select("u", F.least("m", "_far").alias("m")))
+        stable = after.join(now.withColumnRenamed("m", "_was"), "u").where("m <> _was").isEmpty()
+        now = after
+        if stable:
+            return now.select(F.col("u").alias("node"), F.col("m").alias("component"))

@@ -3,15 +3,64 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def ema_fold(df: DataFrame, key: str, order: list[str], value: str, alpha: float, start: float) -> DataFrame:
-    """``key, n, ema``: the constant-step average of each key's values in order."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_x")))).alias("_s"))
-    fold = F.aggregate("_s", F.lit(float(start)), lambda a, r: a * (1 - alpha) + r["_x"] * alpha)
-    return rows.select(key, F.size("_s").cast("long").alias("n"), fold.alias("ema"))
+    """``key, n, ema``: the constant-step average of each key's values in order.
+
+    The recurrence is linear, so its last value is a weighted sum: the j-th row
+    from the end weighs alpha * (1 - alpha)^(j - 1).  No key's values are collected.
+    """
+    back = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+    rows = df.select(key, *order, F.col(value).alias("_x")).withColumn("_j", F.row_number().over(back))
+    weight = F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("_j") - 1)
+    total = F.sum(weight * F.col("_x")) + F.pow(F.lit(1 - alpha), F.count("*")) * start
+    return rows.groupBy(key).agg(F.count("*").alias("n"), total.alias("ema"))
+
+
+def adaptive_ema(df: DataFrame, key: str, order: list[str], value: str, most: float, least: float, half: float, start: float) -> DataFrame:
+    """``key, n, ema`` with the step least + (most - least) * e^(-i / half) at a key's i-th row, from 0.
+
+    The weight of a row is its step times what the later steps leave of it.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = df.select(key, *order, F.col(value).alias("_x")).withColumn("_i", F.row_number().over(w) - 1)
+    rows = rows.withColumn("_a", least + (most - least) * F.exp(-F.col("_i") / half))
+    rows = rows.withColumn("_upto", F.sum(F.ln(1 - F.col("_a"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # e^(all - upto) is what the later rows leave; the total is the last prefix
+    rows = rows.withColumn("_all", F.sum(F.ln(1 - F.col("_a"))).over(Window.partitionBy(key)))
+    total = F.sum(F.col("_a") * F.exp(F.col("_all") - F.col("_upto")) * F.col("_x")) + F.exp(F.max("_all")) * start
+    return rows.groupBy(key).agg(F.count("*").alias("n"), total.alias("ema"))
+
+
+BLOCK = 4096
+
+
+def bounded_fold(df: DataFrame, key: str, order: list[str], keep: Column, add: Column, low: float, high: float, start: float) -> DataFrame:
+    """``key, n, level``: the fold level = clamp(keep * level + add, low, high) in order, keep >= 0.
+
+    Clamped affine maps are closed under composition, so a key's rows are
+    composed in blocks of 4,096 and then block by block: a key with many rows
+    is no longer one task's list.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = df.withColumn("_rn", F.row_number().over(w) - 1)
+    step = F.struct(F.col("_rn").alias("i"), keep.cast("double").alias("a"), add.cast("double").alias("b"), F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi"))
+    blocks = rows.groupBy(key, F.floor(F.col("_rn") / BLOCK).alias("_b")).agg(F.array_sort(F.collect_list(step)).alias("_s"), F.count("*").alias("_n"))
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+
+    def after(f: Column, g: Column) -> Column:
+        """g after f."""
+        through = lambda x: F.least(g["hi"], F.greatest(g["lo"], g["a"] * x + g["b"]))
+        end = lambda x: F.when(g["a"] == 0, through(F.lit(0.0))).otherwise(through(x))
+        return F.struct((g["a"] * f["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"), end(f["lo"]).alias("lo"), end(f["hi"]).alias("hi"))
+
+    one = blocks.select(key, "_b", "_n", F.aggregate("_s", none, after).alias("f"))
+    whole = one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_b", "f"))).alias("_s"), F.sum("_n").alias("n"))
+    level = F.aggregate("_s", F.lit(float(start)), lambda x, g: F.least(g["f"]["hi"], F.greatest(g["f"]["lo"], g["f"]["a"] * x + g["f"]["b"])))
+    return whole.select(key, "n", level.alias("level"))
 
 
 def elo_scan(matches: DataFrame, league: str, order: list[str], home: str, away: str, score: str, k: float = 20.0, start: float = 1400.0) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from pitchline.session import cut
+
 
 def full_rolling_sum(value: Column, w: WindowSpec, n: int) -> Column:
     """Sum of the last n rows; 0 until n rows are there."""
@@ -17,19 +19,64 @@ def running_before(value: Column, w: WindowSpec) -> Column:
     return F.avg(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
+def global_running_sum(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over all rows up to this one in the order of
+    ``by``, which must be unique, and ``_all``, the sum over the whole frame.
+
+    A window without partitions would put every row in one task.  Rows are
+    dealt by range instead and summed inside their range; what lies before a
+    range comes from one total for each range, a table as long as the number
+    of partitions.  An empty frame gives no rows.
+    """
+    ranged = cut(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(F.sum(value).alias("_t"))
+    steps = Window.orderBy("_part")  # a row for each partition
+    before = totals.select("_part", (F.sum("_t").over(steps) - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy()).alias("_all"))
+    inside = Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn(name, F.sum(value).over(inside)).join(F.broadcast(before), "_part")
+    return placed.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def average_rank_percent(df: DataFrame, by: str, name: str = "pct") -> DataFrame:
     """100 * average rank / rows; ties share the mean of their ranks.
 
     Ranks are taken over the distinct values and their counts, so a frame with
     many rows for each value is aggregated before it is ordered.
     """
-    counts = df.groupBy(by).agg(F.count("*").alias("_n"))
-    order = Window.orderBy(by)
-    placed = counts.withColumn("_below", F.sum("_n").over(order) - F.col("_n")).withColumn("_all", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    placed = placed.select(by, ((F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_all") * 100).alias(name))
+    placed = global_running_sum(df.groupBy(by).agg(F.count("*").alias("_n")), [by], "_n", "_upto")
+    placed = placed.select(by, ((F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_all") * 100).alias(name))
     return df.join(placed, by)
 
 
+def global_ntile(df: DataFrame, by: list[str], k: int, name: str = "tile") -> DataFrame:
+    """``df`` with the bucket 1..k of each row in the order of ``by``, which must be unique."""
+    placed = global_running_sum(df.withColumn("_one", F.lit(1).cast("long")), by, "_one", "_rn")
+    i = F.col("_rn") - 1
+    small, longer = F.floor(F.col("_all") / k), F.col("_all") % k
+    inside_long = longer * (small + 1)
+    tile = F.when(i < inside_long, F.floor(i / (small + 1))).otherwise(longer + F.floor((i - inside_long) / F.greatest(small, F.lit(1))))
+    return placed.withColumn(name, (tile + 1).cast("long")).drop("_rn", "_all", "_one")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: an aggregate, not a sort."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_r")).select("_r.*")
+
+
+def prior_mean(df: DataFrame, key: str, day: str, tie: str, value: Column, n: int, name: str) -> DataFrame:
+    """``df`` with the mean of the key's last ``n`` values on days strictly before the row's day.
+
+    Rows of the same day never see each other, so a plain row frame would leak.
+    Prefix sums are looked up by position instead: an equi-join, no range join.
+    Null where nothing came before.
+    """
+    order = Window.partitionBy(key).orderBy(day, tie)
+    rows = df.withColumn("_rn", F.row_number().over(order)).withColumn("_cum", F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    same_day = Window.partitionBy(key, day)
+    rows = rows.withColumn("_upto", F.min("_rn").over(same_day) - 1)
+    sums = rows.select(F.col(key).alias("_k"), F.col("_rn").alias("_at"), F.col("_cum").alias("_s"))
+    hi, lo = sums.select("_k", "_at", F.col("_s").alias("_hi")), sums.select("_k", "_at", F.col("_s").alias("_lo"))
+    out = rows.join(hi, (F.col(key) == hi["_k"]) & (F.col("_upto") == hi["_at"]), "left").drop("_k", "_at")
+    out = out.join(lo, (F.col(key) == lo["_k"]) & (F.col("_upto") - n == lo["_at"]), "left").drop("_k", "_at")
+    mean = F.try_divide(F.col("_hi") - F.coalesce("_lo", F.lit(0)), F.least(F.col("_upto"), F.lit(n)))
+    return out.withColumn(name, mean).drop("_rn", "_cum", "_upto", "_hi", "_lo")

@@ -9,8 +9,9 @@ import pytest
 
 from pitchline.functions import formulas as fx
 from pitchline.operators import asof, ratings
-from pitchline.plans.queries import ORACLE, QUERIES
+from pitchline.plans import queries, relational
 
+QUERIES, ORACLE = queries.QUERIES | relational.QUERIES, queries.ORACLE | relational.ORACLE
 DATA = "/root/testdata/sf0.001"
 
 
