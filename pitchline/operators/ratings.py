@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,19 +66,68 @@ def bounded_fold(df: DataFrame, key: str, order: list[str], keep: Column, add: C
     return whole.select(key, "n", level.alias("level"))
 
 
+def _scan(df: DataFrame, league: str, order: list[str], new_state: Callable, step: Callable, schema: str) -> DataFrame:
+    """One ordered pass for each league, in Arrow batches: the task holds the ratings, never the league's rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = object(), None
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if getattr(r, league) != at:
+                    at, state = getattr(r, league), new_state()
+                out.append(step(state, r))
+            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in schema.split(", ")])
+
+    return df.repartition(league).sortWithinPartitions(league, *order).mapInPandas(run, schema)
+
+
 def elo_scan(matches: DataFrame, league: str, order: list[str], home: str, away: str, score: str, k: float = 20.0, start: float = 1400.0) -> DataFrame:
-    """Ratings before and after each match; coupled entities, so one ordered scan a league."""
+    """Ratings before each match; coupled entities, so one ordered pass a league."""
     schema = f"{league} {matches.schema[league].dataType.simpleString()}, {home} long, {away} long, home_before double, away_before double, change double"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rating: dict[int, float] = {}
-        out = []
-        for r in rows.sort_values(order).itertuples(index=False):
-            h, a = getattr(r, home), getattr(r, away)
-            rh, ra = rating.get(h, start), rating.get(a, start)
-            change = k * (getattr(r, score) - 1 / (1 + 10 ** ((ra - rh) / 400)))
-            rating[h], rating[a] = rh + change, ra - change
-            out.append((getattr(r, league), h, a, rh, ra, change))
-        return pd.DataFrame(out, columns=[league, home, away, "home_before", "away_before", "change"])
-
-    return matches.groupBy(league).applyInPandas(run, schema)
+    def step(rating: dict, r) -> tuple:
+        h, a = getattr(r, home), getattr(r, away)
+        rh, ra = rating.get(h, start), rating.get(a, start)
+        change = k * (getattr(r, score) - 1 / (1 + 10 ** ((ra - rh) / 400)))
+        rating[h], rating[a] = rh + change, ra - change
+        return getattr(r, league), h, a, rh, ra, change
+
+    return _scan(matches, league, order, dict, step, schema)
+
+
+# Shares of the four ratings, and the step's bounds and half-life in balls.
+SHARES = (0.45, 0.3, 0.1, 0.15)
+K_LEAST, K_MOST, K_HALF = 4.0, 24.0, 500.0
+
+
+def three_way_scan(balls: DataFrame, league: str, order: list[str], match: str, batter: str, bowler: str, venue: str, runs: str, baseline: float = 1.3, per_100: float = 0.8, start: float = 1400.0) -> DataFrame:
+    """Ratings before each ball of batter, bowler, venue and the venue's current session.
+
+    Every ball reads four ratings and moves them by its surprise, runs over
+    expected runs; the bowler's moves the other way.  The session rating
+    starts anew with each match.  Steps shrink with an entity's history.
+    """
+    kind = balls.schema[league].dataType.simpleString()
+    schema = f"{league} {kind}, {match} long, {batter} long, {bowler} long, {venue} long, batter_before double, bowler_before double, venue_before double, session_before double, expected double, surprise double"
+
+    def move(held: dict, key, share: float, by: float) -> None:
+        value, n = held.get(key, (start, 0))
+        k = K_LEAST + (K_MOST - K_LEAST) * math.exp(-n / K_HALF)
+        held[key] = (value + k * share * by, n + 1)
+
+    def step(state: dict, r) -> tuple:
+        m, x, y, v = (getattr(r, c) for c in (match, batter, bowler, venue))
+        if state.get("match") != m:
+            state["match"], state["session"] = m, {}
+        held = [(state.setdefault("batter", {}), x), (state.setdefault("bowler", {}), y), (state.setdefault("venue", {}), v), (state["session"], v)]
+        before = [h.get(key, (start, 0))[0] for h, key in held]
+        sides = (1, -1, 1, 1)
+        gap = sum(w * s * (b - start) for w, s, b in zip(SHARES, sides, before))
+        expected = min(6.0, max(0.0, baseline + gap * per_100 / 100))
+        surprise = getattr(r, runs) - expected
+        for (h, key), w, s in zip(held, SHARES, sides):
+            move(h, key, w, s * surprise)
+        return getattr(r, league), m, x, y, v, *before, expected, surprise
+
+    return _scan(balls, league, order, dict, step, schema)

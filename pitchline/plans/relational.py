@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchline.functions import formulas as fx
-from pitchline.operators import asof, graph, ratings, windows
+from pitchline.operators import asof, graph, ratings, simulate, windows
 from pitchline.sources.tables import table
+from pitchline.streaming import ingest
 
 QUERIES, ORACLE = {}, {}
 
@@ -208,7 +209,7 @@ def q_expected_outcome(spark: SparkSession, d: str) -> DataFrame:
 _GRID = [(a, b) for a in (900.0, 1000.0, 1100.0, 1200.0) for b in (0.0, 500.0, 1000.0)]
 
 
-@query(f"WITH g AS (SELECT unnest([{', '.join(str(a) for a, _ in _GRID)}]) AS slope, unnest([{', '.join(str(b) for _, b in _GRID)}]) AS base) SELECT slope, base, round(sqrt(avg(pow(l_extendedprice - base - slope * l_quantity, 2))), 4) AS rmse FROM lineitem, g GROUP BY ALL")
+@query(f"WITH g AS (SELECT unnest([{', '.join(str(a) for a, _ in _GRID)}]) AS slope, unnest([{', '.join(str(b) for _, b in _GRID)}]) AS base) SELECT slope::DOUBLE AS slope, base::DOUBLE AS base, round(sqrt(avg(pow(l_extendedprice - base - slope * l_quantity, 2))), 4) AS rmse FROM lineitem, g GROUP BY ALL")
 def q_grid_search(spark: SparkSession, d: str) -> DataFrame:
     """Every setting's error in one pass: a sum for each, not a copy of the rows for each."""
     errors = F.array(*(F.struct(F.lit(a).alias("slope"), F.lit(b).alias("base"), F.sqrt(F.avg(F.pow(F.col("l_extendedprice") - b - a * F.col("l_quantity"), F.lit(2)))).alias("rmse")) for a, b in _GRID))
@@ -233,11 +234,11 @@ def q_quintile_calibration(spark: SparkSession, d: str) -> DataFrame:
     return tiled.groupBy("tile").agg(F.count("*").alias("n"), F.round(F.avg(F.col("n_chars") / 4000.0), 6).alias("predicted"), F.round(F.avg("quality"), 6).alias("actual"))
 
 
-@query("WITH e AS (SELECT l_suppkey AS a, l_partkey AS b, count(*) AS n FROM lineitem GROUP BY ALL) SELECT a, round(sum(n * p_retailprice) / sum(n), 6) AS faced FROM e LEFT JOIN part ON b = p_partkey GROUP BY 1")
+@query("WITH e AS (SELECT l_suppkey AS a, l_partkey AS b, count(*) AS n FROM lineitem GROUP BY ALL) SELECT a, round(sum(n * p_retailprice) / sum(n), 4) AS faced FROM e LEFT JOIN part ON b = p_partkey GROUP BY 1")
 def q_weighted_opponent(spark: SparkSession, d: str) -> DataFrame:
     e = graph.edges(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity")
     part = table(spark, d, "part").select(F.col("p_partkey").alias("b"), "p_retailprice")
-    return e.join(part, "b", "left").groupBy("a").agg(F.round(F.try_divide(F.sum(F.col("n") * F.col("p_retailprice")), F.sum("n")), 6).alias("faced"))
+    return e.join(part, "b", "left").groupBy("a").agg(F.round(F.try_divide(F.sum(F.col("n") * F.col("p_retailprice")), F.sum("n")), 4).alias("faced"))
 
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -1 - l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node, min(seen) AS component FROM r GROUP BY 1")
@@ -261,11 +262,11 @@ def _credits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", F.inline(roles))
 
 
-@query(f"WITH v AS (SELECT l_orderkey, l_partkey, l_suppkey, {_VALUE} AS w FROM lineitem), c AS (SELECT l_orderkey, l_partkey AS player, 'batter' AS role, w FROM v UNION ALL SELECT l_orderkey, l_suppkey, 'bowler', -w FROM v) SELECT player, role, count(*) AS balls, count(DISTINCT l_orderkey) AS matches, round(sum(w), 6) AS wpa, round(avg((w > 0)::INT) * 100, 4) AS pct_positive, count(*) FILTER (abs(w) >= 0.08) AS clutch, round(sum(w) / count(DISTINCT l_orderkey), 6) AS per_match FROM c GROUP BY ALL")
+@query(f"WITH v AS (SELECT l_orderkey, l_partkey, l_suppkey, {_VALUE} AS w FROM lineitem), c AS (SELECT l_orderkey, l_partkey AS player, 'batter' AS role, w FROM v UNION ALL SELECT l_orderkey, l_suppkey, 'bowler', -w FROM v) SELECT player, role, count(*) AS balls, count(DISTINCT l_orderkey) AS matches, round(sum(w), 6) + 0.0 AS wpa, round(avg((w > 0)::INT) * 100, 4) AS pct_positive, count(*) FILTER (abs(w) >= 0.08) AS clutch, round(sum(w) / count(DISTINCT l_orderkey), 10) + 0.0 AS per_match FROM c GROUP BY ALL")
 def q_career_wpa(spark: SparkSession, d: str) -> DataFrame:
     """Summed by match first, so that the distinct count needs no second expansion."""
     match = _credits(spark, d).groupBy("l_orderkey", "player", "role").agg(F.count("*").alias("balls"), F.sum("w").alias("w"), F.count_if(F.col("w") > 0).alias("up"), F.count_if(F.abs("w") >= 0.08).alias("clutch"))
-    return match.groupBy("player", "role").agg(F.sum("balls").alias("balls"), F.count("*").alias("matches"), F.round(F.sum("w"), 6).alias("wpa"), F.round(F.sum("up") / F.sum("balls") * 100, 4).alias("pct_positive"), F.sum("clutch").alias("clutch"), F.round(F.sum("w") / F.count("*"), 6).alias("per_match"))
+    return match.groupBy("player", "role").agg(F.sum("balls").alias("balls"), F.count("*").alias("matches"), (F.round(F.sum("w"), 6) + 0.0).alias("wpa"), F.round(F.sum("up") / F.sum("balls") * 100, 4).alias("pct_positive"), F.sum("clutch").alias("clutch"), (F.round(F.sum("w") / F.count("*"), 10) + 0.0).alias("per_match"))
 
 
 @query("WITH p AS (SELECT o_custkey, sum(o_totalprice) AS spent FROM orders GROUP BY 1), j AS (SELECT c_custkey, spent FROM customer LEFT JOIN p ON c_custkey = o_custkey) SELECT c_custkey, round(coalesce(spent, (SELECT median(spent) FROM j)), 4) AS spent FROM j")
@@ -304,3 +305,24 @@ def q_playoff_sim(spark: SparkSession, d: str) -> DataFrame:
     for name, a, b in (("q1", "t0", "t1"), ("elim", "t2", "t3"), ("q2", "q1_l", "elim_w"), ("final", "q1_w", "q2_w")):
         sims = sims.withColumns(beats(name, a, b))
     return sims.groupBy("c_nationkey", F.col("final_w")["c_custkey"].alias("c_custkey")).agg(F.count("*").alias("titles"))
+
+
+@query()
+def q_three_way_elo(spark: SparkSession, d: str) -> DataFrame:
+    """Batter, bowler and venue ratings before each ball, by line status and flag."""
+    balls = table(spark, d, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("league"), "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_partkey").alias("batter"), F.col("l_suppkey").alias("bowler"), (F.col("l_orderkey") % 20).alias("venue"), F.least(F.floor(F.col("l_quantity") / 8), F.lit(6)).cast("double").alias("runs"))
+    return ratings.three_way_scan(balls, "league", ["l_shipdate", "l_orderkey", "l_linenumber", "batter", "bowler"], "l_orderkey", "batter", "bowler", "venue", "runs")
+
+
+@query()
+def q_innings_sim(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty innings of 60 balls from each vector's first seven entries taken as weights."""
+    weights = F.transform(F.slice("embedding", 1, 7), lambda x: F.abs(x.cast("double")) + 0.001)
+    p = table(spark, d, "embeddings").select("vec_id", weights.alias("p"))
+    return simulate.innings(p, "vec_id", "p", sims=20, balls=60, seed=11)
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of files, counted in tumbling windows."""
+    return ingest.window_totals(spark, d, "ts", "event_type", "value", "6 hours", only="events.parquet").select("event_type", "start", "n", F.round("total", 4).alias("total"))

@@ -1,0 +1,124 @@
+"""Operators against small examples worked out by plain loops."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pitchline.operators import graph, ratings, simulate, windows
+from pitchline.sources import matches, sinks
+from pitchline.streaming import ingest
+
+DATA = "/root/testdata/sf0.001"
+
+
+def series(spark, seed=3, keys=3, n=40):
+    rng = random.Random(seed)
+    return spark.createDataFrame([(k, i, rng.gauss(0, 30)) for k in range(keys) for i in range(n)], "k long, i long, x double").repartition(5)
+
+
+def test_bounded_fold_is_a_loop_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ratings, "BLOCK", 7)
+    df = series(spark)
+    got = {r.k: (r.n, r.level) for r in ratings.bounded_fold(df, "k", ["i"], F.lit(0.9), F.col("x"), -20.0, 20.0, 5.0).collect()}
+    for k in range(3):
+        level = 5.0
+        for r in sorted(df.where(F.col("k") == k).collect(), key=lambda r: r.i):
+            level = max(-20.0, min(20.0, 0.9 * level + r.x))
+        assert got[k] == (40, pytest.approx(level))
+
+
+def test_bounded_fold_may_forget(spark):
+    df = spark.createDataFrame([(1, 1, 3.0), (1, 2, 4.0)], "k long, i long, x double")
+    assert ratings.bounded_fold(df, "k", ["i"], F.lit(0.0), F.col("x"), -9.0, 9.0, 1.0).first().level == 4.0
+
+
+def test_global_ntile_and_running_sum(spark):
+    df = spark.range(23).select((F.col("id") * 7 % 23).alias("v")).repartition(6)
+    got = {r.v: r.tile for r in windows.global_ntile(df, ["v"], 5).collect()}
+    sizes = [5, 5, 5, 4, 4]
+    assert got == {v: t for v, t in zip(range(23), [i + 1 for i, s in enumerate(sizes) for _ in range(s)])}
+    assert windows.global_ntile(df.where("v < 0"), ["v"], 5).count() == 0
+    assert sorted(r.tile for r in windows.global_ntile(df.where("v < 3"), ["v"], 5).collect()) == [1, 2, 3]
+
+
+def test_prior_mean_does_not_see_the_same_day(spark):
+    df = spark.createDataFrame([("a", 1, 1, 1), ("a", 1, 2, 0), ("a", 2, 3, 1), ("a", 3, 4, 1)], "k string, day int, id int, won int")
+    got = {r.id: r.form for r in windows.prior_mean(df, "k", "day", "id", F.col("won"), 2, "form").collect()}
+    assert got == {1: None, 2: None, 3: 0.5, 4: 0.5}
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in graph.components(e).collect()}
+    assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 102: 100}
+    assert graph.components(e.where("a < 0")).count() == 0
+
+
+def test_three_way_ratings(spark):
+    balls = spark.createDataFrame([("x", 1, i, 10, 20, 5, 6.0) for i in range(3)] + [("y", 2, 0, 10, 20, 5, 0.0)], "league string, m long, i long, bat long, bowl long, v long, runs double")
+    rows = ratings.three_way_scan(balls, "league", ["m", "i"], "m", "bat", "bowl", "v", "runs").collect()
+    x = [r for r in rows if r.league == "x"]
+    assert [r.batter_before for r in x] == sorted(r.batter_before for r in x) and x[0].batter_before == 1400.0
+    assert x[2].bowler_before < x[1].bowler_before < 1400.0
+    assert x[1].batter_before == pytest.approx(1400 + 24 * 0.45 * (6 - 1.3))
+    y = [r for r in rows if r.league == "y"][0]
+    assert y.batter_before == 1400.0 and y.expected == 1.3
+
+
+def test_innings_simulation(spark):
+    p = spark.createDataFrame([(1, [0.0] * 6 + [1.0]), (2, [1.0] + [0.0] * 6), (3, [0.0] * 7)], "k long, p array<double>")
+    got = {r.k: (r.mean_runs, r.mean_wickets) for r in simulate.innings(p, "k", "p", 5, 12, 1).collect()}
+    assert got == {1: (72.0, 0.0), 2: (0.0, 10.0), 3: (0.0, 0.0)}
+
+
+def test_match_documents(spark, tmp_path):
+    ball = lambda b, x=0, **k: {"batter": "A", "bowler": "B", "non_striker": "C", "runs": {"batter": b, "extras": x, "total": b + x}, **k}
+    doc = {
+        "info": {"dates": ["2024-05-01"], "teams": ["Red Sox", "Blue"], "match_type": "T20", "gender": "male", "outcome": {"winner": "Blue", "by": {"wickets": 3}}, "players": {"Red Sox": ["A", "C"], "Blue": ["B"]}, "registry": {"people": {"A": "id-a", "B": "id-b"}}},
+        "innings": [{"team": "Red Sox", "overs": [{"over": 0, "deliveries": [ball(4), ball(4, 1, extras={"noballs": 1}), ball(0, wickets=[{"player_out": "A", "kind": "caught", "fielders": [{"name": "F"}]}])]}]}, {"team": "Blue"}],
+    }
+    (tmp_path / "77.json").write_text(json.dumps(doc, indent=1))
+    (tmp_path / "78.json").write_text("{broken")
+    raw = matches.read_matches(spark, str(tmp_path))
+    m = matches.matches(raw).collect()
+    assert [(r.match_id, r.win_by, r.win_margin, r.match_type) for r in m] == [("77", "wickets", 3, "t20")]
+    d = matches.deliveries(raw).orderBy("ball").collect()
+    assert [(r.delivery_id, r.is_four, r.total_runs, r.wickets_fallen) for r in d] == [("77_Red_Sox_1_000_01", True, 4, 0), ("77_Red_Sox_1_000_02", False, 9, 0), ("77_Red_Sox_1_000_03", False, 9, 1)]
+    assert {r.bowling_team for r in d} == {"Blue"} and d[2].player_out_id == "id-a" and d[2].fielder1 == "F" and d[0].non_striker_id == "C"
+    assert {(r.player_id, r.player_name) for r in matches.players(raw).collect()} == {("id-a", "A"), ("id-b", "B"), ("C", "C")}
+    assert matches.innings_totals(matches.deliveries(raw)).first().total_overs == pytest.approx(0.3)
+
+
+def test_sinks(spark, tmp_path):
+    out = str(tmp_path / "t")
+    sinks.export(spark.range(10).select("id", (F.col("id") % 2).alias("g")), out, ["g"])
+    sinks.replace_partitions(spark.createDataFrame([(99, 1)], "id long, g long"), out, ["g"])
+    assert {r.g: (r.rows, r.files) for r in sinks.manifest(spark, out, ["g"]).collect()}[1] == (1, 1)
+    assert spark.read.parquet(out).count() == 6
+    (tmp_path / "m.csv").write_text("alias,name\nx,X\n")
+    assert sinks.lookup_csv(spark, str(tmp_path / "m.csv"), "alias string, name string").collect()[0].name == "X"
+
+
+def test_incremental_stream(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    df = series(spark, n=10)
+    df.where("i < 6").write.parquet(src)
+    ingest.load_new(spark, src, ["k", "i"], out, state, df.schema)
+    df.where("i >= 4").write.mode("append").parquet(src)
+    ingest.load_new(spark, src, ["k", "i"], out, state, df.schema)
+    assert spark.read.parquet(out).count() == 30
+
+
+def test_stream_average_equals_batch(spark, tmp_path):
+    src, df, seen = str(tmp_path / "in"), series(spark, n=12), {}
+    df.where("i < 5").coalesce(1).write.parquet(src)
+    for last in (False, True):
+        ema = ingest.running_ema(ingest.files(spark, src, df.schema), "k", ["i"], "x", 0.1, 10.0)
+        save = lambda b, _: seen.update({r.k: (r.n, r.ema) for r in b.collect()})
+        ema.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        if not last:
+            df.where("i >= 5").coalesce(1).write.mode("append").parquet(src)
+    want = {r.k: (r.n, pytest.approx(r.ema)) for r in ratings.ema_fold(df, "k", ["i"], "x", 0.1, 10.0).collect()}
+    assert seen == want
