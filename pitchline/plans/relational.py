@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchline.functions import formulas as fx
-from pitchline.operators import asof, graph, ratings, simulate, windows
+from pitchline.operators import asof, graph, models, ratings, simulate, windows
 from pitchline.sources.tables import table
 from pitchline.streaming import ingest
 
@@ -326,3 +326,12 @@ def q_innings_sim(spark: SparkSession, d: str) -> DataFrame:
 def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream of files, counted in tumbling windows."""
     return ingest.window_totals(spark, d, "ts", "event_type", "value", "6 hours", only="events.parquet").select("event_type", "start", "n", F.round("total", 4).alias("total"))
+
+
+@query()
+def q_outcome_model(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-fold quality of a three-class outcome model; folds keep an order's lines together."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", F.unix_date(F.to_date("l_shipdate")).cast("double").alias("day"), F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("l_returnflag")).cast("double").alias("flag"))
+    rows = rows.withColumn("flag", F.col("flag") - 1)
+    scored = models.out_of_fold(rows, "l_orderkey", ["l_quantity", "l_discount", "l_tax", "day"], "flag", 3, rounds=10)
+    return models.metrics(scored, "flag", ["fold"]).select("fold", "n", *(F.round(c, 4).alias(c) for c in ("accuracy", "log_loss", "brier")))

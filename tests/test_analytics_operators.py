@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pitchline.operators import graph, ratings, simulate, windows
+from pitchline.operators import graph, models, ratings, simulate, windows
 from pitchline.sources import matches, sinks
 from pitchline.streaming import ingest
 
@@ -122,3 +122,16 @@ def test_stream_average_equals_batch(spark, tmp_path):
             df.where("i >= 5").coalesce(1).write.mode("append").parquet(src)
     want = {r.k: (r.n, pytest.approx(r.ema)) for r in ratings.ema_fold(df, "k", ["i"], "x", 0.1, 10.0).collect()}
     assert seen == want
+
+
+def test_outcome_model(spark):
+    rng = random.Random(5)
+    rows = [(g, rng.gauss(0, 1), rng.gauss(0, 1)) for g in range(60) for _ in range(10)]
+    df = spark.createDataFrame([(g, x, z, float((x > 0) + (x > 0.8))) for g, x, z in rows], "g long, x double, z double, y double")
+    scored = models.out_of_fold(df, "g", ["x", "z"], "y", 3)
+    assert scored.count() == len(rows) and scored.groupBy("g").agg(F.countDistinct("fold").alias("n")).where("n > 1").isEmpty()
+    m = models.metrics(scored, "y", []).first()
+    assert m.n == len(rows) and m.accuracy > 0.9 and m.log_loss < 0.4
+    model = models.fit(df, ["x", "z"], "y")
+    parts = models.ablation(model, df, {"by_x": ["x"], "by_z": ["z"]}, [0, 1, 2]).agg(F.avg(F.abs("by_x")).alias("x"), F.avg(F.abs("by_z")).alias("z"), F.count("*").alias("n")).first()
+    assert parts.x > 5 * parts.z and parts.n == len(rows)
