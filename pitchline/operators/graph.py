@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchline.session import cut
@@ -18,6 +18,18 @@ def degree_centrality(e: DataFrame, alpha: float = 0.5) -> DataFrame:
     return e.join(of_b, "b").groupBy("a").agg(F.count("*").alias("degree"), F.avg("deg_b").alias("_o")).select("a", "degree", ((1 - alpha) * F.col("degree") + alpha * F.col("_o")).alias("score"))
 
 
+def degree_snapshots(facts: DataFrame, a: str, b: str, period: Column) -> DataFrame:
+    """``a, period, degree``: distinct opponents up to and including each period that brought a new one.
+
+    An opponent counts from the first meeting on, so one aggregate finds what a
+    prefix for every snapshot would count again.
+    """
+    first = facts.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.min(period).alias("period"))
+    new = first.groupBy("a", "period").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("a").orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return new.select("a", "period", F.sum("_n").over(w).alias("degree"))
+
+
 def pagerank(e: DataFrame, steps: int, damping: float = 0.85) -> DataFrame:
     """``a, rank`` after a fixed number of Jacobi steps over the bipartite edges.
 

@@ -335,3 +335,30 @@ def q_outcome_model(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.withColumn("flag", F.col("flag") - 1)
     scored = models.out_of_fold(rows, "l_orderkey", ["l_quantity", "l_discount", "l_tax", "day"], "flag", 3, rounds=10)
     return models.metrics(scored, "flag", ["fold"]).select("fold", "n", *(F.round(c, 4).alias(c) for c in ("accuracy", "log_loss", "brier")))
+
+
+@query("WITH f AS (SELECT l_suppkey AS a, l_partkey AS b, min(date_trunc('week', l_shipdate))::DATE AS period FROM lineitem GROUP BY 1, 2), n AS (SELECT a, period, count(*) AS n FROM f GROUP BY ALL) SELECT a, period, (sum(n) OVER (PARTITION BY a ORDER BY period))::BIGINT AS degree FROM n")
+def q_centrality_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Weeks start on Monday."""
+    return graph.degree_snapshots(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", F.date_trunc("week", "l_shipdate").cast("date"))
+
+
+@query("SELECT l_suppkey, l_partkey, count(*) AS n, sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY ALL")
+def q_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edges(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity").select(F.col("a").alias("l_suppkey"), F.col("b").alias("l_partkey"), "n", "w")
+
+
+@query("SELECT count(*) AS balls, sum(l_quantity)::DOUBLE AS runs, count(*) FILTER (l_returnflag = 'R') AS outs FROM lineitem WHERE l_suppkey = 3")
+def q_entity_stats_single(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").where("l_suppkey = 3").agg(F.count("*").alias("balls"), F.sum("l_quantity").alias("runs"), F.count_if(F.col("l_returnflag") == "R").alias("outs"))
+
+
+@query("SELECT p_partkey, CASE WHEN lower(trim(p_type)) IN ('economy', 'standard') THEN 't20' WHEN lower(trim(p_type)) IN ('promo', 'small') THEN 'odi' ELSE 'test' END AS format FROM part")
+def q_format_alias(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.lower(F.trim("p_type"))
+    return table(spark, d, "part").select("p_partkey", F.when(kind.isin("economy", "standard"), "t20").when(kind.isin("promo", "small"), "odi").otherwise("test").alias("format"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_quantity / 6)::BIGINT AS overs, (l_quantity % 6)::BIGINT AS balls FROM lineitem")
+def q_overs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_quantity") / 6).cast("long").alias("overs"), (F.col("l_quantity") % 6).cast("long").alias("balls"))
