@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchline.llm.common import n_words
+from pitchline.llm.common import n_words, unused
 from pitchline.session import cut
 
 BLOCK, FAN_IN = 50_000, 64
@@ -128,6 +128,7 @@ def resample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     Ids are expected once each, as after deduplication; rows that share an id
     (or have none) are all repeated as often as the first of them is.
     """
-    copies = mix(docs, id_col, source_col, text_col, **kw).groupBy("doc_id").agg(F.min("copies").cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    named, times, copy = unused(docs, "_id", "_copies", "_copy")
+    copies = mix(docs, id_col, source_col, text_col, **kw).groupBy("doc_id").agg(F.min("copies").cast("int").alias(times)).where(F.col(times) > 0).withColumnRenamed("doc_id", named)
+    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col(named)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(named, times, copy)

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchline.llm.common import SPACE, n_words
+from pitchline.session import cut
 
 CAPACITY, BLOCK = 1024, 16_384
-_IN = ["doc_id", "source", "cluster", "copy", "piece", "start", "size", "block"]
+_IN = ["doc_id", "source", "cluster", "piece", "start", "size", "block"]
 SCHEMA = "doc_id long, piece long, start long, n_words long, bin_id long, slot int"
 
 
@@ -77,7 +78,7 @@ def place(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, i
 
 def _pack_block(capacity: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "cluster", "source", "doc_id", "copy", "piece"], ascending=[False, True, True, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
+        rows = rows.sort_values(["size", "cluster", "source", "doc_id", "piece"], ascending=[False, True, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
         source = {s: 1 << i for i, s in enumerate(pd.unique(rows["source"]))}
         repeated = rows["cluster"].value_counts()
         cluster = {c: 1 << i for i, c in enumerate(repeated.index[repeated > 1].sort_values())}
@@ -104,9 +105,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(capacity))).cast("long")
     rows = rows.select("doc_id", "source", "cluster", "n", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
     rows = rows.withColumn("start", F.col("piece") * capacity).withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start")))
-    from pitchline.session import cut
-
     rows = cut(rows.select("doc_id", "source", "cluster", "piece", "start", "size"))
     blocks = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("copy", F.pmod(F.monotonically_increasing_id(), F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(blocks)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(blocks)))
     return rows.select(*_IN).groupBy("block").applyInPandas(_pack_block(capacity), SCHEMA)

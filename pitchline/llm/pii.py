@@ -205,7 +205,7 @@ def collisions(entities: DataFrame, secret: str, tries: int = 16) -> DataFrame:
 def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secret: str = "rotate-me") -> DataFrame:
     """``docs`` with the personal data in ``text_col`` replaced, and ``pii_counts``, a map by kind.
 
-    Columns and rows are kept; a null text stays null.  Texts are scanned in
+    Columns and rows are kept, but for a column ``pii_counts``; a null text stays null.  Texts are scanned in
     place; only mentions, and the few attempts that are not 0, are shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -214,7 +214,10 @@ def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     redo = collisions(found.select("kind", "entity").distinct(), secret)
     later = cut(found.join(redo, ["kind", "entity"]).groupBy("_id", "_th").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("_at", "attempt")))).alias("_redo")))
     columns = docs.columns
-    rows = docs.withColumn("_id2", F.col(id_col).cast("long")).withColumn("_th2", F.xxhash64(text)).join(later, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_th2") == F.col("_th")), "left")
+    docs = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id2"), F.xxhash64(text).alias("_th2"))
+    plain = F.col("_row")[text_col]
+    text = F.coalesce(plain, F.lit(""))
+    rows = docs.join(later, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_th2") == F.col("_th")), "left")
     rows = rows.withColumn("_m", mentions(text))
     attempt = lambda i: F.coalesce(F.try_element_at(F.col("_redo"), i), F.lit(0))
     new = F.transform("_m", lambda m, i: render(m["kind"], m["mention"], surrogate(m["kind"], m["entity"], attempt(i), secret)))
@@ -222,8 +225,9 @@ def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gaps = F.split(text, ANY, -1)
     joined = let(gaps, lambda g: F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_new"), i), F.lit("")))), ""))
     counts = F.map_from_arrays(F.array(*(F.lit(k) for k in KINDS)), F.array(*(F.size(F.filter("_m", _is(k))) for k in KINDS)))
-    out = F.when(F.size("_m") > 0, joined).otherwise(F.col(text_col))
-    return rows.select(*(out.alias(c) if c == text_col else F.col(c) for c in columns), counts.alias("pii_counts"))
+    out = F.when(F.size("_m") > 0, joined).otherwise(plain)
+    row = F.struct(*(out.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in columns if c != "pii_counts"))
+    return rows.select(row.alias("_row"), counts.alias("pii_counts")).select("_row.*", "pii_counts")
 
 
 def _is(kind: str):

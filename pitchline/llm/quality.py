@@ -140,7 +140,5 @@ def ablation(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFr
 
 def keep_good(docs: DataFrame, policy: Policy = CURRENT, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass ``policy``, with their own columns only."""
-    columns = docs.columns
-    row = F.struct(*(F.col(c) for c in columns)).alias("_row")
-    kept = ledger(docs.select(row, F.col(text_col).alias("_text")), "_text", ("_row",)).where(passes(policy) & (F.col("row_id") >= 0))
-    return kept.select(*(F.col("_row")[c].alias(c) for c in columns))
+    kept = ledger(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), "_text", ("_row",)).where(passes(policy) & (F.col("row_id") >= 0))
+    return kept.select("_row.*")

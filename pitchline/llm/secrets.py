@@ -13,6 +13,7 @@ import binascii
 import json
 import re
 import zlib
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -136,18 +137,19 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the secrets in ``text_col`` replaced; all other columns as they are.
 
-    A null text stays null; a column ``n_chars``, if there is one, is counted anew.
+    Only texts leave the JVM, so that other columns keep their values whatever
+    their types.  A null text stays null; a column ``n_chars``, if there is
+    one, is counted anew.
     """
     small_batches(docs.sparkSession)
-    columns, spark_schema = docs.columns, docs.schema
 
-    def run(batches):
+    @F.pandas_udf("string")
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         a = _automaton()
-        for b in batches:
-            b[text_col] = [mask(t, s) if t and (s := find(t, a)) else t for t in b[text_col]]
-            yield b
+        for texts in batches:
+            yield pd.Series([mask(t, s) if t and (s := find(t, a)) else t for t in texts], dtype=object)
 
-    out = docs.mapInPandas(run, spark_schema)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(spark_schema["n_chars"].dataType)).select(*columns)
+    out = docs.withColumn(text_col, masked(text_col))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return out

@@ -17,9 +17,10 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchline.llm.common import unused
 from pitchline.llm.components import connected_components
 from pitchline.session import cut, small_batches
 
@@ -143,9 +144,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns are those of ``docs``.  Several rows under that id leave the one
     whose text hashes lowest.
     """
-    from pyspark.sql import Window
-
-    kept = near_duplicates(docs, id_col, text_col, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named, nth = unused(docs, "_kept", "_nth")
+    kept = near_duplicates(docs, id_col, text_col, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias(named)).distinct()
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.length(text_col))
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col(named)), "left_semi")
+    return rows.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)

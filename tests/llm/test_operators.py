@@ -265,6 +265,42 @@ def test_recordings_align_at_their_offset(spark):
     assert got[3].best_query is None and got[4].n_ints == got[5].n_ints == got[6].n_ints == 0
 
 
+#: Names that the operators use themselves.
+CLASHING = "_kept _nth _id _id2 _th _th2 _m _new _redo _copies _copy _row _text _t _w _l row_id fail_bits n_words fp rep cell root component_id size rank block whole p open cluster piece start hits places spans data k seq lens samples pii_counts a.b".split()
+
+
+def told(df):
+    columns = sorted(c for c in df.columns if c not in CLASHING or c in ("n_words", "spans", "places", "size"))
+    return Counter(str([r[c] for c in columns]) for r in df.collect())
+
+
+@pytest.mark.parametrize("operate", [simhash.near_duplicates, simhash.deduplicate, secrets.scan, secrets.redact, licenses.scan, packing.pack, quality.ledger, quality.keep_good, pii.pseudonymize, suffixes.remove_repeats, mixing.mix, mixing.resample], ids=lambda f: f.__name__)
+def test_clashing_columns_change_nothing(docs, operate):
+    crowded = docs.select("*", *(F.lit("x").alias(c) for c in CLASHING))
+    plain, out = operate(docs), operate(crowded)
+    if "text" in plain.columns:  # rows of the input: its other columns come along
+        kept = [c for c in CLASHING if c in out.columns and c != "pii_counts"]
+        assert kept == [c for c in CLASHING if c != "pii_counts"] and all(r[c] == "x" for r in out.collect() for c in kept)
+        out = out.drop(*(f"`{c}`" if "." in c else c for c in kept))
+    assert told(plain) == told(out)
+
+
+def test_redact_leaves_other_types_alone(spark):
+    rows = [(2**62 + 1, 'token = "abcdef99"', [1, None], None), (None, None, None, 5)]
+    out = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, tags array<int>, n_chars long")).collect()
+    assert [(r.doc_id, r.tags, r.n_chars) for r in out] == [(2**62 + 1, [1, None], len(out[0].text)), (None, None, 5)] and "abcdef99" not in out[0].text
+
+
+def test_very_long_text(spark):
+    n = 200_000
+    d = spark.createDataFrame([(1, "w " * n + "token = abcdef99", "a"), (2, "w " * n, "a"), (3, "short one", "b")], "doc_id long, text string, source string")
+    assert [r.fp for r in simhash.near_duplicates(d).where("doc_id = 2").collect()] == [np.uint64(xxhash.xxh64_intdigest(b"w w w", seed=42)).astype(np.int64)]
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(d).collect()}[1] == [("assign", 2 * n, 2 * n + 16)]
+    assert {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality.ledger(d).collect()} == {1: (n + 3, n), 2: (n, n), 3: (2, 0)}
+    packed = packing.pack(d).groupBy("doc_id").agg(F.sum("n_words").alias("n"), F.countDistinct("bin_id").alias("bins")).collect()
+    assert {r.doc_id: (r.n, r.bins) for r in packed} == {1: (n + 3, -(-(n + 3) // packing.CAPACITY)), 2: (n, -(-n // packing.CAPACITY)), 3: (2, 1)}
+
+
 def test_empty_tables(spark, empty):
     none = spark.createDataFrame([], "doc_id long, audio binary")
     for out in (simhash.near_duplicates(empty), simhash.deduplicate(empty), secrets.scan(empty), licenses.scan(empty), packing.pack(empty), quality.ledger(empty), pii.pseudonymize(empty), suffixes.remove_repeats(empty), mixing.mix(empty), chroma.find_recordings(none, "doc_id", "audio", F.col("doc_id") > 0)):
