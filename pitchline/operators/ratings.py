@@ -96,38 +96,84 @@ def elo_scan(matches: DataFrame, league: str, order: list[str], home: str, away:
     return _scan(matches, league, order, dict, step, schema)
 
 
-# Shares of the four ratings, and the step's bounds and half-life in balls.
+# Shares of the four ratings, the step's bounds and half-life in balls, the step's
+# factor by event tier, when a rating starts to fade and how fast, and the pull on a drifted mean.
 SHARES = (0.45, 0.3, 0.1, 0.15)
 K_LEAST, K_MOST, K_HALF = 4.0, 24.0, 500.0
+TIER_FACTOR = {1: 1.0, 2: 0.8, 3: 0.6, 4: 0.4}
+FADE_AFTER, FADE_OVER = 90, 500.0
+LEAST_DRIFT, CORRECTION = 0.1, 0.5
 
 
-def three_way_scan(balls: DataFrame, league: str, order: list[str], match: str, batter: str, bowler: str, venue: str, runs: str, baseline: float = 1.3, per_100: float = 0.8, start: float = 1400.0) -> DataFrame:
+class _Book:
+    """The ratings of one kind of entity.
+
+    A correction of the mean moves every rating; it is kept as one offset, so
+    that the work of a match does not grow with the number of entities.
+    """
+
+    def __init__(self, start: float, fade_to: float):
+        self.start, self.fade_to, self.offset, self.total, self.held = start, fade_to, 0.0, 0.0, {}
+
+    def read(self, key, day: float | None) -> tuple[float, int]:
+        """The rating now and the balls behind it; after long absence it has moved towards ``fade_to``."""
+        if key not in self.held:
+            self.held[key] = (self.start - self.offset, 0, day)
+            self.total += self.start - self.offset
+        raw, n, seen = self.held[key]
+        value = raw + self.offset
+        if day is not None and seen is not None and day - seen > FADE_AFTER:
+            value = self.fade_to + (value - self.fade_to) * math.exp(-(day - seen) / FADE_OVER)
+        return value, n
+
+    def write(self, key, value: float, n: int, day: float | None) -> None:
+        self.total += value - self.offset - self.held[key][0]
+        self.held[key] = (value - self.offset, n, day)
+
+    def correct(self, target: float) -> None:
+        drift = self.total / len(self.held) + self.offset - target if self.held else 0.0
+        if abs(drift) > LEAST_DRIFT:
+            self.offset -= CORRECTION * drift
+
+
+def three_way_scan(balls: DataFrame, league: str, order: list[str], match: str, batter: str, bowler: str, venue: str, runs: str, baseline: float = 1.3, per_100: float = 0.8, start: float = 1400.0, day: str | None = None, tier: str | None = None, mean: float | None = None, fade_to: float = 1500.0) -> DataFrame:
     """Ratings before each ball of batter, bowler, venue and the venue's current session.
 
     Every ball reads four ratings and moves them by its surprise, runs over
     expected runs; the bowler's moves the other way.  The session rating
     starts anew with each match.  Steps shrink with an entity's history.
+
+    ``day``, a date, lets ratings fade towards ``fade_to`` after long absence;
+    ``tier``, 1 to 4 (null: 2), scales the steps by the event; with ``mean``
+    the means of batters, bowlers and venues are pulled to it after each match.
     """
     kind = balls.schema[league].dataType.simpleString()
     schema = f"{league} {kind}, {match} long, {batter} long, {bowler} long, {venue} long, batter_before double, bowler_before double, venue_before double, session_before double, expected double, surprise double"
+    sides = (1, -1, 1, 1)
 
-    def move(held: dict, key, share: float, by: float) -> None:
-        value, n = held.get(key, (start, 0))
-        k = K_LEAST + (K_MOST - K_LEAST) * math.exp(-n / K_HALF)
-        held[key] = (value + k * share * by, n + 1)
+    def book() -> _Book:
+        return _Book(start, fade_to)
 
     def step(state: dict, r) -> tuple:
         m, x, y, v = (getattr(r, c) for c in (match, batter, bowler, venue))
         if state.get("match") != m:
-            state["match"], state["session"] = m, {}
-        held = [(state.setdefault("batter", {}), x), (state.setdefault("bowler", {}), y), (state.setdefault("venue", {}), v), (state["session"], v)]
-        before = [h.get(key, (start, 0))[0] for h, key in held]
-        sides = (1, -1, 1, 1)
-        gap = sum(w * s * (b - start) for w, s, b in zip(SHARES, sides, before))
+            if mean is not None:
+                for b in state.get("books", ()):
+                    b.correct(mean)
+            state["match"], state["session"] = m, book()
+            state.setdefault("books", (book(), book(), book()))
+        at = r.day_number if day else None
+        factor = TIER_FACTOR.get(getattr(r, tier), TIER_FACTOR[2]) if tier else 1.0
+        entries = list(zip((*state["books"], state["session"]), (x, y, v, v), SHARES, sides))
+        now = [b.read(key, at) for b, key, _, _ in entries]
+        gap = sum(w * s * (value - start) for (_, _, w, s), (value, _) in zip(entries, now))
         expected = min(6.0, max(0.0, baseline + gap * per_100 / 100))
         surprise = getattr(r, runs) - expected
-        for (h, key), w, s in zip(held, SHARES, sides):
-            move(h, key, w, s * surprise)
-        return getattr(r, league), m, x, y, v, *before, expected, surprise
+        for (b, key, w, s), (value, n) in zip(entries, now):
+            k = factor * (K_LEAST + (K_MOST - K_LEAST) * math.exp(-n / K_HALF))
+            b.write(key, value + k * w * s * surprise, n + 1, at)
+        return getattr(r, league), m, x, y, v, *(value for value, _ in now), expected, surprise
 
+    if day:
+        balls = balls.withColumn("day_number", F.unix_date(F.to_date(day)))
     return _scan(balls, league, order, dict, step, schema)

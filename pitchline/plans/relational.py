@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchline.functions import formulas as fx
-from pitchline.operators import asof, graph, models, ratings, simulate, windows
+from pitchline.operators import asof, graph, models, ratings, simulate, teams, windows
 from pitchline.sources.tables import table
 from pitchline.streaming import ingest
 
@@ -362,3 +362,84 @@ def q_format_alias(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_quantity / 6)::BIGINT AS overs, (l_quantity % 6)::BIGINT AS balls FROM lineitem")
 def q_overs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_quantity") / 6).cast("long").alias("overs"), (F.col("l_quantity") % 6).cast("long").alias("balls"))
+
+
+def _meetings(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as matches of forty teams: the customer's side at home, a fifth without a winner."""
+    home = F.col("o_custkey") % 40
+    away = (home + 1 + F.col("o_orderkey") % 39) % 40
+    chased = F.col("o_orderkey") % 3 == 0
+    winner = F.when(F.col("o_orderkey") % 5 != 4, F.when(F.col("o_totalprice") > 150000, home).otherwise(away))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"), F.to_date("o_orderdate").alias("day"), home.alias("home"), away.alias("away"), F.col("o_orderpriority").alias("venue"), winner.alias("winner"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("first_total"), chased.alias("chased"))
+
+
+_MEETINGS = """m AS (SELECT o_orderkey AS match_id, o_orderdate::DATE AS day, o_custkey % 40 AS home, (o_custkey % 40 + 1 + o_orderkey % 39) % 40 AS away, o_orderpriority AS venue,
+  CASE WHEN o_orderkey % 5 <> 4 THEN CASE WHEN o_totalprice > 150000 THEN o_custkey % 40 ELSE (o_custkey % 40 + 1 + o_orderkey % 39) % 40 END END AS winner, floor(o_totalprice / 1000) AS first_total, o_orderkey % 3 = 0 AS chased FROM orders)"""
+
+
+@query(f"""WITH {_MEETINGS},
+s AS (SELECT match_id, day, winner, 'home' AS side, home AS team FROM m UNION ALL SELECT match_id, day, winner, 'away', away FROM m),
+r AS (SELECT a.match_id, a.side, (b.winner = a.team)::INT AS won, row_number() OVER (PARTITION BY a.match_id, a.side ORDER BY b.day DESC, b.match_id DESC, b.side DESC) AS rn FROM s a JOIN s b ON a.team = b.team AND b.day < a.day AND b.winner IS NOT NULL),
+f AS (SELECT match_id, avg(won) FILTER (side = 'home') AS home_form, avg(won) FILTER (side = 'away') AS away_form FROM r WHERE rn <= 5 GROUP BY 1),
+h AS (SELECT a.match_id, count(b.winner) AS n, count(*) FILTER (b.winner = a.home) AS w FROM m a JOIN m b ON least(a.home, a.away) = least(b.home, b.away) AND greatest(a.home, a.away) = greatest(b.home, b.away) AND b.day < a.day GROUP BY 1),
+p AS (SELECT venue, day, count(winner) AS n, sum(first_total) FILTER (winner IS NOT NULL) AS t, count(*) FILTER (winner IS NOT NULL AND chased) AS c FROM m GROUP BY ALL),
+v AS (SELECT venue, day, sum(n) OVER w AS n, sum(t) OVER w AS t, sum(c) OVER w AS c FROM p WINDOW w AS (PARTITION BY venue ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT m.match_id, round(home_form, 6) AS home_form, round(away_form, 6) AS away_form, coalesce(h.n, 0)::BIGINT AS h2h_total, coalesce(h.w, 0)::BIGINT AS h2h_wins, coalesce(v.n, 0)::BIGINT AS venue_n,
+  CASE WHEN v.n >= 5 THEN round(v.t / v.n, 4) END AS venue_score, CASE WHEN v.n >= 5 THEN round(v.c / v.n, 6) END AS venue_chased
+FROM m LEFT JOIN f USING (match_id) LEFT JOIN h USING (match_id) LEFT JOIN v ON v.venue = m.venue AND v.day = m.day""")
+def q_pre_match_features(spark: SparkSession, d: str) -> DataFrame:
+    """Form, head-to-head and venue history strictly before each match's day."""
+    known = teams.pre_match(_meetings(spark, d))
+    return known.select("match_id", F.round("home_form", 6).alias("home_form"), F.round("away_form", 6).alias("away_form"), F.col("h2h_total").cast("long").alias("h2h_total"), F.col("h2h_wins").cast("long").alias("h2h_wins"), F.col("venue_n").cast("long").alias("venue_n"), F.round("venue_score", 4).alias("venue_score"), F.round("venue_chased", 6).alias("venue_chased"))
+
+
+@query()
+def q_team_elo(spark: SparkSession, d: str) -> DataFrame:
+    """Team ratings with margins, tiers, home edge and seasons, a league for each order status."""
+    m = _meetings(spark, d)
+    status = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"), F.col("o_orderstatus").alias("league"))
+    m = m.join(status, "match_id").withColumns({
+        "result": F.when(F.col("winner").isNull(), 0.5).when(F.col("winner") == F.col("home"), 1.0).otherwise(0.0), "margin": F.col("first_total") % 60,
+        "tier": (F.col("home") % 4 + 1).cast("int"), "edge": F.when(F.col("match_id") % 4 == 0, 0).otherwise(1), "season": F.year("day"),
+    })
+    return teams.team_scan(m, "league", ["day", "match_id"], "home", "away", "result", "margin", "tier", "edge", "season", teams.TeamRules(season_keep=0.85))
+
+
+@query(f"""WITH {_MEETINGS},
+r AS (SELECT winner, CASE WHEN winner = home THEN away ELSE home END AS loser, first_total / 1000 AS delta FROM m WHERE winner IS NOT NULL),
+net AS (SELECT team, sum(d) AS net FROM (SELECT winner AS team, delta AS d FROM r UNION ALL SELECT loser, -delta FROM r) GROUP BY 1),
+t AS (SELECT DISTINCT team FROM (SELECT home AS team FROM m UNION ALL SELECT away FROM m)),
+a AS (SELECT home AS team, away AS other, count(*) / sum(count(*)) OVER (PARTITION BY home) AS likeness FROM m GROUP BY 1, 2),
+s AS (SELECT other AS team, sum(net * likeness) AS moved FROM a JOIN net USING (team) GROUP BY 1)
+SELECT team, round(1500 + 0.15 * coalesce(moved, 0), 4) AS elo FROM t LEFT JOIN s USING (team)""")
+def q_propagation(spark: SparkSession, d: str) -> DataFrame:
+    """Results spread to the teams a winner or loser plays at home most."""
+    m = _meetings(spark, d)
+    results = m.where("winner is not null").select("winner", F.when(F.col("winner") == F.col("home"), F.col("away")).otherwise(F.col("home")).alias("loser"), (F.col("first_total") / 1000).alias("delta"))
+    rated = m.select(F.explode(F.array("home", "away")).alias("team")).distinct().withColumn("elo", F.lit(1500.0))
+    met = m.groupBy(F.col("home").alias("team"), F.col("away").alias("other")).agg(F.count("*").alias("n"))
+    alike = met.withColumn("likeness", F.col("n") / F.sum("n").over(Window.partitionBy("team")))
+    return teams.propagate(rated, results, alike).select("team", F.round("elo", 4).alias("elo"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate AND l_quantity >= 45)")
+def q_exists(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").where("l_quantity >= 45").select("l_orderkey", "l_shipdate")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return o.join(lines, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") > F.col("o_orderdate")), "left_semi").select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity < 6 THEN 'powerplay' WHEN l_quantity < 16 THEN 'middle' ELSE 'death' END AS phase FROM lineitem")
+def q_phase(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", fx.phase(F.col("l_quantity")).alias("phase"))
+
+
+@query("SELECT p_partkey, regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g') || '_' || lower(p_type) AS team_id FROM part")
+def q_team_id(spark: SparkSession, d: str) -> DataFrame:
+    name = F.regexp_replace(F.lower(F.trim("p_name")), "[^a-z0-9]+", "_")
+    return table(spark, d, "part").select("p_partkey", F.concat(name, F.lit("_"), F.lower("p_type")).alias("team_id"))
+
+
+@query("WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(0.999, greatest(0.001, l_discount)) AS p, (l_quantity - 25) * 10 AS diff FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(least(0.5, greatest(0.001, 1 / (1 + exp(-(ln(p / (1 - p)) - diff / 200))))), 6) AS wicket FROM w")
+def q_expected_wicket(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(fx.expected_wicket(F.col("l_discount"), (F.col("l_quantity") - 25) * 10, 200.0), 6).alias("wicket"))

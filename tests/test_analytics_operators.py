@@ -1,12 +1,14 @@
 """Operators against small examples worked out by plain loops."""
 
 import json
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from pitchline.operators import graph, models, ratings, simulate, windows
+from pitchline.operators import graph, models, ratings, simulate, teams, windows
+from pitchline.plans import lookups
 from pitchline.sources import matches, sinks
 from pitchline.streaming import ingest
 
@@ -67,6 +69,65 @@ def test_three_way_ratings(spark):
     assert y.batter_before == 1400.0 and y.expected == 1.3
 
 
+def test_three_way_means_tiers_and_absence(spark):
+    balls = spark.createDataFrame([(1, m, 10 * m + i, 10 + i, 20, 5, 6.0, d, t) for m, d, t in ((1, "2020-01-01", 1), (2, "2020-01-02", 4), (3, "2021-06-01", 1)) for i in range(2)], "league long, m long, at long, bat long, bowl long, v long, runs double, day string, tier int")
+    args = ("league", ["at"], "m", "bat", "bowl", "v", "runs")
+    plain = ratings.three_way_scan(balls, *args).orderBy("m", "bat").collect()
+    tiers = ratings.three_way_scan(balls, *args, tier="tier").orderBy("m", "bat").collect()
+    assert tiers[2].batter_before == plain[2].batter_before and tiers[4].batter_before < plain[4].batter_before
+    pulled = ratings.three_way_scan(balls, *args, mean=1400.0).orderBy("m", "bat").collect()
+    # after the first match half of the batters' mean drift goes from each of them
+    means = [(r[2].batter_before + r[3].batter_before) / 2 - 1400 for r in (pulled, plain)]
+    assert 0 < means[0] < means[1]
+    gone = ratings.three_way_scan(balls, *args, day="day", fade_to=1500.0).orderBy("m", "bat").collect()
+    days = 516
+    assert gone[2].batter_before == plain[2].batter_before
+    assert gone[4].batter_before == pytest.approx(1500 + (plain[4].batter_before - 1500) * math.exp(-days / 500))
+
+
+def test_team_ratings_against_a_loop(spark):
+    rng, rules = random.Random(5), teams.TeamRules(season_keep=0.8)
+    rows = [(1, i, a, b, rng.choice([1.0, 0.5, 0.0]), rng.choice([None, 0.0, 12.0, 60.0]), rng.randint(1, 4), rng.choice([-1, 0, 1]), i // 10) for i in range(40) for a, b in [rng.sample(range(6), 2)]]
+    d = spark.createDataFrame(rows, "league long, i long, h long, a long, result double, margin double, tier int, edge int, season long")
+    got = teams.team_scan(d, "league", ["i"], "h", "a", "result", "margin", "tier", "edge", "season", rules).collect()
+    elo, played, tier, season = {}, {}, {}, 0
+    for r, (_, _, h, a, s, m, t, e, year) in zip(got, rows):
+        if year != season:  # every rating moves at once here
+            elo = {k: rules.base + 0.8 * (v - rules.base) for k, v in elo.items()}
+            season = year
+        for k in (h, a):
+            elo.setdefault(k, rules.start(t)), played.setdefault(k, 0), tier.setdefault(k, t)
+        x = 1 / (1 + 10 ** ((elo[a] - elo[h] - 50 * e) / 400))
+        w = min(1 + 0.5 * abs(round(tier[h]) - round(tier[a])), 2.5)
+        if m and s != 0.5:
+            win, lose = (h, a) if s == 1 else (a, h)
+            w *= max(0.5, min(2.5, (m + 5) ** 0.7 / max(1, 10 + 0.004 * (elo[win] - elo[lose]))))
+        assert (r.home_before, r.away_before) == pytest.approx((elo[h], elo[a]))
+        for k, sign in ((h, 1), (a, -1)):
+            elo[k] += sign * (16 + 16 * math.exp(-played[k] / 30)) * w * (s - x)
+            played[k] += 1
+            tier[k] = 0.8 * tier[k] + 0.2 * t
+        assert (r.home_after, r.away_after) == pytest.approx((elo[h], elo[a]))
+
+
+def test_lookups(spark):
+    who = spark.createDataFrame([("p1", "Ann Lee"), ("p2", "Bo Leeds"), ("p3", "Cy 100%")], "player_id string, player_name string")
+    assert [r.player_id for r in lookups.search(who, "player_name", "LEE").collect()] == ["p1", "p2"]
+    assert [r.player_id for r in lookups.search(who, "player_name", "%").collect()] == ["p3"]
+    assert lookups.find(who, "player_id", "player_name", "leeds").first().player_id == "p2" and lookups.find(who, "player_id", "player_name", "p1").first().player_id == "p1"
+    rows = [("m", 1, "p1", "p2", 4, 4, 0, 0, 0, 0, True, False, False, None, None), ("m", 1, "p1", "p2", 0, 1, 1, 0, 0, 0, False, False, False, None, None), ("m", 1, "p1", "p2", 0, 0, 0, 0, 0, 0, False, False, True, "bowled", "p1"), ("m", 1, "p3", "p2", 0, 0, 0, 0, 0, 0, False, False, True, "run out", "p3")]
+    balls = spark.createDataFrame(rows, "match_id string, innings int, batter_id string, bowler_id string, runs_batter int, runs_total int, wides int, noballs int, byes int, legbyes int, is_four boolean, is_six boolean, is_wicket boolean, wicket_kind string, player_out_id string")
+    got = {r.player_id: r for r in lookups.analyze_players(balls, who, "p1", "bo leeds").collect()}
+    assert sorted(got) == ["p1", "p2"] and (got["p1"].bat_balls, got["p1"].bat_runs, got["p1"].bat_outs, got["p1"].bat_strike_rate) == (2, 4, 1, 200.0)
+    assert (got["p2"].bowl_balls, got["p2"].bowl_runs, got["p2"].bowl_wickets) == (3, 5, 1) and got["p2"].bat_runs is None
+    best = [(r.role, r.place, r.player_id, r.value) for r in lookups.analyze_matches(balls, 1).collect()]
+    assert sorted(best) == [("batting", 1, "p1", 4), ("bowling", 1, "p2", 1)]
+    p = spark.range(1).select(lookups.predict(F.lit(1500.0), F.lit(1550.0)).alias("p")).first().p
+    assert p.win_probability == 0.5 and p.margin == 0
+    with pytest.raises(ValueError):
+        lookups.valid_format("t10")
+
+
 def test_innings_simulation(spark):
     p = spark.createDataFrame([(1, [0.0] * 6 + [1.0]), (2, [1.0] + [0.0] * 6), (3, [0.0] * 7)], "k long, p array<double>")
     got = {r.k: (r.mean_runs, r.mean_wickets) for r in simulate.innings(p, "k", "p", 5, 12, 1).collect()}
