@@ -1,0 +1,121 @@
+"""Exact near-duplicate links: all pairs of texts whose shingle sets overlap enough.
+
+Two sets with Jaccard similarity J share an element among the rarest
+``n - ceil(J n) + 1`` of each (n: the set's own size), so texts meet only in
+buckets of such a shingle.  Shingles that one text alone has never make a
+bucket, and buckets of the same members are compared once.  The pairs of small
+buckets are compared once each.  A large bucket is cut into tiles of bounded
+size; a pair of tiles is compared exactly, and yields a spanning forest of its
+links, never all its pairs.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pitchline.llm.components import connected_components
+from pitchline.llm.simhash import SEED, _forest
+from pitchline.session import cut, discard, setting, small_batches
+
+#: Shingles are counted in so many parts, one at a time, to bound the disk.
+PARTS = 4
+TILE_SHINGLES = 1 << 17
+#: Up to so many members a bucket is taken by pairs, so a member has a bounded number of them.
+SMALL = 16
+_COLUMNS = 2048
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_key(text: Column) -> Column:
+    """64 bits that stand for a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def shingle_set(data: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a UTF-8 text's shingles, as ``simhash`` takes them; a text without words has the empty one."""
+    w = data.lower().split()
+    parts = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else [b" ".join(w)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64)).view(np.int64)
+
+
+def _alike(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of a x b with a Jaccard similarity of ``percent`` or more."""
+    size = np.array([len(x) for x in [*a, *b]])
+    owner = np.repeat(np.arange(len(size)), size)
+    _, column, count = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]  # only shared shingles count
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(a), len(b)), np.int64)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(column, [c, c + _COLUMNS])
+        has = np.zeros((len(size), _COLUMNS), np.float32)
+        has[owner[lo:hi], column[lo:hi] - c] = 1
+        shared += (has[: len(a)] @ has[len(a) :].T).astype(np.int64)
+    return np.nonzero((100 + percent) * shared >= percent * (size[: len(a), None] + size[None, len(a) :]))
+
+
+def link_texts(texts: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``(node, component)`` of the linked rows of ``(t, data)``, ``t`` a distinct key for each.
+
+    Texts are linked if their sets of ``shingle`` words have a Jaccard
+    similarity of ``percent`` or more; all such pairs are found.  Texts without
+    a link have no row.
+    """
+    spark = texts.sparkSession
+    small_batches(spark)
+
+    def shingles(batches):
+        for b in batches:
+            yield pd.DataFrame({"t": b["t"], "s": [shingle_set(x, shingle) for x in b["data"]]})
+
+    sets = cut(texts.select("t", "data").mapInPandas(shingles, "t long, s array<long>"))
+    shared = []
+    for part in range(PARTS):
+        every = sets.select("t", F.explode("s").alias("h")).where(F.pmod("h", F.lit(PARTS)) == part)
+        often = cut(every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+        shared.append(cut(every.join(often, "h")))
+        discard(often)
+    # by rarity; the shingles that no other text has come first and make no bucket
+    ranked = reduce(DataFrame.unionByName, shared).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("c"))
+    ranked = ranked.join(sets.select("t", F.size("s").alias("n")), "t")
+    first = F.size("c") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
+    prefix = cut(ranked.withColumn("k", first).where("k > 0").select("t", "n", F.explode(F.slice("c", F.lit(1), F.col("k"))).alias("e")).select("t", "n", "e.h"))
+    for s in shared:
+        discard(s)
+    same = prefix.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("t")).alias("x"), F.sum(F.xxhash64("t").cast("decimal(38,0)")).alias("y"), F.sum("n").alias("total")).where("m > 1")
+    buckets = same.groupBy("m", "x", "y", "total").agg(F.min("h").alias("h"))
+    buckets = cut(buckets.select("h", "m", F.ceil(F.col("total") / F.lit(TILE_SHINGLES)).cast("int").alias("parts")))
+    few = prefix.join(buckets.where(F.col("m") <= SMALL), "h").select("h", "t", "n")
+    twos = few.join(few.select("h", F.col("t").alias("t_"), F.col("n").alias("n_")), "h").where("t < t_").select("t", "n", "t_", "n_").distinct()
+    twos = twos.join(sets, "t").join(sets.select(F.col("t").alias("t_"), F.col("s").alias("s_")), "t_")
+    near = (100 + percent) * F.size(F.array_intersect("s", "s_")) >= percent * (F.col("n") + F.col("n_"))
+    found = cut(twos.where(near).select(F.col("t").alias("a"), F.col("t_").alias("b")))
+    members = prefix.join(buckets.where(F.col("m") > SMALL), "h").select("h", "t", F.pmod(F.xxhash64("t", "h"), "parts").cast("int").alias("tile"))
+    tiles = members.join(sets, "t").groupBy("h", "tile").agg(F.collect_list(F.struct("t", "s")).alias("m"))
+    tiles = cut(tiles.select("h", "tile", F.col("m.t").alias("t"), F.col("m.s").alias("s")))
+    other = tiles.select("h", *(F.col(c).alias(f"{c}_") for c in ("tile", "t", "s")))
+    pairs = tiles.join(other, "h").where("tile < tile_ or tile = tile_ and size(t) > 1").select("t", "s", "t_", "s_")
+
+    def compare(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                a, b = np.asarray(r[0], np.int64), np.asarray(r[2], np.int64)
+                u, v = _alike(list(r[1]), list(r[3]), percent)
+                every, node = np.unique(np.concatenate([a, b]), return_inverse=True)
+                label = _forest(len(every), node[: len(a)][u], node[len(a) :][v])
+                at = np.nonzero(label != np.arange(len(every)))[0]
+                yield pd.DataFrame({"a": every[at], "b": every[label[at]]})
+
+    with setting(spark, _BATCH, "16"):
+        links = cut(pairs.mapInPandas(compare, "a long, b long"))
+    out = connected_components(links.unionByName(found))
+    for x in (sets, prefix, buckets, tiles):
+        discard(x)
+    return out

@@ -138,14 +138,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(labels, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the smallest id, once.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate component, with or without an id.
 
-    Columns are those of ``docs``.  Several rows under that id leave the one
-    whose text hashes lowest.
+    Texts are linked if their sets of ``shingle`` words have a Jaccard
+    similarity of ``percent`` or more (``overlap``); null and blank texts are
+    alike.  The row with the smallest id stays, rows without one last; rows
+    that share it, the one whose text hashes lowest.  Columns are those of ``docs``.
     """
-    named, nth = unused(docs, "_kept", "_nth")
-    kept = near_duplicates(docs, id_col, text_col, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias(named)).distinct()
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.length(text_col))
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col(named)), "left_semi")
-    return rows.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
+    from pitchline.llm.overlap import link_texts, text_key
+
+    key, row, nth = unused(docs, "_text", "_row", "_nth")
+    rows = docs.withColumn(key, text_key(F.col(text_col))).withColumn(row, F.xxhash64(F.col(id_col), F.col(key)))
+    texts = docs.select(text_key(F.col(text_col)).alias("t"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    roots = cut(link_texts(texts.dropDuplicates(["t"]), shingle, percent))
+    named = rows.select(F.col(id_col).alias("id"), F.col(key).alias("t"), F.col(row).alias("r")).join(roots.withColumnRenamed("node", "t"), "t", "left")
+    first = F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "t", "r")).alias("f")
+    kept = named.groupBy(F.coalesce("component", "t").alias("root")).agg(first).select("f.*")
+    kept = cut(kept.select(*(F.col(c).alias(f"_kept_{c}_{key}") for c in ("id", "t", "r"))))
+    k_id, k_t, k_r = (F.col(c) for c in kept.columns)
+    # rows that share id and text: one stays, the same one in every run
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    tie = Window.partitionBy(row, id_col, key).orderBy(F.xxhash64(*plain))
+    rows = rows.withColumn(nth, F.row_number().over(tie)).where(F.col(nth) == 1)
+    return rows.join(kept, (F.col(row) == k_r) & (F.col(key) == k_t) & F.col(id_col).eqNullSafe(k_id), "left_semi").drop(key, row, nth)

@@ -316,3 +316,44 @@ def test_pipeline_runs_on_given_tables(spark):
 
 def test_registered_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def near_copies():
+    rng = np.random.default_rng(8)
+    pool = [f"w{i}" for i in range(4000)]
+    rows, jaccard = [], lambda a, b: len(a & b) / len(a | b)
+    for i in range(30):
+        w = list(rng.choice(pool, int(rng.integers(60, 200))))
+        rows.append((1000 + i, " ".join(w)))
+        for c in range(3):
+            e = list(w)
+            for at in rng.choice(len(w), 1 + c, replace=False):
+                e[at] = "edited"
+            rows.append((10 * i + c, " ".join(e)))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in range(5):
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                label[i] = label[j] = min(label[i], label[j])
+    return rows, label
+
+
+@pytest.mark.parametrize("tile, small", [(1 << 17, 16), (300, 0)])
+def test_deduplicate_finds_every_edited_copy(spark, monkeypatch, tile, small):
+    from pitchline.llm import overlap
+
+    monkeypatch.setattr(overlap, "SMALL", small)
+    monkeypatch.setattr(overlap, "TILE_SHINGLES", tile)
+    rows, label = near_copies()
+    least = {g: min(d for (d, _), x in zip(rows, label) if x == g) for g in set(label)}
+    assert len(least) < 60
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
+def test_overlap_at_the_border(spark):
+    from pitchline.llm import overlap
+
+    base = np.arange(100)
+    assert [len(overlap._alike([base], [np.arange(k, 100)], 80)[0]) for k in (20, 21)] == [1, 0]
