@@ -22,7 +22,7 @@ from pitchline.session import cut
 
 BLOCK, FAN_IN = 50_000, 64
 _EPS = 1e-12
-_ROW = "doc_id long, _extra long, size long, rank int, block long, whole long, p double, open boolean"
+_ROW = "doc_id long, _key long, _extra long, size long, rank int, block long, whole long, p double, open boolean"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -78,7 +78,7 @@ def _round_block(p: np.ndarray, size: np.ndarray, draw, last: bool) -> np.ndarra
 
 def _rounder(seed: int, last: bool, level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_extra", "doc_id", "size", "whole"], kind="stable", na_position="last").reset_index(drop=True)
+        rows = rows.sort_values(["_extra", "doc_id", "size", "whole", "_key"], kind="stable", na_position="last").reset_index(drop=True)
         draw = np.random.default_rng([seed, level, int(rows["rank"][0]), int(rows["block"][0])]).random
         p = _round_block(rows["p"].to_numpy(float), rows["size"].to_numpy(float), draw, last)
         rows["open"] = (p > 0) & (p < 1)
@@ -97,17 +97,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     than one document.  The draws depend on the seed, the source's rank and
     the block only, and blocks on the ids and the row count, so reruns agree.
     Null texts have size 0 and are never taken; a null source is a source;
-    repeated ids are rounded as rows of their own; no rows give no rows.
+    repeated ids are rounded as rows of their own; rows without an id are dealt
+    by their text; no rows give no rows.
     """
-    sizes = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+    return _mixed(docs, id_col, source_col, text_col, weights, share, cap, seed, block).drop("_key")
+
+
+def _row_key(text_col: str, source_col: str):
+    """64 bits of a row's text and source, which tell apart rows that share an id or have none."""
+    t, s = F.col(text_col), F.col(source_col)
+    return F.xxhash64(t, t.isNull(), s, s.isNull())
+
+
+def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
+    """The rows of ``mix`` with ``_key``, each row's key beside its id."""
+    sizes = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _row_key(text_col, source_col).alias("_key")))
     targets = cut(source_targets(sizes, weights, share, cap))
     most = targets.agg(F.max("docs")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     n_blocks = F.ceil(F.col("docs") / F.lit(block)).cast("long")
     rows = sizes.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
     key = targets.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "rank", "docs", "source_size", "target")
-    rows = rows.join(key, ["_s", "_n"]).withColumn("rate", rate).withColumn("_extra", F.xxhash64("doc_id", F.lit(seed)))
-    rows = rows.select("doc_id", "_extra", "size", "rank", F.pmod("_extra", n_blocks).alias("block"), F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.lit(True).alias("open"))
+    rows = rows.join(key, ["_s", "_n"]).withColumn("rate", rate).withColumn("_extra", F.xxhash64(F.coalesce("doc_id", "_key"), F.lit(seed)))
+    rows = rows.select("doc_id", "_key", "_extra", "size", "rank", F.pmod("_extra", n_blocks).alias("block"), F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.lit(True).alias("open"))
     levels = max(0, math.ceil(math.log(max(1, math.ceil(most / block)), FAN_IN) - 1e-9))
     done = []
     for level in range(levels + 1):
@@ -119,16 +131,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     for d in done[1:]:
         out = out.unionByName(d)
     named = targets.select("rank", "source", "source_size", "target")
-    return out.join(named, "rank").select("doc_id", "source", "size", "source_size", "target", F.col("whole").alias("copies"), (F.col("whole") * F.col("size")).alias("taken"))
+    return out.join(named, "rank").select("doc_id", "_key", "source", "size", "source_size", "target", F.col("whole").alias("copies"), (F.col("whole") * F.col("size")).alias("taken"))
 
 
 def resample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (0, 1 or 2 times).
 
-    Ids are expected once each, as after deduplication; rows that share an id
-    (or have none) are all repeated as often as the first of them is.
+    Every row keeps its own count, also rows that share an id or have none:
+    rows are matched by id, text and source, and rows equal in all three, which
+    may stand for each other, by a number among them.
     """
-    named, times, copy = unused(docs, "_id", "_copies", "_copy")
-    copies = mix(docs, id_col, source_col, text_col, **kw).groupBy("doc_id").agg(F.min("copies").cast("int").alias(times)).where(F.col(times) > 0).withColumnRenamed("doc_id", named)
-    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col(named)))
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(named, times, copy)
+    key, row, nth, times, copy = unused(docs, "_key", "_row", "_nth", "_copies", "_copy")
+    counts = _mixed(docs, id_col, source_col, text_col, **kw).select(F.col("doc_id").alias("d"), F.col("_key").alias("t"), F.xxhash64("doc_id", "_key").alias("r"), F.col("copies").cast("int").alias("c"))
+    counts = counts.withColumn("n", F.row_number().over(Window.partitionBy("r", "d", "t").orderBy(F.desc("c")))).where("c > 0")
+    counts = counts.select(*(F.col(c).alias(f"_mix_{c}_{key}") for c in ("d", "t", "r", "n")), F.col("c").alias(times))
+    d, t, r, n, _ = (F.col(c) for c in counts.columns)
+    own = F.col(id_col).cast("long")
+    rows = docs.withColumn(key, _row_key(text_col, source_col)).withColumn(row, F.xxhash64(own, F.col(key)))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(row, own, key).orderBy(key)))
+    out = rows.join(counts, (F.col(row) == r) & (F.col(nth) == n) & (F.col(key) == t) & own.eqNullSafe(d))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))

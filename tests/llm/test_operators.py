@@ -357,3 +357,17 @@ def test_overlap_at_the_border(spark):
 
     base = np.arange(100)
     assert [len(overlap._alike([base], [np.arange(k, 100)], 80)[0]) for k in (20, 21)] == [1, 0]
+
+
+def test_every_component_and_row_counts_without_an_id(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(900)], int(n))) for n in rng.integers(20, 60, 90)]
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, t, f"s{i % 2}") for i, t in enumerate(texts)] + [(None, texts[0], "s0"), (5, texts[1], "s1"), (5, texts[1], "s1")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.text for r in simhash.deduplicate(d).collect()) == sorted(texts)
+    mixed = mixing.mix(d, block=16).collect()
+    taken = Counter()
+    for r in mixing.resample(d, block=16).collect():
+        taken[r.source] += len(r.text.split())
+    for s in ("s0", "s1"):
+        assert taken[s] == sum(r.taken for r in mixed if r.source == s) and abs(taken[s] - next(r.target for r in mixed if r.source == s)) <= 60
