@@ -90,7 +90,7 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+    return suffixes.digest(suffixes.deduplicate(read(spark, sf_dir, "documents")))
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

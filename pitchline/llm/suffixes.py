@@ -22,14 +22,13 @@ a block; answers come back as one bit an entry.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import uuid
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchline.session import cut, setting, shuffle_files_end_with_query, small_batches
@@ -46,7 +45,7 @@ _BLOCK = "k long, seq int, ids array<long>, lens array<long>, data binary"
 _SENT = "k long, seq int, bucket int, keys binary, orders array<long>, runs array<int>"
 _BACK = "k long, seq int, bucket int, bits binary"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_OUT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _NULL = -(1 << 63)
 
@@ -189,10 +188,32 @@ def _sort_in_buckets(first: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return out
 
 
+def kept_text(kept: Column) -> Column:
+    """Kept bytes as text; what is left of a code point that a cut went through goes too."""
+
+    @F.pandas_udf("string")
+    def whole(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: b.decode("utf-8", "ignore"))
+
+    return whole(kept)
+
+
+def digest(removed: DataFrame) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of what ``deduplicate`` returns."""
+    return removed.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row for each row of ``docs``.
+    """The ``digest`` of ``deduplicate``."""
+    return digest(deduplicate(docs, id_col, text_col, length, block_bytes))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(doc_id, n_bytes, kept, spans)``, one row for each row of ``docs``.
 
-    Texts are UTF-8 bytes; null and empty ones have none.  Documents are
+    ``kept`` is the bytes that stay and ``spans`` the ``[start, end)`` byte
+    ranges removed, in order; ``kept_text`` makes text of the bytes.  Texts
+    are UTF-8 bytes; null and empty ones have none.  Documents are
     ordered by id, null first; rows that share an id by a hash of their text.
     Matches never cross documents.  ``length`` must be V + 7 or more.  A
     document is held whole by one task, at about 60 bytes a byte.
@@ -261,9 +282,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for k, s, size in zip(b.ids, block.starts, block.lens):
                     g = gone[s : s + size]
                     kept = data[s : s + size][~g]
-                    spans = int(np.count_nonzero(np.diff(g.astype(np.int8), prepend=0) == 1))
-                    out.append((None if k == _NULL else int(k), int(size), int(g.sum()), spans, hashlib.sha256(kept.tobytes()).hexdigest()))
-                out = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    edges = np.nonzero(np.diff(g.astype(np.int8), prepend=0, append=0))[0]
+                    spans = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])]
+                    out.append((None if k == _NULL else int(k), int(size), kept.tobytes(), spans))
+                out = pd.DataFrame(out, columns=["doc_id", "n_bytes", "kept", "spans"])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     def judged(sent: DataFrame, judge) -> DataFrame:

@@ -371,3 +371,16 @@ def test_every_component_and_row_counts_without_an_id(spark):
         taken[r.source] += len(r.text.split())
     for s in ("s0", "s1"):
         assert taken[s] == sum(r.taken for r in mixed if r.source == s) and abs(taken[s] - next(r.target for r in mixed if r.source == s)) <= 60
+
+
+def test_suffix_deduplication_returns_texts_and_spans(spark):
+    a, b = "é" + "xyz0123456" * 12, "".join(chr(97 + i * i % 23) for i in range(140))
+    rows = [(1, a + b), (2, "new " + b + " end"), (3, a[1:90] + "q" + "é" * 70), (4, "z" + "©" + "é" * 70), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in suffixes.deduplicate(d).withColumn("text", suffixes.kept_text(F.col("kept"))).collect()}
+    for (i, n, gone, spans, sha) in brute_suffix([(i, (t or "").encode()) for i, t in rows]):
+        data = (dict(rows)[i] or "").encode()
+        left = b"".join(data[x:y] for x, y in zip([0, *(s.end for s in got[i].spans)], [*(s.start for s in got[i].spans), n]))
+        assert left == bytes(got[i].kept) and hashlib.sha256(left).hexdigest() == sha and len(got[i].spans) == spans
+        assert got[i].text == left.decode("utf-8", "ignore")
+    assert got[2].text == "new  end"
