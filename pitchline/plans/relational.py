@@ -247,6 +247,12 @@ def q_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(e)
 
 
+@query()
+def q_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """The components of the whole table; the recursive SQL of ``q_components`` bears a filtered one only."""
+    return graph.components(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")))
+
+
 _VALUE = "CASE WHEN l_returnflag = 'R' THEN -l_discount ELSE l_tax END"
 
 

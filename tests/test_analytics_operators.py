@@ -196,3 +196,16 @@ def test_outcome_model(spark):
     model = models.fit(df, ["x", "z"], "y")
     parts = models.ablation(model, df, {"by_x": ["x"], "by_z": ["z"]}, [0, 1, 2]).agg(F.avg(F.abs("by_x")).alias("x"), F.avg(F.abs("by_z")).alias("z"), F.count("*").alias("n")).first()
     assert parts.x > 5 * parts.z and parts.n == len(rows)
+
+
+def test_components_query_takes_every_line(spark, tmp_path):
+    from pitchline.plans import relational
+
+    rows = [(i * 7 % 40, i * 11 % 90, float(i % 50), "RAN"[i % 3]) for i in range(70)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    label = {n: n for o, p, *_ in rows for n in (o, -1 - p)}
+    for _ in label:
+        for o, p, *_ in rows:
+            label[o] = label[-1 - p] = min(label[o], label[-1 - p])
+    got = {r.node: r.component for r in relational.QUERIES["q_components_all"](spark, str(tmp_path)).collect()}
+    assert got == label
