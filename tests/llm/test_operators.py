@@ -213,12 +213,24 @@ def brute_suffix(rows, length=100):
     return out
 
 
+def remove_repeats(docs, **kw):
+    return suffixes.digest(suffixes.deduplicate(docs, **kw))
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT, 2])
 @pytest.mark.parametrize("block", [1 << 20, 700])
-def test_suffixes_against_brute_force(spark, block):
+def test_suffixes_against_brute_force(spark, block, hot):
     rng = np.random.default_rng(5)
     pool = ["".join(rng.choice(list("abé "), 150)) for _ in range(4)]
     rows = [(i, "".join(pool[int(k)][int(c) :] for k, c in zip(rng.integers(0, 4, 3), rng.integers(0, 60, 3)))) for i in range(12)] + [(20, "a" * 500), (21, ""), (22, "a" * 99), (23, "a" * 100)]
-    got = sorted(tuple(r) for r in suffixes.remove_repeats(spark.createDataFrame([*rows, (24, None)], "doc_id long, text string"), block_bytes=block).collect())
+    line = "the very same line of sixty bytes stands in many documents"  # in surroundings of its own, and in some that go on alike
+    rows += [(30 + i, "".join(rng.choice(list("xyz "), 40 + 3 * i)) + line + pool[i % 3][: 20 + 9 * i] + line) for i in range(14)]
+    edited = list(pool[0] + pool[1] + pool[2])
+    for i in range(50, 60):  # copies, moved by some bytes and edited here and there
+        for p in rng.integers(0, len(edited), 2):
+            edited[int(p)] = "Q" * int(rng.integers(0, 3))
+        rows.append((i, "".join(edited)))
+    got = sorted(tuple(r) for r in remove_repeats(spark.createDataFrame([*rows, (24, None)], "doc_id long, text string"), block_bytes=block, hot=hot).collect())
     assert got == brute_suffix([(d, t.encode()) for d, t in [*rows, (24, "")]])
 
 
@@ -274,7 +286,7 @@ def told(df):
     return Counter(str([r[c] for c in columns]) for r in df.collect())
 
 
-@pytest.mark.parametrize("operate", [simhash.near_duplicates, simhash.deduplicate, secrets.scan, secrets.redact, licenses.scan, packing.pack, quality.ledger, quality.keep_good, pii.pseudonymize, suffixes.remove_repeats, mixing.mix, mixing.resample], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("operate", [simhash.near_duplicates, simhash.deduplicate, secrets.scan, secrets.redact, licenses.scan, packing.pack, quality.ledger, quality.keep_good, pii.pseudonymize, remove_repeats, mixing.mix, mixing.resample], ids=lambda f: f.__name__)
 def test_clashing_columns_change_nothing(docs, operate):
     crowded = docs.select("*", *(F.lit("x").alias(c) for c in CLASHING))
     plain, out = operate(docs), operate(crowded)
@@ -303,7 +315,7 @@ def test_very_long_text(spark):
 
 def test_empty_tables(spark, empty):
     none = spark.createDataFrame([], "doc_id long, audio binary")
-    for out in (simhash.near_duplicates(empty), simhash.deduplicate(empty), secrets.scan(empty), licenses.scan(empty), packing.pack(empty), quality.ledger(empty), pii.pseudonymize(empty), suffixes.remove_repeats(empty), mixing.mix(empty), chroma.find_recordings(none, "doc_id", "audio", F.col("doc_id") > 0)):
+    for out in (simhash.near_duplicates(empty), simhash.deduplicate(empty), secrets.scan(empty), licenses.scan(empty), packing.pack(empty), quality.ledger(empty), pii.pseudonymize(empty), remove_repeats(empty), mixing.mix(empty), chroma.find_recordings(none, "doc_id", "audio", F.col("doc_id") > 0)):
         assert out.count() == 0
 
 
