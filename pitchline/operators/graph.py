@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchline.session import cut
+from pitchline.session import cut, discard
 
 
 def edges(facts: DataFrame, a: str, b: str, weight: str) -> DataFrame:
@@ -48,21 +48,34 @@ def pagerank(e: DataFrame, steps: int, damping: float = 0.85) -> DataFrame:
     return va.select("a", F.col("r").alias("rank"))
 
 
-def components(e: DataFrame) -> DataFrame:
-    """``node, component``: the smallest node reachable, for every node of the edges ``a, b``.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``(node, component)`` for every node that an edge names.
 
-    Each round takes the smallest label of the neighbours and then the label of
-    that label, so labels jump and the rounds grow with the logarithm of a
-    path's length in practice.  Labels are cut every round.
+    ``component`` is the smallest node reachable.  Each round turns every
+    node's neighbourhood into a star around its smallest member, first over
+    the larger neighbours, then over the smaller ones; stars are stable, and
+    O(log^2 n) rounds reach them.  Minima are aggregated before the join back,
+    so that a hub with many neighbours is combined on the map side and the
+    join can be split.  Loops, repeated and reversed edges are harmless; edges
+    with a null end are ignored; an empty table gives no rows.
     """
-    both = cut(e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    now = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("_a"), F.col(b).alias("_b"))
+    now = cut(edges.where("_a is not null and _b is not null and u > v").select("u", "v").distinct())
+    seen = None
     while True:
-        near = both.join(now.select(F.col("u").alias("v"), "m"), "v").groupBy("u").agg(F.min("m").alias("_near"))
-        step = now.join(near, "u").select("u", F.least("m", "_near").alias("m"))
-        jump = now.select(F.col("u").alias("m"), F.col("m").alias("_far"))
-        after = cut(step.join(jump, "m", "left").select("u", F.least("m", "_far").alias("m")))
-        stable = after.join(now.withColumnRenamed("m", "_was"), "u").where("m <> _was").isEmpty()
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if state == seen or not state[0]:
+            break
+        seen = state
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        after = cut(small.select("e.u", "e.v").where("u > v").distinct())
+        discard(now)
         now = after
-        if stable:
-            return now.select(F.col("u").alias("node"), F.col("m").alias("component"))
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = cut(stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    discard(now)
+    return out

@@ -244,13 +244,13 @@ def q_weighted_opponent(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -1 - l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node, min(seen) AS component FROM r GROUP BY 1")
 def q_components(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "lineitem").where("l_quantity = 50 and l_returnflag = 'R'").select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b"))
-    return graph.components(e)
+    return graph.connected_components(e)
 
 
 @query()
 def q_components_all(spark: SparkSession, d: str) -> DataFrame:
     """The components of the whole table; the recursive SQL of ``q_components`` bears a filtered one only."""
-    return graph.components(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")))
+    return graph.connected_components(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")))
 
 
 _VALUE = "CASE WHEN l_returnflag = 'R' THEN -l_discount ELSE l_tax END"

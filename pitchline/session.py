@@ -8,7 +8,6 @@ so an executor that is lost takes nothing with it.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -38,9 +37,15 @@ def build_session(app: str = "pitchline", master: str | None = None, **conf) ->
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a fresh local one only where
-    the session names none (tests, a laptop)."""
+    a local session names none (tests, a laptop).
+
+    On a cluster a local folder would be another one on each machine, so there
+    the setting is required.
+    """
     path = spark.conf.get(CHECKPOINT_DIR, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-cut-")
         spark.conf.set(CHECKPOINT_DIR, path)
     return path.rstrip("/")
@@ -94,13 +99,12 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of one Arrow batch, so that long texts fit a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Bound the bytes of the Arrow batches of this session, so that long texts fit a worker.
 
-
-def local_cores() -> int:
-    return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
+    A plan runs after the function that made it has returned, so the bound
+    stays set; a smaller one of the user's is left alone.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1))) > size:
+        spark.conf.set(key, str(size))

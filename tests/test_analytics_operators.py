@@ -53,9 +53,9 @@ def test_prior_mean_does_not_see_the_same_day(spark):
 
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
-    got = {r.node: r.component for r in graph.components(e).collect()}
+    got = {r.node: r.component for r in graph.connected_components(e).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 102: 100}
-    assert graph.components(e.where("a < 0")).count() == 0
+    assert graph.connected_components(e.where("a < 0")).count() == 0
 
 
 def test_three_way_ratings(spark):
