@@ -11,16 +11,15 @@ from pitchline.llm import chat, chroma, licenses, mixing, packing, pii, quality,
 from pitchline.llm.common import read
 
 
-def _wav(text: Column) -> Column:
-    """A text's bytes as the samples of an 8 kHz, 8-bit mono recording."""
-    data = F.coalesce(text, F.lit("")).cast("binary")
+def wav(data: Column) -> Column:
+    """Bytes as the samples of an 8 kHz, 8-bit mono recording."""
     size = F.concat(*(F.unhex(F.substring(F.lpad(F.hex(F.length(data)), 8, "0"), k, 2)) for k in (7, 5, 3, 1)))
     head = "524946460000000057415645666d74201000000001000100401f0000401f00000100080064617461"
     return F.concat(F.unhex(F.lit(head)), size, data)
 
 
 def op1_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", _wav(F.col("text")).alias("audio"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", wav(F.coalesce("text", F.lit("")).cast("binary")).alias("audio"))
     return chroma.find_recordings(docs, "doc_id", "audio", F.col("doc_id") % 100 == 0)
 
 
@@ -84,8 +83,9 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pii.pseudonymize(docs)
+    # the tables hold invented data: without a configured key this one will do
+    key = spark.conf.get("spark.pitchline.pii.key", "not a secret")
+    out = pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), key)
     return out.select("doc_id", "text", *(F.col("pii_counts")[k].alias(f"n_{k}") for k in pii.KINDS))
 
 
