@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchline.session import small_batches
+from pitchline.session import bounded_batches
 
 #: Kinds in listing order; the first three are the base kinds.
-KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "private_key")
+KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "private_key", "google", "slack", "stripe", "gitlab", "pypi", "card")
 BASE_KINDS = KINDS[:3]
 SPANS = "spans array<struct<kind:string,start:int,end:int>>"
 
@@ -35,6 +35,12 @@ KEYWORDS = {
     "npm_": "npm",
     "eyj": "jwt",
     "-----begin ": "private_key",
+    "aiza": "google",
+    "xoxa-": "slack", "xoxb-": "slack", "xoxp-": "slack", "xoxr-": "slack", "xoxs-": "slack",
+    "sk_live_": "stripe", "rk_live_": "stripe",
+    "glpat-": "gitlab",
+    "pypi-ageichlwas5vcmc": "pypi",
+    "card number": "card", "card no": "card", "cardnumber": "card", "card_number": "card",
 }
 
 ANCHORED = {
@@ -44,7 +50,15 @@ ANCHORED = {
     "npm": re.compile(r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*"),
     "private_key": re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----[A-Za-z0-9+/=\s]*-----END \1-----"),
+    "google": re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
+    "slack": re.compile(r"xox[abprs]-[0-9]{6,}(?:-[0-9A-Za-z]{6,})+"),
+    "stripe": re.compile(r"[sr]k_live_[0-9A-Za-z]{24,}"),
+    "gitlab": re.compile(r"glpat-[0-9A-Za-z_-]{20,}"),
+    "pypi": re.compile(r"pypi-AgEIcHlwaS5vcmc[0-9A-Za-z_-]{50,}"),
+    "card": re.compile(r"card[_ ]?n(?:umber|o)\.?[\"']?\x20*[:=]?\x20*[\"']?([0-9](?:[ -]?[0-9]){12,18})(?![0-9])", re.IGNORECASE | re.ASCII),
 }
+#: A jwt's first part; where it ends does not depend on where in it a match is tried.
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -66,6 +80,12 @@ def _jwt_header(token: str) -> bool:
         return False
 
 
+def luhn(digits: str) -> bool:
+    """Whether the last digit is the check digit of the rest."""
+    values = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return sum(v - 9 if v > 9 else v for v in values) % 10 == 0
+
+
 def _valid(kind: str, m: re.Match) -> bool:
     """What a match must hold to count; a failing match still uses up its text."""
     if kind == "assign":
@@ -77,6 +97,8 @@ def _valid(kind: str, m: re.Match) -> bool:
         return base62_crc(body[:30]) == body[30:]
     if kind == "jwt":
         return _jwt_header(m.group())
+    if kind == "card":
+        return luhn(re.sub("[^0-9]", "", m.group(1)))
     return True
 
 
@@ -101,24 +123,30 @@ def find(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
     hits = sorted((at - n + 1, kind) for at, (kind, n) in automaton.iter(low))
     found, past = [], dict.fromkeys(KINDS, 0)
     for start, kind in hits:
-        if start >= past[kind] and (m := ANCHORED[kind].match(text, start)):
+        if start < past[kind]:
+            continue
+        if m := ANCHORED[kind].match(text, start):
             past[kind] = m.end()
             if _valid(kind, m):
                 found.append((kind, start, m.end()))
+        elif kind == "jwt" and text.startswith("eyJ", start):
+            past[kind] = JWT_RUN.match(text, start).end()  # the rest of the run fails for the same reason
     found += [("hex", m.start(), m.end()) for m in HEX_RUN.finditer(text)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, spans)`` for each row; a null or clean text has no spans."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
-    def run(batches):
+    @F.pandas_udf(SPANS.removeprefix("spans "))
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         a = _automaton()
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "spans": [[dict(zip(("kind", "start", "end"), s)) for s in find(t, a)] if t else [] for t in b["text"]]})
+        for texts in batches:
+            yield pd.Series([[dict(zip(("kind", "start", "end"), s)) for s in find(t, a)] for t in texts], dtype=object)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id long, {SPANS}")
+    # ids stay in the JVM: a null among them would make them floating point
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), spans(F.coalesce(F.col(text_col), F.lit(""))).alias("spans"))
 
 
 def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -141,7 +169,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     their types.  A null text stays null; a column ``n_chars``, if there is
     one, is counted anew.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
