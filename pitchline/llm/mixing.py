@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pitchline.llm.common import n_words, unused
 from pitchline.session import cut
 
-BLOCK, FAN_IN = 50_000, 64
+BLOCK, FAN_IN = 2048, 64
 _EPS = 1e-12
-_ROW = "doc_id long, _key long, _extra long, size long, rank int, block long, whole long, p double, open boolean"
+_ROW = "doc_id long, lost boolean, _key long, _extra long, size long, rank int, block long, whole long, p double, open boolean"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -78,7 +78,7 @@ def _round_block(p: np.ndarray, size: np.ndarray, draw, last: bool) -> np.ndarra
 
 def _rounder(seed: int, last: bool, level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_extra", "doc_id", "size", "whole", "_key"], kind="stable", na_position="last").reset_index(drop=True)
+        rows = rows.sort_values(["_extra", "lost", "doc_id", "size", "whole", "_key"], kind="stable").reset_index(drop=True)
         draw = np.random.default_rng([seed, level, int(rows["rank"][0]), int(rows["block"][0])]).random
         p = _round_block(rows["p"].to_numpy(float), rows["size"].to_numpy(float), draw, last)
         rows["open"] = (p > 0) & (p < 1)
@@ -119,7 +119,7 @@ def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights
     rows = sizes.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
     key = targets.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "rank", "docs", "source_size", "target")
     rows = rows.join(key, ["_s", "_n"]).withColumn("rate", rate).withColumn("_extra", F.xxhash64(F.coalesce("doc_id", "_key"), F.lit(seed)))
-    rows = rows.select("doc_id", "_key", "_extra", "size", "rank", F.pmod("_extra", n_blocks).alias("block"), F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.lit(True).alias("open"))
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("lost"), "_key", "_extra", "size", "rank", F.pmod("_extra", n_blocks).alias("block"), F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.lit(True).alias("open"))
     levels = max(0, math.ceil(math.log(max(1, math.ceil(most / block)), FAN_IN) - 1e-9))
     done = []
     for level in range(levels + 1):
@@ -131,7 +131,7 @@ def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights
     for d in done[1:]:
         out = out.unionByName(d)
     named = targets.select("rank", "source", "source_size", "target")
-    return out.join(named, "rank").select("doc_id", "_key", "source", "size", "source_size", "target", F.col("whole").alias("copies"), (F.col("whole") * F.col("size")).alias("taken"))
+    return out.join(named, "rank").select(F.when(~F.col("lost"), F.col("doc_id")).alias("doc_id"), "_key", "source", "size", "source_size", "target", F.col("whole").alias("copies"), (F.col("whole") * F.col("size")).alias("taken"))
 
 
 def resample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **kw) -> DataFrame:
