@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchline.llm.common import let
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 PLACEHOLDER = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
 # Strings with a meaning in this or other common templates.
@@ -59,13 +61,26 @@ def visit(parts: Column) -> Column:
     """struct<body, attachments>: a message's parts flattened in order.
 
     Parts of an unknown type are kept as escaped text; null parts and null
-    texts are empty.
+    texts are empty.  Texts without a placeholder between them are escaped as one.
     """
     parts = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
     mark = F.create_map(*(F.lit(x) for kv in PLACEHOLDER.items() for x in kv))
-    body = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(mark, F.coalesce(p["type"], F.lit("text"))), escape(F.coalesce(p["text"], F.lit(""))))), "")
-    attached = F.filter(parts, lambda p: F.coalesce(p["type"].isin(*PLACEHOLDER), F.lit(False)))
-    return F.struct(body.alias("body"), F.transform(attached, lambda p: F.struct(p["type"].alias("type"), p["uri"].alias("uri"), part_tokens(p).alias("tokens"))).alias("attachments"))
+
+    def flat(p: Column) -> Column:
+        media = lambda x: F.coalesce(x["type"].isin(*PLACEHOLDER), F.lit(False))
+        at = F.filter(F.transform(p, lambda x, i: F.when(media(x), i)), lambda i: i.isNotNull())
+
+        def between(borders: Column) -> Column:
+            # texts that stand side by side are one text before anything is escaped
+            text = lambda i, j: F.array_join(F.transform(F.slice(p, i + 2, j - i - 1), lambda x: F.coalesce(x["text"], F.lit(""))), "")
+            last = F.size(borders) - 1
+            piece = lambda b, i: F.when(i < last, F.concat(escape(text(b, F.get(borders, i + 1))), F.coalesce(F.try_element_at(mark, F.get(p, F.get(borders, i + 1))["type"]), F.lit(""))))
+            return F.array_join(F.transform(borders, piece), "")
+
+        body = let(F.concat(F.array(F.lit(-1)), at, F.array(F.size(p))), between)
+        return F.struct(body.alias("body"), F.transform(F.filter(p, media), lambda x: F.struct(x["type"].alias("type"), x["uri"].alias("uri"), part_tokens(x).alias("tokens"))).alias("attachments"))
+
+    return let(parts, flat)
 
 
 def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -77,21 +92,19 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     role is empty; an empty table gives no rows.
     """
     seen = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), visit(F.col(parts)).alias("v"))
-    rows = seen.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "v.body", "v.attachments"))).alias("m"))
-    head = lambda m: F.concat(F.lit(OPEN), _escape_role(m["role"]), F.lit("\n"))
-    rows = rows.select("conv_id", "m", F.transform("m", lambda m: F.struct(head(m).alias("head"), F.concat(m["body"], F.lit(CLOSE + "\n")).alias("rest"), F.length(m["body"]).alias("n"), m["role"].isin(*trained).alias("loss"))).alias("p"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        a = acc["at"] + F.length(p["head"])
-        spans = F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(a.alias("start"), (a + p["n"]).alias("end"))))).otherwise(acc["spans"])
-        return F.struct((a + F.length(p["rest"])).cast("long").alias("at"), spans.alias("spans"))
-
+    head = F.concat(F.lit(OPEN), _escape_role(F.col("role")), F.lit("\n"))
+    rows = seen.select("conv_id", "turn", "role", "v.body", "v.attachments", head.alias("head"), F.length(head).cast("long").alias("h"), F.length("v.body").cast("long").alias("n"))
+    # one shuffle by conversation serves the running length, the order and the gathering
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body", F.to_json("attachments"))
+    before = F.sum(F.col("h") + F.col("n") + len(CLOSE) + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n") - len(CLOSE) - 1
+    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("start", before)
+    message = F.struct("at", "start", (F.col("start") + F.col("n")).alias("end"), F.col("role").isin(*trained).alias("loss"), F.concat("head", "body", F.lit(CLOSE + "\n")).alias("whole"), "attachments")
+    rows = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m"))
     attached = F.flatten(F.transform("m", lambda m: m["attachments"]))
     return rows.select(
         "conv_id",
-        F.array_join(F.transform("p", lambda p: F.concat(p["head"], p["rest"])), "").alias("formatted"),
-        F.aggregate("p", start, step, lambda acc: acc["spans"]).alias("loss_spans"),
+        F.array_join(F.transform("m", lambda m: m["whole"]), "").alias("formatted"),
+        F.transform(F.filter("m", lambda m: m["loss"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("loss_spans"),
         F.transform(attached, lambda a, i: F.struct(i.alias("ordinal"), a["type"].alias("type"), a["uri"].alias("uri"), a["tokens"].alias("tokens"))).alias("attachments"),
         F.aggregate(attached, F.lit(0).cast("long"), lambda acc, a: acc + a["tokens"]).alias("expanded_tokens"),
     )
@@ -107,5 +120,7 @@ def read_back(chats: DataFrame) -> DataFrame:
         body = F.substring(p, cut + 1, F.length(p) - cut - len(CLOSE) - 1)
         return F.struct(_unescape_role(F.substring(p, F.lit(1), cut - 1)).alias("role"), unescape(body).alias("text"))
 
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    # four bytes a code point, so that a span is found without counting from the start
+    part = lambda b, s: F.decode(F.substring(b, (4 * s["start"] + 1).cast("int"), (4 * (s["end"] - s["start"])).cast("int")), "UTF-32")
+    loss = let(F.encode("formatted", "UTF-32"), lambda b: F.transform("loss_spans", lambda s: unescape(part(b, s))))
     return chats.select("*", F.transform(pieces, turn).alias("turns"), F.array_join(loss, "").alias("loss_text"))
