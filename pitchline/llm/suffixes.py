@@ -50,7 +50,7 @@ MAX_PARTITIONS = 1 << 16
 
 _BLOCK = "k long, h long, seq int, ids array<long>, hs array<long>, lens array<long>, data binary"
 _SENT = "k long, h long, seq int, bucket long, entries binary"
-_BACK = "k long, h long, seq int, bucket long, answers binary"
+_BACK = "k long, h long, seq int, bucket long, answers binary, most int"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _OUT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0x165667B19E3779F9)
@@ -182,14 +182,15 @@ def _answers(block: _Block, back, bucket: np.ndarray, dtype) -> np.ndarray:
 
 
 def _judge(dtype, verdict: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """A bucket's rows joined, judged and answered; answers of zeros only are not sent."""
+    """A bucket's rows joined, judged and answered; answers of zeros only are not sent.  ``most`` is the largest code in it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         entries = [np.frombuffer(b, dtype) for b in rows["entries"]]
         sizes = [len(e) for e in entries]
-        answers = np.split(verdict(np.concatenate(entries), np.repeat(rows["seq"].to_numpy(), sizes)), np.cumsum(sizes)[:-1])
-        answers = [a.tobytes() for a in answers]
-        out = rows[["k", "h", "seq", "bucket"]].assign(answers=answers)
+        answers = verdict(np.concatenate(entries), np.repeat(rows["seq"].to_numpy(), sizes))
+        most = int(answers["code"].max()) if answers.dtype == _RANKED else 0
+        answers = [a.tobytes() for a in np.split(answers, np.cumsum(sizes)[:-1])]
+        out = rows[["k", "h", "seq", "bucket"]].assign(answers=answers, most=most)
         return out[[any(a) for a in answers]]
 
     return run
@@ -460,7 +461,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return run
 
-    def finish(bits: int, single_bits: int):
+    def finish(bits: int, single_bits: int, hot_ranks: bool):
         def run(block: _Block, row) -> Iterator[pd.DataFrame]:
             s = samples(block, row)
             again = np.zeros(block.size, bool)
@@ -470,7 +471,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 got = _answers(block, row.suffixes, bucket, [("bits", "u1", -(-V // 8))])["bits"]
                 sample_no, before = np.nonzero(np.unpackbits(got, axis=1, count=V))
                 again[s.at[which[sample_no]] - before] = True
-                if (s.code == SINGLY).any():
+                if hot_ranks and (s.code == SINGLY).any():
                     at, run_of, bucket, _ = s.single_entries(single_bits)
                     late = np.ones(len(at), bool)
                     late[_first_of(run_of)] = _answers(block, row.singles, bucket, np.uint8) > 0
@@ -503,11 +504,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             _, blocks = judged(blocks, sample, [("key", "u1", _KEY)], _often, "samples")
             need = length - V + 1
             ranks, blocks = judged(blocks, rank, [("string", "u1", need), ("context", "<u8", 2), ("contexts", "<u4"), *_PLACE], _ranked(hot), "ranks")
-            entries = (ranks.agg(F.sum(F.length("answers"))).first()[0] or 0) / _RANKED.itemsize
+            size, most = ranks.agg(F.sum(F.length("answers")), F.max("most")).first()
+            entries, hot_ranks = (size or 0) / _RANKED.itemsize, most == SINGLY
             bits, single_bits = _bits(entries, BUCKETS[2]), _bits(8 * entries, BUCKETS[2])
             _, blocks = judged(blocks, suffixes(bits), _suffix_dtype(), _sorted_suffixes, "suffixes")
-            _, blocks = judged(blocks, singly(single_bits), _single_dtype(length), _sorted_singly, "singles")
-            return cut(blocks.mapInPandas(each(finish(bits, single_bits)), _OUT))
+            if hot_ranks:
+                _, blocks = judged(blocks, singly(single_bits), _single_dtype(length), _sorted_singly, "singles")
+            return cut(blocks.mapInPandas(each(finish(bits, single_bits, hot_ranks)), _OUT))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         for x in made:
