@@ -1,13 +1,14 @@
 """Surrogates for personal data: keyed, type-consistent, distinct and coreferent.
 
 Detected entities are replaced by values of the same kind, shape and script.
-A surrogate is a keyed permutation of the entity's canonical form (balanced
-rounds over its two halves, each character moved within its own class), so
-equal entities get equal surrogates in every document and different ones stay
-different.  A pass over the distinct entities checks that no surrogate equals
-its entity, another entity's surrogate or any real entity; those that fail get
-another attempt number, which changes their permutation.  DataFrame functions
-only.
+Texts are matched once: a person found by title or given name is then known by
+each part of the name, so that later mentions by surname are the same person.
+Listed names become other listed names of their gender and kind; other names
+are respelled by a keyed permutation of their syllables' letters, numbers and
+addresses by keyed permutations of their digits.  All of these are one-to-one,
+so different entities stay different and equal ones equal in every document; a
+check over the distinct entities finds any that meet another's surrogate or
+stay as they were, and gives those another turn.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,19 +16,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchline.llm.common import let
-from pitchline.session import cut
+from pitchline.llm.common import let, unused
+from pitchline.session import cut, discard
 
-# Titles by gender, given names by gender, and the patterns.
-TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sir", "господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "госпожа"), "n": ("Dr", "Prof")}
+# Titles and given names by gender, surnames, name particles, characters of Chinese names.
+TITLES = {"m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sir", "Signor", "господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Signora", "госпожа"), "n": ("Dr", "Prof", "Professor")}
 GIVEN = {
-    "m": ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "James", "Karl", "Louis", "Martin", "Niels", "Oscar", "Paul"),
-    "f": ("Anna", "Berta", "Clara", "Diana", "Emma", "Frida", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula"),
+    "m": "Adam Alan Albert Alexander Andreas Anton Arthur Ben Bernd Bruno Carl Carlos Charles Christian Daniel David Dennis Diego Edward Emil Eric Felix Frank Franz Fritz Georg George Gerhard Günter Hans Harry Heinrich Henry Hugo Ivan Jack Jacques James Jan Jean Jens Johann John Jonas Jorge Jose Joseph Juan Karl Klaus Kurt Lars Leon Louis Lucas Luigi Luis Lukas Marc Marco Mark Martin Matthias Max Michael Miguel Niels Nicolas Oliver Oscar Otto Pablo Patrick Paul Pedro Peter Philip Pierre Ralf Richard Robert Roger Rolf Samuel Sebastian Stefan Stephen Thomas Tim Tobias Tom Uwe Victor Walter Werner William Wolfgang",
+    "f": "Agnes Alice Amelie Amy Andrea Angela Anna Anne Antonia Barbara Beate Berta Birgit Brigitte Camille Carla Carmen Carol Caroline Catherine Charlotte Christine Clara Claudia Diana Dora Doris Edith Elena Eleanor Elisabeth Ella Emily Emma Erika Esther Eva Fiona Frida Gabriele Gertrud Gisela Greta Hannah Heidi Heike Helen Helga Ida Ilse Inge Ingrid Irene Isabel Jane Janet Jennifer Jessica Johanna Joan Julia Julie Karen Karin Katharina Kathrin Laura Lena Linda Lisa Louise Lucia Lucy Margaret Maria Marie Marta Mary Monika Nadia Nancy Nicole Nina Nora Olga Patricia Paula Petra Renate Rosa Ruth Sabine Sandra Sara Sarah Sofia Sophie Susan Susanne Teresa Ursula Vera Victoria",
+    "m кириллица": "Алексей Андрей Антон Борис Виктор Владимир Григорий Дмитрий Евгений Иван Игорь Максим Михаил Николай Олег Павел Пётр Сергей Фёдор Юрий",
+    "f кириллица": "Александра Алина Анна Валентина Вера Галина Дарья Екатерина Елена Ирина Ксения Людмила Марина Мария Наталья Нина Ольга Светлана Татьяна Юлия",
 }
+SURNAMES = {
+    "latin": "Adams Allen Anderson Baker Bauer Becker Bell Berger Bernard Bianchi Blanc Böhm Brandt Braun Brown Campbell Carter Clark Collins Cook Cooper Davies Davis Diaz Dubois Dupont Edwards Engel Evans Fernandez Ferrari Fischer Fontaine Fournier Frank Friedrich Garcia Garnier Girard Gomez Gonzalez Graf Gray Green Gruber Haas Hahn Hall Harris Hartmann Hernandez Hill Hofer Hoffmann Huber Hughes Jackson Jäger Jensen Johnson Jones Kaiser Keller King Klein Koch Köhler König Kraus Krüger Lambert Lang Lange Larsen Laurent Lefebvre Lehmann Leroy Lewis Lopez Lorenz Ludwig Maier Marino Martinez Mayer Meyer Miller Mitchell Moore Moreau Morel Morgan Moser Müller Murphy Neumann Nielsen Olsen Ortiz Parker Perez Peters Petit Phillips Pohl Ramirez Reed Richter Rivera Roberts Robinson Romano Rossi Roth Roux Ruiz Russo Sanchez Schäfer Schmidt Schmitt Schneider Scholz Schreiber Schröder Schubert Schulz Schuster Schwarz Scott Simon Smith Sommer Stein Stewart Taylor Thompson Torres Turner Vogel Vogt Wagner Walker Ward Watson Weber Weiss Werner White Williams Wilson Winkler Winter Wolf Wood Wright Young Ziegler Zimmermann",
+    "кириллица": "Белов Васильев Волков Голубев Егоров Зайцев Иванов Козлов Кузнецов Лебедев Морозов Никитин Новиков Орлов Павлов Петров Попов Семёнов Смирнов Соколов Соловьёв Степанов Фёдоров Яковлев",
+    "кириллица f": "Белова Васильева Волкова Голубева Егорова Зайцева Иванова Козлова Кузнецова Лебедева Морозова Никитина Новикова Орлова Павлова Петрова Попова Семёнова Смирнова Соколова Соловьёва Степанова Фёдорова Яковлева",
+}
+PARTICLES = "von van der den de del della di da dos du la le ter zu bin al".split()
+HAN_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高梁郑罗宋谢唐韩曹许邓萧冯曾程蔡彭潘袁于董余苏叶吕魏蒋田杜丁沈姜"
+HAN_GIVEN = "伟芳娜秀英敏静丽强磊军洋勇艳杰娟涛明超兰霞平刚桂文辉玲红建华志国梅鹏飞宇浩欣怡佳琳雪晨阳"
+
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
+_WORD = r"\p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++)*+"
+_GIVEN = "|".join(sorted((n for names in GIVEN.values() for n in names.split()), key=len, reverse=True))
+_NEXT = rf"(?: (?:(?:{'|'.join(PARTICLES)}) )*(?:{_WORD}|\p{{Lu}}\.(?= \p{{Lu}})))"
+_HAN = r"[\x{4E00}-\x{9FA5}]"
+_HONORIFIC = "(?=先生|女士|小姐|太太|教授|博士)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
+    "person": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? (?:{_WORD}{_NEXT}{{0,2}}|{_HAN}{{2,4}})|(?:{_GIVEN})(?:-{_WORD})?{_NEXT}{{1,2}}(?!\p{{L}}))|[{HAN_SURNAMES}]{_HAN}{{1,2}}{_HONORIFIC}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -37,17 +54,47 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without a match of this have no entity; a cheap test before the patterns.
-HINT = rf"@|[0-9][ .-]?[0-9]|[0-9]\.[0-9]|(?:{_TITLE})\.? \p{{Lu}}"
-#: Characters move within their class only.
-CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "äöüàâéèêëïîôûçñáíóú", "ÄÖÜÀÂÉÈÊËÏÎÔÛÇÑÁÍÓÚ")
-ROUNDS = 4
+HINT = rf"@|[0-9][ .-]?[0-9]|[0-9]\.[0-9]|(?<!\p{{L}})(?:{_TITLE})\.? [\p{{Lu}}\x{{4E00}}-\x{{9FA5}}]|(?<!\p{{L}})(?:{_GIVEN})[ -]|{_HONORIFIC}"
+
+_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+#: Consonant pairs that are easy to say, and by rule all others: each list is permuted in itself.
+_PAIRS = "bl br ch cl cr dr fl fr gl gr kl kn kr ph pl pr sc sh sk sl sm sn sp st sw th tr tw ld ll lm ln lt mb mm mp nd ng nk nn ns nt rb rd rg rk rl rm rn rs rt ss tt ck".split()
+_RARE = [a + b for a in _CONSONANTS for b in _CONSONANTS if a + b not in _PAIRS]
+_LISTS = [
+    list(_VOWELS), list(_CONSONANTS), _PAIRS, _RARE, list("0123456789"), list("äöü"), list("àâéèêëïîôûáíóúñç"), list("аеёиоуыэюя"), list("бвгджзклмнпрстфхцчшщ"),
+    list("αεηιουω"), list("βγδζθκλμνξπρστφχψ"), list(HAN_GIVEN), list(HAN_SURNAMES),
+]
+_UNITS = [u for units in _LISTS for u in units]
+_FIRST = [sum(map(len, _LISTS[:k])) for k, units in enumerate(_LISTS) for _ in units]
+_COUNT = [len(units) for units in _LISTS for _ in units]
+_SEGMENT = rf"[{_CONSONANTS}]{{1,2}}|."
+_NAMES = [names.split() for names in (*GIVEN.values(), *SURNAMES.values())]
+#: First octets of which no part is private, local or reserved.
+_PUBLIC = [n for n in range(1, 224) if n not in (10, 127, 169, 172, 192)]
+
+
+def _strings(items: list[str]) -> Column:
+    return F.split(F.lit(" ".join(items)), " ")
+
+
+def _ints(items: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, items))), ",").cast("array<int>")
+
+
+def _byte(stream: Column, i: Column) -> Column:
+    return F.conv(F.substring(stream, (F.pmod(i, F.lit(32)) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+
+
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def kind_of(entity: Column) -> Column:
+    """The kind of a mention; what matches no pattern is a part of a known name."""
     out = F.when(entity.rlike(f"^(?:{PATTERNS['email']})$"), "email")
-    for k in KINDS[1:]:
+    for k in KINDS[2:]:
         out = out.when(entity.rlike(f"^(?:{PATTERNS[k]})$"), k)
-    return F.coalesce(out, F.lit("phone"))
+    return out.otherwise("person")
 
 
 def canonical(kind: Column, entity: Column) -> Column:
@@ -58,177 +105,228 @@ def canonical(kind: Column, entity: Column) -> Column:
     return F.when(kind == "email", F.lower(entity)).when(kind == "person", name).when(kind == "iban", F.replace(entity, F.lit(" "))).when(kind == "ip", octets).otherwise(digits)
 
 
-def _stream(key: Column, other: Column, r: Column) -> Column:
-    return F.sha2(F.concat_ws("|", key, r.cast("string"), other), 256)
+def _turned(units: Column, stream: Column, least: int) -> Column:
+    """Each listed unit moved on within its list by a keyed amount, 0 or 1 at least; others stay."""
 
+    def one(u: Column, i: Column) -> Column:
+        def moved(p: Column) -> Column:
+            first, n = F.get(_ints(_FIRST), p), F.get(_ints(_COUNT), p)
+            by = least + _byte(stream, i) * 256 + _byte(stream, i + 13)
+            by = F.when(F.lit(least) == 0, F.pmod(by, n)).otherwise(1 + F.pmod(by, n - 1))
+            return F.when(p < 0, u).otherwise(F.get(_strings(_UNITS), first + F.pmod(p - first + by, n)))
 
-def _byte(stream: Column, i: Column) -> Column:
-    return F.conv(F.substring(stream, (F.pmod(i, F.lit(32)) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+        return let((F.array_position(_strings(_UNITS), u) - 1).cast("int"), moved)
 
+    return F.transform(units, one)
 
-_ALPHABET = "".join(CLASSES)
-_FIRST = ",".join(str(_ALPHABET.index(c[0])) for c in CLASSES for _ in c)
-_LENGTH = ",".join(str(len(c)) for c in CLASSES for _ in c)
 
+def respell(key: Column, word: Column) -> Column:
+    """A one-to-one keyed respelling: letter case, length, script and the order of vowels and consonants stay.
 
-def _ints(listed: str) -> Column:
-    return F.split(F.lit(listed), ",").cast("array<int>")
+    Consonants turn by an amount that the vowels choose, then vowels by one
+    that the new consonants choose; whatever is listed moves.
+    """
+    vowel = rf"^[{_VOWELS}äöüàâéèêëïîôûáíóúаеёиоуыэюяαεηιουω]$"
+    units = F.regexp_extract_all(F.lower(word), F.lit(_SEGMENT), F.lit(0))
+    part = lambda u, keep: F.array_join(F.transform(u, lambda x: F.when(x.rlike(vowel) == F.lit(keep), x).otherwise("-")), "")
+    pick = lambda u, new, keep: F.zip_with(u, new, lambda a, b: F.when(a.rlike(vowel) == F.lit(keep), b).otherwise(a))
 
+    def vowels(u: Column) -> Column:
+        return pick(u, _turned(u, F.sha2(F.concat_ws("|", key, part(u, False)), 256), 1), True)
 
-def _shift(char: Column, by: Column) -> Column:
-    """``char`` moved on within its class; other characters stay."""
+    def consonants(u: Column) -> Column:
+        return pick(u, _turned(u, F.sha2(F.concat_ws("|", key, part(u, True)), 256), 1), False)
 
-    def moved(p: Column) -> Column:
-        first = F.get(_ints(_FIRST), p)
-        return F.when(p < 0, char).otherwise(F.substring(F.lit(_ALPHABET), (first + F.pmod(p - first + by, F.get(_ints(_LENGTH), p)) + 1).cast("int"), F.lit(1)))
+    new = let(let(units, consonants), vowels)
+    cased = lambda s: F.array_join(F.zip_with(_chars(word), _chars(s), lambda a, b: F.when(a != F.lower(a), F.upper(b)).otherwise(b)), "")
+    return let(F.array_join(new, ""), cased)
 
-    return let(F.instr(F.lit(_ALPHABET), char) - 1, moved)
 
+def permute(key: Column, digits: Column) -> Column:
+    """A keyed permutation of the digit strings of a length: each half turns by what the other chooses, four times.
 
-def permute(key: Column, text: Column) -> Column:
-    """A keyed permutation of the strings of a shape: every character stays in its
-    class.  A single character has no second half to draw on and moves by the key alone."""
-    half = F.floor((F.length(text) + 1) / 2).cast("int")
-    state = F.struct(F.substring(text, F.lit(1), half).alias("moved"), F.substring(text, half + 1, F.length(text)).alias("other"))
+    A single digit has no other half and moves by the key alone.
+    """
+    half = F.floor((F.length(digits) + 1) / 2).cast("int")
+    state = F.struct(F.substring(digits, F.lit(1), half).alias("moved"), F.substring(digits, half + 1, F.length(digits)).alias("other"))
 
     def step(s: Column, r: Column) -> Column:
-        def body(stream: Column) -> Column:
-            chars = F.filter(F.split(s["moved"], ""), lambda c: c != "")
-            return F.array_join(F.transform(chars, lambda c, i: _shift(c, _byte(stream, i))), "")
-
-        return F.struct(s["other"].alias("moved"), let(_stream(key, s["other"], r), body).alias("other"))
+        stream = F.sha2(F.concat_ws("|", key, r.cast("string"), s["other"]), 256)
+        turn = lambda z: F.array_join(F.transform(_chars(s["moved"]), lambda c, i: F.pmod(c.cast("int") + _byte(z, i), F.lit(10)).cast("string")), "")
+        return F.struct(s["other"].alias("moved"), let(stream, turn).alias("other"))
 
     # the halves change places each round; after an even number they are back
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, step, lambda s: F.concat(s["moved"], s["other"]))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), state, step, lambda s: F.concat(s["moved"], s["other"]))
+
+
+def _mixed(key: Column, text: Column) -> Column:
+    """Letters and digits of a mail's or an account's part, one-to-one: letters respelled, digits permuted by themselves."""
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    letters = respell(key, F.regexp_replace(text, "[0-9]", "0"))  # every digit turns alike, by what the letters choose
+    new = let(permute(key, digits), lambda d: F.aggregate(F.zip_with(_chars(text), _chars(letters), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("s")), lambda acc, c: F.struct((acc["n"] + c["a"].rlike("[0-9]").cast("int")).alias("n"), F.array_append(acc["s"], F.when(c["a"].rlike("[0-9]"), F.get(_chars(d), acc["n"])).otherwise(c["b"])).alias("s")), lambda acc: F.array_join(acc["s"], "")))
+    return F.when(text == "", text).otherwise(new)
 
 
 def _luhn(digits: Column) -> Column:
     """The check digit that follows ``digits``."""
     n = F.length(digits)
-    values = F.transform(F.filter(F.split(digits, ""), lambda c: c != ""), lambda c, i: let(c.cast("int") * F.when(F.pmod(n - i, F.lit(2)) == 1, 2).otherwise(1), lambda v: F.when(v > 9, v - 9).otherwise(v)))
+    values = F.transform(_chars(digits), lambda c, i: let(c.cast("int") * F.when(F.pmod(n - i, F.lit(2)) == 1, 2).otherwise(1), lambda v: F.when(v > 9, v - 9).otherwise(v)))
     return F.pmod(F.lit(10) - F.pmod(F.aggregate(values, F.lit(0), lambda a, x: a + x), F.lit(10)), F.lit(10))
 
 
-def _parts(kind: Column, entity: Column) -> Column:
-    """The pieces of a canonical entity that are permuted, each for itself."""
-    at, n = F.instr(entity, "@"), F.length(entity)
-    host = F.substring(entity, at + 1, n - at - F.length(F.substring_index(entity, ".", -1)) - 1)
-    return (
-        F.when(kind == "email", F.array(F.substring(entity, F.lit(1), at - 1), host))
-        .when(kind == "person", F.split(entity, " "))
-        .when(kind == "iban", F.array(F.substring(entity, F.lit(3), n)))
-        .when(kind == "card", F.array(F.substring(entity, F.lit(2), n - 2)))
-        .otherwise(F.array(entity))
-    )
+def _card(key: Column, entity: Column) -> Column:
+    """First digit kept; a check digit that was right stays right, a wrong one wrong by as much."""
+    n = F.length(entity)
+    off = F.substring(entity, n, F.lit(1)).cast("int") - _luhn(F.substring(entity, F.lit(1), n - 1))
+    return let(F.concat(F.substring(entity, 1, 1), permute(key, F.substring(entity, F.lit(2), n - 2))), lambda x: F.concat(x, F.pmod(_luhn(x) + off, F.lit(10)).cast("string")))
 
 
-def _card(entity: Column, middle: Column) -> Column:
-    """First digit kept; a check digit that was right stays right, a wrong one wrong by as much."""
-    off = F.substring(entity, F.length(entity), F.lit(1)).cast("int") - _luhn(F.substring(entity, F.lit(1), F.length(entity) - 1))
-    return let(F.concat(F.substring(entity, 1, 1), middle), lambda x: F.concat(x, F.pmod(_luhn(x) + off, F.lit(10)).cast("string")))
+def _iban_check(country: Column, account: Column) -> Column:
+    """The check digits of an account number, as a number 2 to 98."""
+    add = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(_chars(F.concat(account, country, F.lit("00"))), F.lit(0), lambda acc, c: F.pmod(acc * F.when(c.rlike("[0-9]"), 10).otherwise(100) + add(c), F.lit(97)))
+    return 98 - rest
+
+
+def _iban(key: Column, entity: Column) -> Column:
+    """Country kept; check digits that were right stay right, wrong ones wrong by as much."""
+    country, given, account = F.substring(entity, 1, 2), F.substring(entity, 3, 2).cast("int"), F.substring(entity, F.lit(5), F.length(entity))
+    off = given - _iban_check(country, account)
+    new = F.upper(_mixed(key, account))
+    check = lambda a: F.pmod(_iban_check(country, a) + off, F.lit(97))
+    # 0 and 1 stand for 97 and 98
+    two = lambda c: F.lpad(F.when(c < 2, c + 97).otherwise(c).cast("string"), 2, "0")
+    return let(new, lambda a: F.concat(country, two(check(a)), a))
 
 
 def _ip(key: Column, address: Column) -> Column:
-    """A permutation of the 32-bit addresses, by rounds over their 16-bit halves."""
-    state = let(F.split(address, r"\.").cast("array<int>"), lambda x: F.struct((F.get(x, 0) * 256 + F.get(x, 1)).alias("a"), (F.get(x, 2) * 256 + F.get(x, 3)).alias("b")))
+    """Private, local and reserved addresses stay in their range, public ones public."""
+    o = F.split(address, r"\.").cast("array<int>")
+    turn = lambda salt, value, n: 1 + F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", key, F.lit(salt), value), 256), 1, 7), 16, 10).cast("long"), F.lit(n - 1))
 
-    def step(s: Column, r: Column) -> Column:
-        f = F.conv(F.substring(_stream(key, s["b"].cast("string"), r), 1, 4), 16, 10).cast("int")
-        return F.struct(s["b"].alias("a"), F.pmod(s["a"] + f, F.lit(65536)).alias("b"))
+    def within(values: list[int], x: Column, by: Column) -> Column:
+        listed = _ints(values)
+        return F.get(listed, F.pmod(F.array_position(listed, x) - 1 + by, F.lit(len(values))).cast("int"))
+
+    def new(x: Column) -> Column:
+        a, b = F.get(x, 0), F.get(x, 1)
+        low = F.get(x, 2) * 256 + F.get(x, 3)
+        low = F.pmod(low + turn("low", F.concat_ws(".", a.cast("string"), b.cast("string")), 65536), F.lit(65536))
 
-    octets = lambda s: F.array(F.floor(s["a"] / 256), F.pmod(s["a"], F.lit(256)).cast("long"), F.floor(s["b"] / 256), F.pmod(s["b"], F.lit(256)).cast("long"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, step, lambda s: F.array_join(octets(s).cast("array<string>"), "."))
+        def upper(z: Column) -> Column:
+            by = turn("second", F.concat_ws(".", a.cast("string"), z.cast("string")), 15)
+            keep = {169: 254, 192: 168}
+            second = F.when((a == 172) & b.between(16, 31), 16 + F.pmod(b - 16 + by, F.lit(16))).when((a == 172), within([n for n in range(256) if not 16 <= n <= 31], b, by))
+            for first, special in keep.items():
+                second = second.when((a == first) & (b == special), b).when(a == first, within([n for n in range(256) if n != special], b, by))
+            second = second.otherwise(F.pmod(b + by, F.lit(256)))
+            first = F.when(F.array_contains(_ints(_PUBLIC), a), within(_PUBLIC, a, turn("first", z.cast("string"), len(_PUBLIC)))).otherwise(a)
+            return F.concat_ws(".", first.cast("string"), second.cast("string"), F.floor(z / 256).cast("string"), F.pmod(z, F.lit(256)).cast("string"))
 
+        return let(low.cast("int"), upper)
 
-def _given(key: Column, part: Column, otherwise: Column) -> Column:
-    """A listed given name becomes another of its gender, by a keyed turn of the list."""
-    out = otherwise
-    turn = F.conv(F.substring(_stream(key, F.lit("given"), F.lit(0)), 1, 4), 16, 10).cast("int")
-    for names in GIVEN.values():
-        listed = F.split(F.lit(" ".join(names)), " ")
-        to = F.array_position(listed, part).cast("int") - 1 + turn % (len(names) - 1) + 1
-        out = F.when(F.array_contains(listed, part), F.get(listed, F.pmod(to, F.lit(len(names))))).otherwise(out)
-    return out
+    return let(o, new)
+
+
+def _name(key: Column, entity: Column, attempt: Column) -> Column:
+    """Each word of a name: a listed one becomes another of its list, particles and initials stay, the rest is respelled."""
+    known = _strings([n for names in _NAMES for n in names])
+    turn = lambda w, n: 1 + F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", key, F.lit("names"), F.lit(str(n))), 256), 1, 7), 16, 10).cast("long") + attempt, F.lit(n - 1))
+
+    def one(w: Column) -> Column:
+        out = F.when(w.isin(*PARTICLES, "-", "'", "’", " ") | w.rlike(r"^\p{Lu}\.$"), w)
+        for names in _NAMES:
+            listed = _strings(names)
+            out = out.when(F.array_contains(listed, w), F.get(listed, F.pmod(F.array_position(listed, w) - 1 + turn(w, len(names)), F.lit(len(names))).cast("int")))
+        # a respelling that is a listed name is respelled again, so that it meets none
+        again = lambda x: F.when(F.array_contains(known, x), respell(key, x)).otherwise(x)
+        return out.otherwise(let(let(respell(key, w), again), again))
+
+    return F.array_join(F.transform(F.regexp_extract_all(entity, F.lit(r"[-'’ ]|[^-'’ ]+"), F.lit(0)), one), "")
 
 
 def surrogate(kind: Column, entity: Column, attempt: Column, secret: str) -> Column:
     """The canonical surrogate of a canonical entity."""
     key = F.concat_ws("|", F.lit(secret), kind, attempt.cast("string"))
-    moved = F.transform(_parts(kind, entity), lambda p: F.when(kind == "person", _given(key, p, permute(key, p))).otherwise(permute(key, p)))
-
-    def whole(new: Column) -> Column:
-        one = F.get(new, 0)
-        mail = F.concat(one, F.lit("@"), F.get(new, 1), F.lit("."), F.substring_index(entity, ".", -1))
-        out = F.when(kind == "email", mail).when(kind == "person", F.array_join(new, " ")).when(kind == "iban", F.concat(F.substring(entity, 1, 2), one))
-        return out.when(kind == "card", _card(entity, one)).otherwise(one)
-
-    return F.when(kind == "ip", _ip(key, entity)).otherwise(let(moved, whole))
+    at = F.instr(entity, "@")
+    host = F.substring(entity, at + 1, F.length(entity) - at - F.length(F.substring_index(entity, ".", -1)) - 1)
+    mail = F.concat(_mixed(key, F.substring(entity, F.lit(1), at - 1)), F.lit("@"), _mixed(key, host), F.lit("."), F.substring_index(entity, ".", -1))
+    return F.when(kind == "person", _name(key, entity, attempt)).when(kind == "email", mail).when(kind == "ip", _ip(key, entity)).when(kind == "iban", _iban(key, entity)).when(kind == "card", _card(key, entity)).otherwise(permute(key, entity))
 
 
 def render(kind: Column, mention: Column, value: Column) -> Column:
     """``value`` in the format of the mention: its separators, its title, its letter case."""
-    digits = F.filter(F.split(value, ""), lambda c: c != "")
-    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("s"))
-    slots = F.filter(F.split(mention, ""), lambda c: c != "")
-    fill = lambda pattern: F.aggregate(slots, start, lambda a, c: F.when(c.rlike(pattern), F.struct((a["n"] + 1).alias("n"), F.concat(a["s"], F.get(digits, a["n"])).alias("s"))).otherwise(F.struct(a["n"].alias("n"), F.concat(a["s"], c).alias("s"))), lambda a: a["s"])
+    digits, slots = _chars(value), _chars(mention)
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("s"))
+    fill = lambda pattern: F.aggregate(slots, start, lambda a, c: F.when(c.rlike(pattern), F.struct((a["n"] + 1).alias("n"), F.array_append(a["s"], F.get(digits, a["n"])).alias("s"))).otherwise(F.struct(a["n"].alias("n"), F.array_append(a["s"], c).alias("s"))), lambda a: F.array_join(a["s"], ""))
     title = F.regexp_extract(mention, rf"^(?:{_TITLE})\.? ", 0)
     mail = F.when(mention == F.upper(mention), F.upper(value)).otherwise(value)
     return F.when(kind == "person", F.concat(title, value)).when(kind == "email", mail).when(kind == "ip", value).when(kind == "iban", fill("[A-Z0-9]")).otherwise(fill("[0-9]"))
 
 
-def mentions(text: Column) -> Column:
-    """array<struct<kind, mention, entity>> in text order; empty without a hint of one."""
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: let(kind_of(m), lambda k: F.struct(k.alias("kind"), m.alias("mention"), canonical(k, m).alias("entity"))))
+def pattern(text: Column) -> Column:
+    """The expression of a text's entities: the patterns, and the parts of the names it holds; null without any."""
+    names = F.regexp_extract_all(text, F.lit(PATTERNS["person"]), F.lit(0))
+    parts = F.flatten(F.transform(names, lambda m: F.split(F.regexp_replace(m, rf"^(?:{_TITLE})\.? ", ""), "[ ]")))
+    parts = F.array_sort(F.array_distinct(F.filter(parts, lambda w: (F.length(w) > 1) & ~w.isin(*PARTICLES) & ~w.rlike(r"\.$"))))
+    # longer parts first, so that a double name is not taken by its half
+    whole = lambda p: F.array_join(F.reverse(F.array_sort(F.transform(p, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))["w"], "|")
+    known = lambda p: F.when(F.size(p) > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), whole(p), F.lit(r")(?!\p{L})"))).otherwise(F.lit(ANY))
+    return F.when(text.rlike(HINT), let(parts, known))
+
+
+def _mentions(found: Column) -> Column:
+    return F.transform(found, lambda m: let(kind_of(m), lambda k: F.struct(k.alias("kind"), m.alias("mention"), canonical(k, m).alias("entity"))))
 
 
-def collisions(entities: DataFrame, secret: str, tries: int = 16) -> DataFrame:
-    """``(kind, entity, attempt)`` of the distinct entities that need an attempt above 0.
+def collisions(entities: DataFrame, secret: str) -> DataFrame:
+    """``(kind, entity, attempt)`` of the distinct entities that need an attempt above 0; as a rule none.
 
-    Each round takes the surrogates of all entities and finds those that equal
-    their entity, another's surrogate (all but the smallest entity) or a real
-    entity.  Short shapes may have no free value; after ``tries`` rounds such
-    entities keep their last attempt, which is still a permutation.
+    An entity that stays as it was, or meets the surrogate of another that
+    orders before it, takes its next attempt, until there is none.
     """
     now = cut(entities.withColumn("attempt", F.lit(0)).withColumn("value", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), secret)))
-    for _ in range(tries):
-        first = now.groupBy("kind", "value").agg(F.min("entity").alias("_first"))
-        real = now.select("kind", F.col("entity").alias("value"), F.lit(True).alias("_real"))
-        bad = cut(now.join(first, ["kind", "value"]).join(real, ["kind", "value"], "left").where(F.col("_real") | (F.col("entity") != F.col("_first"))).select("kind", "entity", F.lit(True).alias("_bad")))
+    while True:
+        first = now.groupBy("kind", "value").agg(F.min("entity").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        met = now.join(first, ["kind", "value"]).where("entity <> _first").select("kind", "entity")
+        bad = cut(met.unionByName(now.where((F.col("value") == F.col("entity")) & F.col("entity").rlike("[\\p{L}0-9]{2}")).select("kind", "entity")).distinct().withColumn("_bad", F.lit(1)))
         if bad.isEmpty():
-            break
-        after = now.join(bad, ["kind", "entity"], "left").withColumn("attempt", F.col("attempt") + F.coalesce(F.col("_bad").cast("int"), F.lit(0))).drop("_bad")
-        now = cut(after.withColumn("value", F.when(F.col("attempt") > 0, surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), secret)).otherwise(F.col("value"))))
-    return cut(now.where("attempt > 0").select("kind", "entity", "attempt"))
+            discard(bad)
+            return now.where("attempt > 0").select("kind", "entity", "attempt")
+        after = now.join(bad, ["kind", "entity"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("_bad", F.lit(0)))
+        again = surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), secret)
+        after = cut(after.withColumn("value", F.when(F.col("_bad") == 1, again).otherwise(F.col("value"))).drop("_bad"))
+        discard(now)
+        discard(bad)
+        now = after
 
 
-def pseudonymize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secret: str = "rotate-me") -> DataFrame:
+def pseudonymize(docs: DataFrame, secret: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text_col`` replaced, and ``pii_counts``, a map by kind.
 
-    Columns and rows are kept, but for a column ``pii_counts``; a null text stays null.  Texts are scanned in
-    place; only mentions, and the few attempts that are not 0, are shuffled.
+    Columns and rows are kept, but for a column ``pii_counts``; a null text
+    stays null; empty and clean texts stay as they are.  Texts are matched once
+    and written with what was found; nothing of them is shuffled.  ``secret``
+    is the key: who has it can tell which surrogate stands for a guessed entity.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    where = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_th"), mentions(text).alias("_m")).where(F.size("_m") > 0)
-    found = cut(where.select("_id", "_th", F.posexplode("_m").alias("_at", "m")).select("_id", "_th", "_at", "m.kind", "m.entity"))
-    redo = collisions(found.select("kind", "entity").distinct(), secret)
-    later = cut(found.join(redo, ["kind", "entity"]).groupBy("_id", "_th").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("_at", "attempt")))).alias("_redo")))
-    columns = docs.columns
-    docs = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id2"), F.xxhash64(text).alias("_th2"))
-    plain = F.col("_row")[text_col]
-    text = F.coalesce(plain, F.lit(""))
-    rows = docs.join(later, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_th2") == F.col("_th")), "left")
-    rows = rows.withColumn("_m", mentions(text))
-    attempt = lambda i: F.coalesce(F.try_element_at(F.col("_redo"), i), F.lit(0))
-    new = F.transform("_m", lambda m, i: render(m["kind"], m["mention"], surrogate(m["kind"], m["entity"], attempt(i), secret)))
-    rows = rows.withColumn("_new", F.when(F.size("_m") > 0, new).otherwise(F.array().cast("array<string>")))
-    gaps = F.split(text, ANY, -1)
-    joined = let(gaps, lambda g: F.array_join(F.transform(g, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_new"), i), F.lit("")))), ""))
-    counts = F.map_from_arrays(F.array(*(F.lit(k) for k in KINDS)), F.array(*(F.size(F.filter("_m", _is(k))) for k in KINDS)))
-    out = F.when(F.size("_m") > 0, joined).otherwise(plain)
-    row = F.struct(*(out.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in columns if c != "pii_counts"))
-    return rows.select(row.alias("_row"), counts.alias("pii_counts")).select("_row.*", "pii_counts")
-
-
-def _is(kind: str):
-    return lambda m: m["kind"] == kind
+    row, text, mark, gaps, found, turns, rid = unused(docs, "_row", "_text", "_mark", "_gaps", "_found", "_turns", "_rid")
+    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col) if len(docs.columns) > 1 else F.lit(0)).alias(row), F.col(text_col).alias(text))
+    marked = plain.withColumn(mark, pattern(F.coalesce(F.col(text), F.lit(""))))
+    some = F.when(F.col(mark).isNotNull(), F.regexp_extract_all(F.col(text), F.col(mark), F.lit(0)))
+    marked = marked.withColumn(found, F.when(F.size(some) > 0, some)).withColumn(gaps, F.when(F.col(found).isNotNull(), F.split(F.col(text), F.col(mark), -1)))
+    marked = cut(marked.select(F.monotonically_increasing_id().alias(rid), row, F.when(F.col(found).isNull(), F.col(text)).alias(text), gaps, _mentions(F.col(found)).alias(found)))
+    entities = marked.where(F.col(found).isNotNull()).select(F.explode(found).alias("m")).select("m.kind", "m.entity").distinct()
+    redo = collisions(entities, secret)
+    if redo.isEmpty():
+        rows = marked.withColumn(turns, F.lit(None).cast("map<int,int>"))
+    else:
+        at = marked.where(F.col(found).isNotNull()).select(rid, F.posexplode(found).alias("at", "m")).join(redo, (F.col("m.kind") == redo["kind"]) & (F.col("m.entity") == redo["entity"]))
+        rows = marked.join(at.groupBy(rid).agg(F.map_from_entries(F.collect_list(F.struct("at", "attempt"))).alias(turns)), rid, "left")
+    attempt = lambda i: F.coalesce(F.try_element_at(F.col(turns), i), F.lit(0))
+    new = F.transform(found, lambda m, i: render(m["kind"], m["mention"], surrogate(m["kind"], m["entity"], attempt(i), secret)))
+    joined = let(new, lambda n: F.array_join(F.transform(gaps, lambda x, i: F.concat(x, F.coalesce(F.get(n, i), F.lit("")))), ""))
+    count = lambda k: F.coalesce(F.size(F.filter(found, lambda m: m["kind"] == k)), F.lit(0))
+    counts = F.map_from_arrays(F.array(*(F.lit(k) for k in KINDS)), F.array(*(count(k) for k in KINDS)))
+    out = F.when(F.col(found).isNull(), F.col(text)).otherwise(joined)
+    whole = [out.alias(c) if c == text_col else F.col(row)[c].alias(c) for c in docs.columns if c != "pii_counts"]
+    return rows.select(*whole, counts.alias("pii_counts"))
