@@ -68,6 +68,7 @@ _UNITS = [u for units in _LISTS for u in units]
 _FIRST = [sum(map(len, _LISTS[:k])) for k, units in enumerate(_LISTS) for _ in units]
 _COUNT = [len(units) for units in _LISTS for _ in units]
 _SEGMENT = rf"[{_CONSONANTS}]{{1,2}}|."
+_VOWEL = rf"^[{_VOWELS}äöüàâéèêëïîôûáíóúаеёиоуыэюяαεηιουω]$"
 _NAMES = [names.split() for names in (*GIVEN.values(), *SURNAMES.values())]
 #: First octets of which no part is private, local or reserved.
 _PUBLIC = [n for n in range(1, 224) if n not in (10, 127, 169, 172, 192)]
@@ -105,19 +106,15 @@ def canonical(kind: Column, entity: Column) -> Column:
     return F.when(kind == "email", F.lower(entity)).when(kind == "person", name).when(kind == "iban", F.replace(entity, F.lit(" "))).when(kind == "ip", octets).otherwise(digits)
 
 
-def _turned(units: Column, stream: Column, least: int) -> Column:
-    """Each listed unit moved on within its list by a keyed amount, 0 or 1 at least; others stay."""
+def _turn(stream: Column, unit: Column, i: Column) -> Column:
+    """A listed unit moved on within its list by a keyed amount; others stay."""
 
-    def one(u: Column, i: Column) -> Column:
-        def moved(p: Column) -> Column:
-            first, n = F.get(_ints(_FIRST), p), F.get(_ints(_COUNT), p)
-            by = least + _byte(stream, i) * 256 + _byte(stream, i + 13)
-            by = F.when(F.lit(least) == 0, F.pmod(by, n)).otherwise(1 + F.pmod(by, n - 1))
-            return F.when(p < 0, u).otherwise(F.get(_strings(_UNITS), first + F.pmod(p - first + by, n)))
+    def moved(p: Column) -> Column:
+        first, n = F.get(_ints(_FIRST), p), F.get(_ints(_COUNT), p)
+        by = 1 + F.pmod(_byte(stream, i) * 256 + _byte(stream, i + 13), n - 1)
+        return F.when(p < 0, unit).otherwise(F.get(_strings(_UNITS), first + F.pmod(p - first + by, n)))
 
-        return let((F.array_position(_strings(_UNITS), u) - 1).cast("int"), moved)
-
-    return F.transform(units, one)
+    return let((F.array_position(_strings(_UNITS), unit) - 1).cast("int"), moved)
 
 
 def respell(key: Column, word: Column) -> Column:
@@ -126,20 +123,15 @@ def respell(key: Column, word: Column) -> Column:
     Consonants turn by an amount that the vowels choose, then vowels by one
     that the new consonants choose; whatever is listed moves.
     """
-    vowel = rf"^[{_VOWELS}äöüàâéèêëïîôûáíóúаеёиоуыэюяαεηιουω]$"
-    units = F.regexp_extract_all(F.lower(word), F.lit(_SEGMENT), F.lit(0))
-    part = lambda u, keep: F.array_join(F.transform(u, lambda x: F.when(x.rlike(vowel) == F.lit(keep), x).otherwise("-")), "")
-    pick = lambda u, new, keep: F.zip_with(u, new, lambda a, b: F.when(a.rlike(vowel) == F.lit(keep), b).otherwise(a))
-
-    def vowels(u: Column) -> Column:
-        return pick(u, _turned(u, F.sha2(F.concat_ws("|", key, part(u, False)), 256), 1), True)
 
-    def consonants(u: Column) -> Column:
-        return pick(u, _turned(u, F.sha2(F.concat_ws("|", key, part(u, True)), 256), 1), False)
+    def step(units: Column, vowels: Column) -> Column:
+        moves = lambda x: x.rlike(_VOWEL) == vowels
+        stream = F.sha2(F.concat_ws("|", key, F.array_join(F.transform(units, lambda x: F.when(moves(x), "-").otherwise(x)), "")), 256)
+        return let(stream, lambda z: F.transform(units, lambda x, i: F.when(moves(x), _turn(z, x, i)).otherwise(x)))
 
-    new = let(let(units, consonants), vowels)
+    units = F.regexp_extract_all(F.lower(word), F.lit(_SEGMENT), F.lit(0))
     cased = lambda s: F.array_join(F.zip_with(_chars(word), _chars(s), lambda a, b: F.when(a != F.lower(a), F.upper(b)).otherwise(b)), "")
-    return let(F.array_join(new, ""), cased)
+    return F.aggregate(F.array(F.lit(False), F.lit(True)), units, step, lambda u: let(F.array_join(u, ""), cased))
 
 
 def permute(key: Column, digits: Column) -> Column:
@@ -159,12 +151,21 @@ def permute(key: Column, digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(4)), state, step, lambda s: F.concat(s["moved"], s["other"]))
 
 
-def _mixed(key: Column, text: Column) -> Column:
-    """Letters and digits of a mail's or an account's part, one-to-one: letters respelled, digits permuted by themselves."""
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    letters = respell(key, F.regexp_replace(text, "[0-9]", "0"))  # every digit turns alike, by what the letters choose
-    new = let(permute(key, digits), lambda d: F.aggregate(F.zip_with(_chars(text), _chars(letters), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("s")), lambda acc, c: F.struct((acc["n"] + c["a"].rlike("[0-9]").cast("int")).alias("n"), F.array_append(acc["s"], F.when(c["a"].rlike("[0-9]"), F.get(_chars(d), acc["n"])).otherwise(c["b"])).alias("s")), lambda acc: F.array_join(acc["s"], "")))
-    return F.when(text == "", text).otherwise(new)
+def _filled(template: Column, values: Column, slot: str) -> Column:
+    """``template`` with its characters that match ``slot`` replaced, in order, by those of ``values``."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("s"))
+
+    def step(a: Column, c: Column) -> Column:
+        taken = F.struct((a["n"] + 1).alias("n"), F.array_append(a["s"], F.get(_chars(values), a["n"])).alias("s"))
+        return F.when(c.rlike(slot), taken).otherwise(F.struct(a["n"].alias("n"), F.array_append(a["s"], c).alias("s")))
+
+    return F.aggregate(_chars(template), start, step, lambda a: F.array_join(a["s"], ""))
+
+
+def _piece(key: Column, text: Column) -> Column:
+    """Letters respelled, by themselves, and digits permuted by themselves: one-to-one."""
+    letters = respell(key, F.regexp_replace(text, "[0-9]", "#"))
+    return let(F.struct(letters.alias("l"), permute(key, F.regexp_replace(text, "[^0-9]", "")).alias("d")), lambda x: _filled(x["l"], x["d"], "#"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -174,11 +175,11 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.lit(10) - F.pmod(F.aggregate(values, F.lit(0), lambda a, x: a + x), F.lit(10)), F.lit(10))
 
 
-def _card(key: Column, entity: Column) -> Column:
+def _card(entity: Column, middle: Column) -> Column:
     """First digit kept; a check digit that was right stays right, a wrong one wrong by as much."""
     n = F.length(entity)
     off = F.substring(entity, n, F.lit(1)).cast("int") - _luhn(F.substring(entity, F.lit(1), n - 1))
-    return let(F.concat(F.substring(entity, 1, 1), permute(key, F.substring(entity, F.lit(2), n - 2))), lambda x: F.concat(x, F.pmod(_luhn(x) + off, F.lit(10)).cast("string")))
+    return let(F.concat(F.substring(entity, 1, 1), middle), lambda x: F.concat(x, F.pmod(_luhn(x) + off, F.lit(10)).cast("string")))
 
 
 def _iban_check(country: Column, account: Column) -> Column:
@@ -188,15 +189,13 @@ def _iban_check(country: Column, account: Column) -> Column:
     return 98 - rest
 
 
-def _iban(key: Column, entity: Column) -> Column:
+def _iban(entity: Column, account: Column) -> Column:
     """Country kept; check digits that were right stay right, wrong ones wrong by as much."""
-    country, given, account = F.substring(entity, 1, 2), F.substring(entity, 3, 2).cast("int"), F.substring(entity, F.lit(5), F.length(entity))
-    off = given - _iban_check(country, account)
-    new = F.upper(_mixed(key, account))
-    check = lambda a: F.pmod(_iban_check(country, a) + off, F.lit(97))
+    country, given = F.substring(entity, 1, 2), F.substring(entity, 3, 2).cast("int")
+    off = given - _iban_check(country, F.substring(entity, F.lit(5), F.length(entity)))
     # 0 and 1 stand for 97 and 98
     two = lambda c: F.lpad(F.when(c < 2, c + 97).otherwise(c).cast("string"), 2, "0")
-    return let(new, lambda a: F.concat(country, two(check(a)), a))
+    return let(F.pmod(_iban_check(country, account) + off, F.lit(97)), lambda c: F.concat(country, two(c), account))
 
 
 def _ip(key: Column, address: Column) -> Column:
@@ -228,40 +227,50 @@ def _ip(key: Column, address: Column) -> Column:
     return let(o, new)
 
 
-def _name(key: Column, entity: Column, attempt: Column) -> Column:
-    """Each word of a name: a listed one becomes another of its list, particles and initials stay, the rest is respelled."""
-    known = _strings([n for names in _NAMES for n in names])
-    turn = lambda w, n: 1 + F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", key, F.lit("names"), F.lit(str(n))), 256), 1, 7), 16, 10).cast("long") + attempt, F.lit(n - 1))
-
-    def one(w: Column) -> Column:
-        out = F.when(w.isin(*PARTICLES, "-", "'", "’", " ") | w.rlike(r"^\p{Lu}\.$"), w)
-        for names in _NAMES:
-            listed = _strings(names)
-            out = out.when(F.array_contains(listed, w), F.get(listed, F.pmod(F.array_position(listed, w) - 1 + turn(w, len(names)), F.lit(len(names))).cast("int")))
-        # a respelling that is a listed name is respelled again, so that it meets none
-        again = lambda x: F.when(F.array_contains(known, x), respell(key, x)).otherwise(x)
-        return out.otherwise(let(let(respell(key, w), again), again))
-
-    return F.array_join(F.transform(F.regexp_extract_all(entity, F.lit(r"[-'’ ]|[^-'’ ]+"), F.lit(0)), one), "")
+def _pieces(kind: Column, entity: Column) -> Column:
+    """The pieces of a canonical entity that are changed, or kept, each for itself."""
+    at, n = F.instr(entity, "@"), F.length(entity)
+    top = F.concat(F.lit("."), F.substring_index(entity, ".", -1))
+    host = F.substring(entity, at + 1, n - at - F.length(top))
+    return (
+        F.when(kind == "person", F.regexp_extract_all(entity, F.lit(r"[-'’ ]|[^-'’ ]+"), F.lit(0)))
+        .when(kind == "email", F.array(F.substring(entity, F.lit(1), at - 1), F.lit("@"), host, top))
+        .when(kind == "iban", F.array(F.substring(entity, F.lit(5), n)))
+        .when(kind == "card", F.array(F.substring(entity, F.lit(2), n - 2)))
+        .otherwise(F.array(entity))
+    )
 
 
 def surrogate(kind: Column, entity: Column, attempt: Column, secret: str) -> Column:
-    """The canonical surrogate of a canonical entity."""
+    """The canonical surrogate of a canonical entity.
+
+    Listed names become another of their list, name particles and initials
+    stay, all else is respelled and permuted.
+    """
     key = F.concat_ws("|", F.lit(secret), kind, attempt.cast("string"))
-    at = F.instr(entity, "@")
-    host = F.substring(entity, at + 1, F.length(entity) - at - F.length(F.substring_index(entity, ".", -1)) - 1)
-    mail = F.concat(_mixed(key, F.substring(entity, F.lit(1), at - 1)), F.lit("@"), _mixed(key, host), F.lit("."), F.substring_index(entity, ".", -1))
-    return F.when(kind == "person", _name(key, entity, attempt)).when(kind == "email", mail).when(kind == "ip", _ip(key, entity)).when(kind == "iban", _iban(key, entity)).when(kind == "card", _card(key, entity)).otherwise(permute(key, entity))
+    number = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(secret), F.lit("names")), 256), 1, 7), 16, 10).cast("long") + attempt
+
+    def one(p: Column, i: Column) -> Column:
+        person = kind == "person"
+        keep = (person & (p.isin(*PARTICLES, "-", "'", "’", " ") | p.rlike(r"^\p{Lu}\.$"))) | ((kind == "email") & (i % 2 == 1))
+        out = F.when(keep, p)
+        for names in _NAMES:
+            listed = _strings(names)
+            out = out.when(person & F.array_contains(listed, p), F.get(listed, F.pmod(F.array_position(listed, p) + F.pmod(number, F.lit(len(names) - 1)), F.lit(len(names))).cast("int")))
+        return out.otherwise(_piece(key, p))
+
+    new = F.array_join(F.transform(_pieces(kind, entity), one), "")
+    whole = lambda x: F.when(kind == "iban", _iban(entity, F.upper(x))).when(kind == "card", _card(entity, x)).otherwise(x)
+    return F.when(kind == "ip", _ip(key, entity)).otherwise(let(new, whole))
 
 
 def render(kind: Column, mention: Column, value: Column) -> Column:
     """``value`` in the format of the mention: its separators, its title, its letter case."""
-    digits, slots = _chars(value), _chars(mention)
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("s"))
-    fill = lambda pattern: F.aggregate(slots, start, lambda a, c: F.when(c.rlike(pattern), F.struct((a["n"] + 1).alias("n"), F.array_append(a["s"], F.get(digits, a["n"])).alias("s"))).otherwise(F.struct(a["n"].alias("n"), F.array_append(a["s"], c).alias("s"))), lambda a: F.array_join(a["s"], ""))
     title = F.regexp_extract(mention, rf"^(?:{_TITLE})\.? ", 0)
     mail = F.when(mention == F.upper(mention), F.upper(value)).otherwise(value)
-    return F.when(kind == "person", F.concat(title, value)).when(kind == "email", mail).when(kind == "ip", value).when(kind == "iban", fill("[A-Z0-9]")).otherwise(fill("[0-9]"))
+    # an account's letters and digits fill its places, the digits of a number only those of digits
+    slots = F.when(kind == "iban", F.regexp_replace(mention, "[A-Z0-9]", "#")).otherwise(F.regexp_replace(mention, "[0-9]", "#"))
+    return F.when(kind == "person", F.concat(title, value)).when(kind == "email", mail).when(kind == "ip", value).otherwise(_filled(slots, value, "#"))
 
 
 def pattern(text: Column) -> Column:
