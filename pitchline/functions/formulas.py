@@ -60,9 +60,36 @@ def normalized_margin(margin: Column, scale: float) -> Column:
     return F.tanh(margin / scale)
 
 
-def decayed_k(n: Column, least: float, most: float, half: float) -> Column:
-    """The update step: most for a new entity, least for one with long history."""
-    return least + (most - least) * F.exp(-n / half)
+def resource(balls: Column, wickets: Column, max_balls: int, z: float, y: float, limited: bool = True) -> Column:
+    """Share of an innings' resources left, 0 to 1: none without wickets, or without balls in limited overs."""
+    b, w = F.greatest(F.lit(0), balls), clamp(wickets.cast("double"), 0.0, 10.0)
+    left = F.pow(b / max_balls, F.lit(z)) * F.pow(w / 10, F.lit(y))
+    none = (w == 0) | (b == 0) if limited else w == 0
+    return F.when(none, 0.0).otherwise(clamp(left, 0.0, 1.0))
+
+
+def logistic_multiplier(difference: Column, sensitivity: float, most: float) -> Column:
+    """A factor around 1 that a rating difference moves towards ``most`` or as far below 1."""
+    return 1 + (most - 1) * F.tanh(difference / sensitivity)
+
+
+def poisson_loss(actual: Column, expected: Column) -> Column:
+    """The part of the negative Poisson log-likelihood that depends on the expectation."""
+    mean = F.greatest(expected, F.lit(1e-9))
+    return mean - actual * F.ln(mean)
+
+
+def log_loss(actual: Column, p: Column) -> Column:
+    q = clamp(p, 1e-9, 1 - 1e-9)
+    return -(actual * F.ln(q) + (1 - actual) * F.ln(1 - q))
+
+
+def event_tier(name: Column, tiers: dict[int, list[str]], otherwise: int = 3) -> Column:
+    """The first tier one of whose names the event's holds, letter case aside; null events have the last resort's."""
+    out = F.lit(otherwise)
+    for tier in sorted(tiers, reverse=True):
+        out = F.when(F.coalesce(F.lower(name).rlike("|".join(rf"\Q{x.lower()}\E" for x in tiers[tier])), F.lit(False)), tier).otherwise(out)
+    return out
 
 
 def uniform(seed: int, *key: Column) -> Column:

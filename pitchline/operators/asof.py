@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 def asof_before(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: Column, name: str) -> DataFrame:
     """``left`` with ``name``: the right value that is latest strictly before each row.
 
-    Both sides are laid on one time line per key and the last right value is
+    Both sides are laid on one time line per key and the last right row is
     carried forward, so the plan is one shuffle and one sort, whatever the
     number of right rows for each left row.  At equal times left rows come
-    first, which makes the bound strict.
+    first, which makes the bound strict; of right rows at one time the largest
+    value counts, null the least.  Null keys match nothing, right rows without
+    a time are left out, and a null value of the latest row stays null.
     """
+    marks = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull())
+    marks = marks.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).alias("_l"), F.struct(value.alias("v")).alias("_v"))
     lines = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).alias("_v"))
-    marks = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).alias("_l"), value.alias("_v"))
-    both = lines.unionByName(marks)
     w = Window.partitionBy("_k").orderBy("_t", "_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(name, F.last("_v", ignorenulls=True).over(w)).where("_side = 0").select("_l.*", name)
+    return lines.unionByName(marks).withColumn(name, F.last("_v", ignorenulls=True).over(w)["v"]).where("_side = 0").select("_l.*", name)
 
 
 def interval_join(points: DataFrame, spans: DataFrame, key: list[str], day: str, first: str, days: int) -> DataFrame:
     """Points with the spans that hold their day: spans are laid out by day, so the join is an equi-join."""
-    laid = spans.withColumn("_day", F.explode(F.sequence(F.col(first), F.date_add(F.col(first), days - 1))))
+    spans = spans if days > 0 else spans.where(F.lit(False))
+    laid = spans.withColumn("_day", F.explode(F.sequence(F.col(first), F.date_add(F.col(first), max(days, 1) - 1))))
     return points.join(laid, [points[k] == laid[k] for k in key] + [points[day] == laid["_day"]]).drop("_day")

@@ -12,10 +12,16 @@ def edges(facts: DataFrame, a: str, b: str, weight: str) -> DataFrame:
     return facts.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
 
 
-def degree_centrality(e: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """``a, degree, score``: own degree blended with the mean degree of opponents."""
-    of_b = e.groupBy("b").agg(F.count("*").alias("deg_b"))
-    return e.join(of_b, "b").groupBy("a").agg(F.count("*").alias("degree"), F.avg("deg_b").alias("_o")).select("a", "degree", ((1 - alpha) * F.col("degree") + alpha * F.col("_o")).alias("score"))
+def degree_centrality(e: DataFrame, alpha: float = 0.5, side: str = "a", geometric: bool = False) -> DataFrame:
+    """``<side>, degree, score``: own degree blended with the mean degree of opponents.
+
+    ``geometric`` weighs the two as powers, which marks down few opponents more.
+    """
+    other = "b" if side == "a" else "a"
+    of_other = e.groupBy(other).agg(F.count("*").alias("_deg"))
+    rows = e.join(of_other, other).groupBy(side).agg(F.count("*").alias("degree"), F.avg("_deg").alias("_o"))
+    blend = F.pow("degree", F.lit(1 - alpha)) * F.pow("_o", F.lit(alpha)) if geometric else (1 - alpha) * F.col("degree") + alpha * F.col("_o")
+    return rows.select(side, "degree", blend.alias("score"))
 
 
 def degree_snapshots(facts: DataFrame, a: str, b: str, period: Column) -> DataFrame:
@@ -30,22 +36,59 @@ def degree_snapshots(facts: DataFrame, a: str, b: str, period: Column) -> DataFr
     return new.select("a", "period", F.sum("_n").over(w).alias("degree"))
 
 
-def pagerank(e: DataFrame, steps: int, damping: float = 0.85) -> DataFrame:
-    """``a, rank`` after a fixed number of Jacobi steps over the bipartite edges.
+def _steps(e: DataFrame, start_a: float, start_b: float, base_a: float, base_b: float, damping: float, steps: int, normalize: bool, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Jacobi steps over edges ``a, b, wa, wb``: wa carries b's rank to a, wb a's to b.
 
-    Both sides read the previous step's vectors; the edges are cut once and the
-    vectors every step, so lineage stays short.
+    Both sides read the step before; a step writes one table of both sides,
+    and what it replaces is deleted.
     """
-    e = cut(e.select("a", "b", "n"))
-    ea = cut(e.join(e.groupBy("b").agg(F.sum("n").alias("t")), "b").select("a", "b", (F.col("n") / F.col("t")).alias("p")))
-    eb = cut(e.join(e.groupBy("a").agg(F.sum("n").alias("t")), "a").select("a", "b", (F.col("n") / F.col("t")).alias("p")))
-    na, nb = e.agg(F.countDistinct("a"), F.countDistinct("b")).first()
-    va, vb = e.select("a").distinct().withColumn("r", F.lit(1.0 / max(na, 1))), e.select("b").distinct().withColumn("r", F.lit(1.0 / max(nb, 1)))
+    sides = lambda ra, rb: ra.select(F.lit(True).alias("left"), F.col("a").alias("v"), "r").unionByName(rb.select(F.lit(False).alias("left"), F.col("b").alias("v"), "r"))
+    now = cut(sides(e.select("a").distinct().withColumn("r", F.lit(start_a)), e.select("b").distinct().withColumn("r", F.lit(start_b))))
     for _ in range(steps):
-        a2 = ea.join(vb, "b").groupBy("a").agg((F.lit((1 - damping) / max(na, 1)) + damping * F.sum(F.col("p") * F.col("r"))).alias("r"))
-        b2 = eb.join(va, "a").groupBy("b").agg((F.lit((1 - damping) / max(nb, 1)) + damping * F.sum(F.col("p") * F.col("r"))).alias("r"))
-        va, vb = cut(a2), cut(b2)
-    return va.select("a", F.col("r").alias("rank"))
+        of = lambda left, name: now.where("left" if left else "not left").select(F.col("v").alias(name), "r")
+        ra = e.join(of(False, "b"), "b").groupBy("a").agg((F.lit(base_a) + damping * F.sum(F.col("wa") * F.col("r"))).alias("r"))
+        rb = e.join(of(True, "a"), "a").groupBy("b").agg((F.lit(base_b) + damping * F.sum(F.col("wb") * F.col("r"))).alias("r"))
+        after = sides(ra, rb)
+        if normalize:
+            raw = cut(after)
+            total = dict(raw.groupBy("left").agg(F.sum("r")).collect())  # two rows
+            after = cut(raw.withColumn("r", F.col("r") / F.when(F.col("left"), total.get(True, 1.0)).otherwise(total.get(False, 1.0))))
+            discard(raw)
+        else:
+            after = cut(after)
+        moved = None
+        if tolerance > 0:
+            moved = after.join(now.withColumnRenamed("r", "_was"), ["left", "v"]).agg(F.max(F.abs(F.col("r") - F.col("_was")))).first()[0]
+        discard(now)
+        now = after
+        if moved is not None and moved < tolerance:
+            break
+    return now.where("left").select(F.col("v").alias("a"), F.col("r").alias("rank")), now.where("not left").select(F.col("v").alias("b"), F.col("r").alias("rank"))
+
+
+def pagerank(e: DataFrame, steps: int, damping: float = 0.85) -> DataFrame:
+    """``a, rank`` after a fixed number of steps over the bipartite edges ``a, b, n``: a node gives its rank in shares of n."""
+    of_a, of_b = e.groupBy("a").agg(F.sum("n").alias("ta")), e.groupBy("b").agg(F.sum("n").alias("tb"))
+    weighted = cut(e.join(of_a, "a").join(of_b, "b").select("a", "b", (F.col("n") / F.col("tb")).alias("wa"), (F.col("n") / F.col("ta")).alias("wb")))
+    na, nb = weighted.agg(F.countDistinct("a"), F.countDistinct("b")).first()
+    ranked, _ = _steps(weighted, 1 / max(na, 1), 1 / max(nb, 1), (1 - damping) / max(na, 1), (1 - damping) / max(nb, 1), damping, steps, False, 0.0)
+    return ranked
+
+
+def performance_pagerank(e: DataFrame, damping: float = 0.85, steps: int = 100, tolerance: float = 1e-6, wicket_weight: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """Ranks of both sides of edges ``a, b, n, performance, wickets``: (``a, rank``), (``b, rank``).
+
+    A batter's rank is the mean rank of the bowlers faced, by balls, of which
+    0.3 is weighed by performance (0 to 1); a bowler's the mean rank of the
+    batters, 0.3 of it weighed by economy and wickets a ball.  Each side sums
+    to 1 after every step; steps end when no rank moves by ``tolerance``.
+    """
+    of_a, of_b = e.groupBy("a").agg(F.sum("n").alias("ta")), e.groupBy("b").agg(F.sum("n").alias("tb"))
+    wa = F.try_divide(F.col("n") * (0.7 + 0.3 * (0.5 + F.col("performance"))), F.col("ta"))
+    wb = F.try_divide(F.col("n") * (0.7 + 0.3 * (1.5 - F.col("performance") + wicket_weight * F.coalesce("wickets", F.lit(0.0)))), F.col("tb"))
+    weighted = cut(e.join(of_a, "a").join(of_b, "b").select("a", "b", wa.alias("wa"), wb.alias("wb")))
+    na, nb = weighted.agg(F.countDistinct("a"), F.countDistinct("b")).first()
+    return _steps(weighted, 1 / max(na, 1), 1 / max(nb, 1), (1 - damping) / max(na, 1), (1 - damping) / max(nb, 1), damping, steps, True, tolerance)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +39,39 @@ def adaptive_ema(df: DataFrame, key: str, order: list[str], value: str, most: fl
     return rows.groupBy(key).agg(F.count("*").alias("n"), total.alias("ema"))
 
 
+#: A step over which earlier rows fade by e^-300 ends a block: beyond double precision, within its range.
+FADE = 300.0
+
+
+def ema_series(df: DataFrame, key: str, order: list[str], value: str, step: Callable[[Column], Column], start: float) -> DataFrame:
+    """``df`` with ``seen, before, after``: the average before and after each row of a key, in order.
+
+    ``step`` gives the step, below 1, from the number of rows seen: a constant
+    or one that shrinks.  A null value counts as 0.  Inside a block the average
+    is a scaled prefix sum; blocks end where what lies before them has faded,
+    so a block needs the end of the one before only: two windows and one join
+    on small rows, no fold over a key's list.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    upto = Window.unboundedPreceding, Window.currentRow
+    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_a", step(F.col("_i")).cast("double"))
+    rows = rows.withColumn("_left", F.sum(F.ln(1 - F.col("_a"))).over(w.rowsBetween(*upto)))
+    rows = rows.withColumn("_b", F.floor(-F.col("_left") / FADE)).withColumn("_base", -F.col("_b") * FADE)
+    inside = Window.partitionBy(key, "_b").orderBy("_i").rowsBetween(*upto)
+    term = F.col("_a") * F.coalesce(F.col(value), F.lit(0)).cast("double") * F.exp(F.col("_base") - F.col("_left"))
+    rows = rows.withColumn("_sum", F.sum(term).over(inside))
+    # of a block only its last row matters to the next; the first block starts from ``start``
+    ends = rows.groupBy(key, "_b").agg(F.max_by("_sum", "_i").alias("_e"))
+    carry = math.exp(-FADE) * (F.when(F.col("_b") == 0, F.lit(float(start))).otherwise(0.0) + F.col("_e"))
+    ends = ends.select(F.col(key).alias("_k"), (F.col("_b") + 1).alias("_next"), carry.alias("_carry"))
+    rows = rows.join(ends, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_next")), "left")
+    # the carry is what the block before leaves at the base of this one
+    after = F.exp(F.col("_left") - F.col("_base")) * (F.coalesce("_carry", F.lit(float(start))) + F.col("_sum"))
+    rows = rows.withColumn("after", after)
+    before = F.coalesce(F.lag("after").over(w), F.lit(float(start)))
+    return rows.withColumn("before", before).withColumnRenamed("_i", "seen").drop("_a", "_left", "_b", "_base", "_sum", "_k", "_next", "_carry")
+
+
 BLOCK = 4096
 
 
@@ -177,3 +211,55 @@ def three_way_scan(balls: DataFrame, league: str, order: list[str], match: str,
     if day:
         balls = balls.withColumn("day_number", F.unix_date(F.to_date(day)))
     return _scan(balls, league, order, dict, step, schema)
+
+
+@dataclass(frozen=True)
+class WicketRules:
+    """Fixed values of the wicket ratings: shares and steps (most, least, half-life) of batter, bowler,
+    venue and session, and factors of the players' steps."""
+
+    shares: tuple[float, ...] = (0.411, 0.2, 0.078, 0.311)
+    steps: tuple[tuple[float, float, float], ...] = ((12.0, 4.0, 150.0), (12.0, 4.0, 150.0), (6.15, 1.0, 4000.0), (15.0, 2.0, 150.0))
+    divisor: float = 400.0
+    phase: tuple[tuple[str, float], ...] = (("powerplay", 1.1), ("middle", 1.0), ("death", 1.2))
+    tier: tuple[float, ...] = (1.2, 1.0, 0.85, 0.7)
+    knockout: float = 1.25
+    chase: float = 0.6
+
+    def factor(self, phase: str | None, tier: int | None, knockout: bool, chase: bool) -> float:
+        out = dict(self.phase).get(phase, 1.0) * (self.tier[int(tier) - 1] if tier in (1, 2, 3, 4) else self.tier[1])
+        return out * (self.knockout if knockout else 1.0) * (self.chase if chase else 1.0)
+
+
+def wicket_scan(balls: DataFrame, league: str, order: list[str], match: str, batter: str, bowler: str, venue: str, wicket: str, base: float = 0.05, start: float = 1400.0, phase: str | None = None, tier: str | None = None, knockout: str | None = None, chase: str | None = None, rules: WicketRules = WicketRules()) -> DataFrame:
+    """Wicket ratings before each ball of batter, bowler, venue and session, and the chance of a wicket they give.
+
+    Ratings move the base rate on the logit scale; the batter's gains where a
+    wicket was expected and did not fall, the others' where it fell.  The
+    session starts anew with each match.  Optional columns scale the players'
+    steps by phase, event tier, knockout and high chase.
+    """
+    kind = balls.schema[league].dataType.simpleString()
+    schema = f"{league} {kind}, {match} long, {batter} long, {bowler} long, {venue} long, batter_before double, bowler_before double, venue_before double, session_before double, expected double, surprise double"
+    sides, logit = (-1, 1, 1, 1), math.log(base / (1 - base))
+
+    def read(r, column: str | None):
+        return getattr(r, column) if column else None
+
+    def step(state: dict, r) -> tuple:
+        m, *keys = (getattr(r, c) for c in (match, batter, bowler, venue, venue))
+        if state.get("match") != m:
+            state["match"], state["session"] = m, {}
+        books = state.setdefault("books", ({}, {}, {}))
+        held = [b.get(k, (start, 0)) for b, k in zip((*books, state["session"]), keys)]
+        moved = logit + sum(s * w * (value - start) / rules.divisor for s, w, (value, _) in zip(sides, rules.shares, held))
+        expected = min(0.5, max(0.001, 1 / (1 + math.exp(-moved))))
+        surprise = float(getattr(r, wicket)) - expected
+        factor = rules.factor(read(r, phase), read(r, tier), bool(read(r, knockout)), bool(read(r, chase)))
+        for i, (b, k, (value, n)) in enumerate(zip((*books, state["session"]), keys, held)):
+            most, least, half = rules.steps[i]
+            size = (least + (most - least) * math.exp(-n / half)) * (factor if i < 2 else 1.0)
+            b[k] = (value + sides[i] * size * surprise, n + 1)
+        return getattr(r, league), m, *keys[:3], *(value for value, _ in held), expected, surprise
+
+    return _scan(balls, league, order, dict, step, schema)

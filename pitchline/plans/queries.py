@@ -74,9 +74,9 @@ def q_semi(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(o, F.col("c_custkey") == o.o_custkey, "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def q_incremental_anti(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    known = table(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
     return new_rows(table(spark, d, "customer").select("c_custkey"), known, "c_custkey")
 
 
@@ -170,7 +170,11 @@ def q_mov(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_returnflag, round(quantile_cont(l_quantity, 0.25), 4) AS p25, round(quantile_cont(l_quantity, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(stddev_samp(l_quantity), 4) AS sd, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
 def q_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_quantity", 0.25), 4).alias("p25"), F.round(F.median("l_quantity"), 4).alias("p50"), F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"), F.round(F.stddev_samp("l_quantity"), 4).alias("sd"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    low = windows.exact_percentiles(rows, "l_returnflag", "l_quantity", {"p25": 0.25, "p50": 0.5})
+    high = windows.exact_percentiles(rows, "l_returnflag", "l_extendedprice", {"p90": 0.9})
+    rest = rows.groupBy("l_returnflag").agg(F.round(F.stddev_samp("l_quantity"), 4).alias("sd"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
+    return rest.join(low, "l_returnflag").join(high, "l_returnflag").select("l_returnflag", *(F.round(c, 4).alias(c) for c in ("p25", "p50", "p90")), "sd", "r")
 
 
 @query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY 1")

@@ -9,9 +9,9 @@ import pytest
 
 from pitchline.functions import formulas as fx
 from pitchline.operators import asof, ratings
-from pitchline.plans import queries, relational
+from pitchline.plans import features, queries, relational
 
-QUERIES, ORACLE = queries.QUERIES | relational.QUERIES, queries.ORACLE | relational.ORACLE
+QUERIES, ORACLE = queries.QUERIES | relational.QUERIES | features.QUERIES, queries.ORACLE | relational.ORACLE | features.ORACLE
 DATA = "/root/testdata/sf0.001"
 
 
