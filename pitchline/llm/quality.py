@@ -102,7 +102,7 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count("_t", F.lit(r"!!(?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_loud"),
+        F.regexp_count("_t", F.lit(r"!!(?=[\x20\x09-\x0D]|\z)")).cast("long").alias("n_loud"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("_l"),
         repeated_words(F.col("_w")).alias("n_repeat_words"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchline.llm import chat, chroma, licenses, mixing, packing, pii, quality, secrets, simhash, suffixes
@@ -97,7 +97,24 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_chroma_alignment, op2_simhash_dedup, op3_secret_scan, op4_license_scan, op5_best_fit_packing, op6_chat_format, op7_quality_ledger, op8_pii_surrogates, op9_suffix_dedup, op10_source_mix)}
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, and rejects alone."""
+    return quality.ablation(quality.ledger(read(spark, sf_dir, "documents")))
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base kinds' counts of operator 3, which SQL can tell."""
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of operator 10, which SQL can tell."""
+    out = mixing.mix(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.abs(F.sum("taken").over(Window.partitionBy("source")) - F.col("target")) <= F.max("size").over(Window.partitionBy("source"))).alias("near"))
+
+
+QUERIES = {f.__name__: f for f in (quality_ablation, secret_base_counts, mix_targets, op1_chroma_alignment, op2_simhash_dedup, op3_secret_scan, op4_license_scan, op5_best_fit_packing, op6_chat_format, op7_quality_ledger, op8_pii_surrogates, op9_suffix_dedup, op10_source_mix)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -132,4 +149,27 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op4_license_scan": licenses.oracle(), "op6_chat_format": _CHATS, "op7_quality_ledger": _LEDGER}
+_RULES = ", ".join(f"('{p.name}', {p.version}, '{r}', {p.mask}, {1 << list(quality.RULES).index(r)})" for p in quality.POLICIES for r in p.rules)
+_ABLATION = f"""
+WITH r(policy, version, rule, mask, bit) AS (VALUES {_RULES}), ledger AS ({_LEDGER})
+SELECT policy, version, rule, count(*) FILTER (fail_bits & mask <> 0) AS rejected, count(*) FILTER (fail_bits & bit <> 0) AS failing,
+  count(*) FILTER (fail_bits & mask = bit) AS only_this_rule, bit_or(fail_bits & mask)::BIGINT AS seen_bits FROM ledger, r GROUP BY ALL
+"""
+_SECRETS = r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex
+FROM documents
+"""
+_TARGETS = r"""
+WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM z GROUP BY 1),
+w AS (SELECT *, [5.0, 2.0, 1.0][rank % 3 + 1] AS w, 1.5 * sum(ss) OVER () AS total FROM s),
+c AS (SELECT k.rank, any_value(k.total) - coalesce(sum(2 * v.ss) FILTER ((2 * v.ss / v.w, v.rank) < (2 * k.ss / k.w, k.rank)), 0) AS rest, sum(v.w) FILTER ((2 * v.ss / v.w, v.rank) >= (2 * k.ss / k.w, k.rank)) AS ws FROM w k, w v GROUP BY k.rank),
+l AS (SELECT rest / ws AS lam, sum(least(2 * ss, w * rest / ws)) - any_value(total) AS off FROM c, w GROUP BY ALL),
+best AS (SELECT arg_min(lam, abs(off)) AS lam FROM l)
+SELECT doc_id, size, ss AS source_size, round(least(2 * ss, w * lam)::DOUBLE, 4) AS target, true AS near FROM z JOIN w ON z.source IS NOT DISTINCT FROM w.source, best
+"""
+
+ORACLE_SQL = {"quality_ablation": _ABLATION, "secret_base_counts": _SECRETS, "mix_targets": _TARGETS, "op4_license_scan": licenses.oracle(), "op6_chat_format": _CHATS, "op7_quality_ledger": _LEDGER}
