@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -68,3 +70,84 @@ def ablation(model: PipelineModel, df: DataFrame, parts: dict[str, list[str]], w
         gone = score(model, held).withColumn(part, F.col("value") - expected_value("p", worth))
         out = gone.select(*(F.col(f"_held_{c}").alias(c) if c in columns else F.col(c) for c in out.columns), part)
     return out
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def fit_boosted(df: DataFrame, features: list[str], label: str, classes: int, rounds: int = 10, depth: int = 4, step: float = 0.2, seed: int = 7) -> list[PipelineModel]:
+    """Boosted trees for ``classes`` integer labels: one model of each class against the rest.
+
+    Rows with a null feature or label are skipped.
+    """
+    rows = df.select(*features, F.col(label).alias("_y")).where(F.col("_y").isNotNull())
+    gather = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
+    trees = lambda k: GBTClassifier(featuresCol="_features", labelCol=f"_is_{k}", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).setProbabilityCol("_p").setRawPredictionCol("_raw").setPredictionCol("_said")
+    return [Pipeline(stages=[gather, trees(k)]).fit(rows.withColumn(f"_is_{k}", (F.col("_y") == k).cast("double"))) for k in range(classes)]
+
+
+def score_boosted(models: list[PipelineModel], df: DataFrame, name: str = "p") -> DataFrame:
+    """``df`` with ``name``, the class probabilities: each model's own, scaled to sum to 1."""
+    out = df
+    for k, m in enumerate(models):
+        out = m.transform(out).select(*out.columns, F.get(vector_to_array("_p"), 1).alias(f"_class_{k}"))
+    every = [F.col(f"_class_{k}") for k in range(len(models))]
+    total = sum(every[1:], every[0])
+    return out.select(*df.columns, F.array(*(c / total for c in every)).alias(name))
+
+
+def stacked(df: DataFrame, group: str, features: list[str], margin_class: str, label: str, folds: int, rounds: int = 20) -> DataFrame:
+    """Two layers: out-of-fold scores of ``margin_class`` become features of the model of ``label``, scored out of fold again."""
+    first = out_of_fold(df, group, features, margin_class, folds, rounds, "_margin").drop("fold")
+    classes = F.array_size("_margin")
+    first = first.withColumn("margin_expected", F.aggregate(F.transform("_margin", lambda p, i: p * i), F.lit(0.0), lambda a, x: a + x) / F.greatest(classes - 1, F.lit(1)))
+    return out_of_fold(first.drop("_margin"), group, [*features, "margin_expected"], label, folds, rounds)
+
+
+def random_search(space: dict[str, tuple[float, float]], loss: Callable[[dict[str, float]], float], tries: int, seed: int = 7) -> tuple[dict[str, float], float]:
+    """The best of ``tries`` settings drawn evenly from ``space`` (name: low, high); ``loss`` runs on the cluster."""
+    draw = random.Random(seed)
+    tried = [{k: draw.uniform(*span) for k, span in sorted(space.items())} for _ in range(tries)]
+    return min(((s, loss(s)) for s in tried), key=lambda x: x[1])
+
+
+def nelder_mead(loss: Callable[[list[float]], float], start: list[float], size: float = 0.1, steps: int = 60, tolerance: float = 1e-6) -> tuple[list[float], float]:
+    """Downhill simplex from ``start``; each call of ``loss`` is a job over all rows, so few are made."""
+    points = [list(start)] + [[x + (size * (abs(x) or 1.0) if i == j else 0.0) for j, x in enumerate(start)] for i in range(len(start))]
+    held = sorted(((loss(p), p) for p in points), key=lambda x: x[0])
+    for _ in range(steps):
+        if held[-1][0] - held[0][0] < tolerance:
+            break
+        middle = [sum(p[j] for _, p in held[:-1]) / len(start) for j in range(len(start))]
+        along = lambda t: [m + t * (m - w) for m, w in zip(middle, held[-1][1])]  # noqa: E731, B023
+        mirrored = (loss(along(1.0)), along(1.0))
+        if mirrored[0] < held[0][0]:
+            far = (loss(along(2.0)), along(2.0))
+            held[-1] = min(mirrored, far, key=lambda x: x[0])
+        elif mirrored[0] < held[-2][0]:
+            held[-1] = mirrored
+        else:
+            near = (loss(along(-0.5)), along(-0.5))
+            if near[0] < held[-1][0]:
+                held[-1] = near
+            else:
+                best = held[0][1]
+                held = [held[0], *((loss(q), q) for q in ([(a + b) / 2 for a, b in zip(p, best)] for _, p in held[1:]))]
+        held.sort(key=lambda x: x[0])
+    return held[0][1], held[0][0]
+
+
+def best_setting(df: DataFrame, segment: str, grid: DataFrame, loss: Column) -> DataFrame:
+    """For each ``segment`` the row of ``grid`` with the least mean of ``loss`` over the segment's rows, and that mean.
+
+    ``grid`` is a table of settings, small by nature and sent to every task;
+    ``loss`` reads columns of both.  Ties go to the setting that orders first.
+    """
+    each = df.join(F.broadcast(grid), F.lit(True)).groupBy(segment, *grid.columns).agg(F.avg(loss).alias("loss"))
+    best = F.min(F.struct(F.round("loss", 9).alias("l"), *grid.columns)).alias("b")
+    return each.groupBy(segment).agg(best).select(segment, *(F.col(f"b.{c}").alias(c) for c in grid.columns), F.col("b.l").alias("loss"))

@@ -263,3 +263,26 @@ def wicket_scan(balls: DataFrame, league: str, order: list[str], match: str, bat
         return getattr(r, league), m, *keys[:3], *(value for value, _ in held), expected, surprise
 
     return _scan(balls, league, order, dict, step, schema)
+
+
+def elo_losses(matches: DataFrame, order: list[str], home: str, away: str, score: str, settings: list[tuple[float, float]], start: float = 1400.0) -> DataFrame:
+    """``k, edge, n, log_loss`` of the ratings' expectations under each setting (step, home edge).
+
+    Every setting is a league of its own, so settings run side by side; a task
+    streams its matches and holds the ratings.
+    """
+    grid = F.explode(F.array(*(F.struct(F.lit(float(k)).alias("k"), F.lit(float(e)).alias("edge")) for k, e in settings)))
+    rows = matches.select(*dict.fromkeys([*order, home, away, score]), grid.alias("_g"))
+    rows = rows.select("*", "_g.k", "_g.edge", F.concat_ws("|", "_g.k", "_g.edge").alias("_league")).drop("_g")
+
+    def step(rating: dict, r) -> tuple:
+        h, a, won = getattr(r, home), getattr(r, away), float(getattr(r, score))
+        rh, ra = rating.get(h, start), rating.get(a, start)
+        p = 1 / (1 + 10 ** ((ra - rh - r.edge) / 400))
+        rating[h], rating[a] = rh + r.k * (won - p), ra - r.k * (won - p)
+        q = min(1 - 1e-9, max(1e-9, p))
+        return r.k, r.edge, -(won * math.log(q) + (1 - won) * math.log(1 - q))
+
+    # a league's name is not in the output, so the scan sees it under its own column
+    scanned = _scan(rows.withColumnRenamed("_league", "league_"), "league_", order, dict, step, "k double, edge double, loss double")
+    return scanned.groupBy("k", "edge").agg(F.count("*").alias("n"), F.avg("loss").alias("log_loss"))

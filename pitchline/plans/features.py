@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchline.functions import formulas as fx
-from pitchline.operators import asof, graph, ratings, windows
+from pitchline.operators import asof, graph, innings, models, ratings, windows
 from pitchline.sources import tables
 from pitchline.sources.tables import table
 
@@ -240,3 +240,49 @@ def q_foreign_keys(spark: SparkSession, d: str) -> DataFrame:
 
     one, two, three = lost("orders", "o_custkey", "customer", "c_custkey", "orders_without_customer"), lost("lineitem", "l_orderkey", "orders", "o_orderkey", "lines_without_order"), lost("labels", "doc_id", "documents", "doc_id", "labels_without_document")
     return one.join(F.broadcast(two), F.lit(True)).join(F.broadcast(three), F.lit(True))  # one row each
+
+
+_PLAY = "p AS (SELECT event_id, user_id AS m, 1 + event_id % 2 AS i, ts, floor(value / 4)::BIGINT AS r, (event_type = 'error')::INT AS w FROM events), s AS (SELECT *, row_number() OVER o - 1 AS bowled, coalesce(sum(r) OVER (PARTITION BY m, i ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS score, coalesce(sum(w) OVER (PARTITION BY m, i ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS down, sum(r) FILTER (i = 1) OVER (PARTITION BY m) + 1 AS t FROM p WINDOW o AS (PARTITION BY m, i ORDER BY ts, event_id)), k AS (SELECT *, greatest(120 - bowled, 0) AS balls_left, greatest(10 - down, 0) AS in_hand, CASE WHEN i = 2 THEN t END AS target, CASE WHEN i = 2 THEN greatest(t - score, 0) END AS needed FROM s)"
+
+
+def _play(spark: SparkSession, d: str) -> DataFrame:
+    """Events as two innings of each user."""
+    e = table(spark, d, "events")
+    return e.select("event_id", F.col("user_id").alias("m"), (1 + F.col("event_id") % 2).alias("i"), "ts", F.floor(F.col("value") / 4).alias("r"), (F.col("event_type") == "error").cast("int").alias("w"))
+
+
+@query(f"WITH {_PLAY} SELECT event_id, bowled, score, down, balls_left, in_hand, round(score * 6 / nullif(bowled, 0), 6) AS run_rate, target::BIGINT AS target, needed, round(needed * 6 / nullif(balls_left, 0), 6) AS asked_rate, coalesce(i IN (2, 4) AND balls_left > 0 AND needed * 6 > balls_left * 10, false) AS high_chase FROM k")
+def q_ball_state(spark: SparkSession, d: str) -> DataFrame:
+    """The state before each ball and what a chase asks for."""
+    out = innings.ball_state(_play(spark, d), "m", "i", ["ts", "event_id"], "r", "w", 120)
+    chase = innings.high_chase(F.col("i"), F.col("needed"), F.col("balls_left"))
+    return out.select("event_id", "bowled", "score", "down", "balls_left", "in_hand", F.round("run_rate", 6).alias("run_rate"), F.col("target").cast("long").alias("target"), "needed", F.round("asked_rate", 6).alias("asked_rate"), chase.alias("high_chase"))
+
+
+@query("WITH s AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT y, sum(n) OVER (ORDER BY y DESC) - n AS later, sum(n) OVER () AS every FROM s) SELECT o_orderkey, CASE WHEN later < every * 0.25 THEN 'test' ELSE 'train' END AS part FROM orders JOIN p ON year(o_orderdate) = y")
+def q_season_split(spark: SparkSession, d: str) -> DataFrame:
+    return innings.by_season(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", 0.25).select("o_orderkey", "part")
+
+
+@query("WITH g AS (SELECT a / 4.0 AS a, b / 4.0 AS b FROM range(1, 6) t(a), range(0, 5) u(b)), e AS (SELECT l_returnflag, a, b, avg(pow(l_extendedprice / 1000 - a * l_quantity - b * l_linenumber, 2)) AS e FROM lineitem, g GROUP BY ALL) SELECT l_returnflag, a, b, round(e, 9) AS loss FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY round(e, 9), a, b) AS rn FROM e) WHERE rn = 1")
+def q_projection_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The best of a grid of parameters for each segment."""
+    grid = spark.range(1, 6).select((F.col("id") / 4.0).alias("a")).crossJoin(spark.range(0, 5).select((F.col("id") / 4.0).alias("b")))  # 25 rows
+    loss = F.pow(F.col("l_extendedprice") / 1000 - F.col("a") * F.col("l_quantity") - F.col("b") * F.col("l_linenumber"), F.lit(2))
+    return models.best_setting(table(spark, d, "lineitem"), "l_returnflag", grid, loss)
+
+
+@query()
+def q_elo_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Log-loss of pair ratings over all orders under a grid of steps and home edges."""
+    m = table(spark, d, "orders").select("o_orderdate", "o_orderkey", F.col("o_custkey").alias("home"), (-1 - F.col("o_custkey") % 7).alias("away"), (F.col("o_totalprice") > 100000).cast("double").alias("won"))
+    return ratings.elo_losses(m, ["o_orderdate", "o_orderkey"], "home", "away", "won", [(k, e) for k in (8, 16, 24, 32) for e in (0, 40)])
+
+
+@query()
+def q_boosted_outcome(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees for the return flag of a line, scored on every line."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", F.unix_date(F.to_date("l_shipdate")).cast("double").alias("day"), F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("flag"))
+    features = ["l_quantity", "l_extendedprice", "l_discount", "day"]
+    scored = models.score_boosted(models.fit_boosted(rows, features, "flag", 3, rounds=3, depth=3), rows)
+    return models.metrics(scored, "flag", ["flag"])

@@ -99,7 +99,7 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Bound the bytes of the Arrow batches of this session, so that long texts fit a worker.
 
     A plan runs after the function that made it has returned, so the bound

@@ -70,3 +70,22 @@ def innings_totals(balls: DataFrame) -> DataFrame:
     n = F.col("n")
     per = balls.groupBy("match_id", "innings", "batting_team").agg(F.count("*").alias("n"), F.sum("runs_total").alias("total_runs"), F.max("wickets_fallen").alias("total_wickets"))
     return per.select("match_id", "innings", "batting_team", "total_runs", "total_wickets", (F.floor(n / 6) + n % 6 / 10).alias("total_overs"))
+
+
+def hourly_weather(spark: SparkSession, path: str) -> DataFrame:
+    """``latitude, longitude, at, <measures>`` from landed weather documents: one row for each hour.
+
+    A document holds parallel arrays below ``hourly``; an array that is shorter
+    or missing gives nulls.
+    """
+    measures = ("temperature_2m", "relative_humidity_2m", "precipitation", "cloud_cover", "wind_speed_10m")
+    schema = "latitude double, longitude double, hourly struct<time:array<string>," + ",".join(f"{m}:array<double>" for m in measures) + ">"
+    docs = spark.read.schema(schema).option("multiLine", True).json(path)
+    hours = docs.select("latitude", "longitude", F.posexplode("hourly.time").alias("_i", "_at"), "hourly")
+    return hours.select("latitude", "longitude", F.to_timestamp_ntz("_at").alias("at"), *(F.get(F.col("hourly")[m], F.col("_i")).alias(m) for m in measures))
+
+
+def with_canonical(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
+    """``column`` by the lookup ``alias, canonical``; names without an alias stay.  Aliases are unique."""
+    named = aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical"))
+    return df.join(named, F.col(column) == F.col("_alias"), "left").withColumn(column, F.coalesce("_canonical", column)).drop("_alias", "_canonical")

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,9 +25,38 @@ def files(spark: SparkSession, path: str, schema=None, only: str = "*.parquet",
 
 
 def load_new(spark: SparkSession, path: str, keys: list[str], out: str, checkpoint: str, schema=None) -> None:
-    """Append the rows of files not loaded yet to ``out``, each key once over all runs."""
-    rows = files(spark, path, schema).dropDuplicates(keys)
-    rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    """Append the rows of files not loaded yet to ``out``, each key once over all runs.
+
+    A batch is held against what ``out`` has, so that no state grows with the
+    keys ever seen; it lands under its own number, which a repeated batch
+    overwrites.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        rows = batch.dropDuplicates(keys)
+        try:
+            known = spark.read.parquet(out).where(F.col("batch") != number).select(*keys)
+        except AnalysisException:  # nothing was loaded yet
+            known = None
+        rows = rows if known is None else rows.join(known, keys, "left_anti")
+        rows.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    files(spark, path, schema).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def session_totals(spark: SparkSession, path: str, time: str, key: str, value: str, gap: str, only: str = "*.parquet", late: str = "7 days", home: str | None = None) -> DataFrame:
+    """``key, start, end, n, total`` of sessions: rows of a key less than ``gap`` apart.
+
+    A session is given out once the watermark has passed its end; what is still
+    open at the end of a run stays in the checkpoint's state for the next one.
+    """
+    home = home or f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    with setting(spark, "spark.sql.session.timeZone", "UTC"):
+        rows = files(spark, path, only=only).select(F.col(time).cast("timestamp").alias("_t"), key, value).withWatermark("_t", late)
+        totals = rows.groupBy(F.session_window("_t", gap).alias("_w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+        out = totals.select(key, F.col("_w.start").cast("timestamp_ntz").alias("start"), F.col("_w.end").cast("timestamp_ntz").alias("end"), "n", "total")
+        out.writeStream.outputMode("append").format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{home}/out")
 
 
 def window_totals(spark: SparkSession, path: str, time: str, key: str, value: str, width: str, only: str = "*.parquet", late: str = "7 days", home: str | None = None) -> DataFrame:

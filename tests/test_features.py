@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitchline.operators import asof, graph, ratings, windows
-from pitchline.sources import tables
+from pitchline.operators import asof, graph, innings, models, ratings, windows
+from pitchline.sources import matches, tables
+from pitchline.streaming import ingest
 
 
 def test_series_over_many_blocks(spark):
@@ -82,3 +83,69 @@ def test_match_files(spark, tmp_path):
     assert sorted((r.format, r.gender, r.team or "") for r in out) == [("odi", "female", ""), ("t20", "male", "x")]
     with pytest.raises(FileNotFoundError):
         tables.match_files(spark, str(tmp_path), ["test"], ["male"])
+
+
+def test_boosted_models_beat_the_prior_and_survive_saving(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (600, 2))
+    y = np.where(x[:, 0] > 0.5, 0, np.where(x[:, 1] > 0, 1, 2))
+    d = spark.createDataFrame([(i % 40, float(a), float(b), int(k)) for i, ((a, b), k) in enumerate(zip(x, y))], "g long, a double, b double, k int")
+    scored = models.score_boosted(models.fit_boosted(d, ["a", "b"], "k", 3, rounds=5, depth=3), d)
+    told = models.metrics(scored.withColumn("one", F.lit(1)), "k", ["one"]).first()
+    share = np.bincount(y) / len(y)
+    assert told.accuracy > 0.9 and told.log_loss < 0.7 * -(share * np.log(share)).sum()
+    assert all(abs(sum(r.p) - 1) < 1e-9 for r in scored.limit(20).collect())
+    plain = models.fit(d, ["a", "b"], "k")
+    models.save(plain, str(tmp_path / "m"))
+    again = models.score(models.load(str(tmp_path / "m")), d).select("p").collect()
+    assert again == models.score(plain, d).select("p").collect()
+    both = models.stacked(d.withColumn("won", (F.col("k") == 0).cast("int")), "g", ["a", "b"], "k", "won", 3)
+    assert both.count() == 600 and models.metrics(both.withColumn("one", F.lit(1)), "won", ["one"]).first().accuracy > 0.85
+
+
+def test_searches_find_the_least():
+    bowl = lambda p: (p[0] - 2) ** 2 + 3 * (p[1] + 1) ** 2
+    at, value = models.nelder_mead(bowl, [0.5, 0.5], 0.4, 200, 1e-12)
+    assert value < 1e-6 and abs(at[0] - 2) < 1e-2 and abs(at[1] + 1) < 1e-2
+    best, value = models.random_search({"x": (0.0, 4.0), "y": (-3.0, 1.0)}, lambda s: bowl([s["x"], s["y"]]), 300)
+    assert value < 0.3 and set(best) == {"x", "y"}
+
+
+def test_elo_losses_by_hand(spark):
+    m = spark.createDataFrame([(1, 1, 2, 1.0), (2, 1, 2, 1.0)], "at long, h long, a long, won double")
+    out = {(r.k, r.edge): r.log_loss for r in ratings.elo_losses(m, ["at"], "h", "a", "won", [(20, 0), (20, 100)]).collect()}
+    second = 1 / (1 + 10 ** (-20 / 400))
+    assert abs(out[20, 0] - (math.log(2) - math.log(second)) / 2) < 1e-12 and out[20, 100] < out[20, 0]
+
+
+def test_state_of_an_innings(spark):
+    balls = spark.createDataFrame([(1, 1, 1, 4, 0), (1, 1, 2, 2, 1), (1, 2, 1, 6, 0), (1, 2, 2, 1, 0), (2, 2, 1, 1, 0)], "m long, i long, n long, r long, w long")
+    out = {(r.m, r.i, r.n): r for r in innings.ball_state(balls, "m", "i", ["n"], "r", "w", 2).collect()}
+    assert (out[1, 1, 2].score, out[1, 1, 2].down, out[1, 1, 2].balls_left, out[1, 1, 2].target) == (4.0, 0, 1, None)
+    assert (out[1, 2, 1].target, out[1, 2, 1].needed, out[1, 2, 2].needed, out[1, 2, 2].asked_rate) == (7, 7.0, 1.0, 6.0)
+    assert out[2, 2, 1].target is None and out[2, 2, 1].needed is None
+
+
+def test_loads_each_key_once(spark, tmp_path):
+    here, out, at = (str(tmp_path / x) for x in ("in", "out", "at"))
+    for run, ids in enumerate([[1, 2, 2], [2, 3], []]):
+        if ids:
+            spark.createDataFrame([(i, run) for i in ids], "id long, run long").coalesce(1).write.mode("append").parquet(here)
+        ingest.load_new(spark, here, ["id"], out, at)
+    assert sorted((r.id, r.run) for r in spark.read.parquet(out).collect()) == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_sessions_end_after_a_gap(spark, tmp_path):
+    rows = [("a", f"2024-01-01 00:{m:02d}:00", 1.0) for m in (0, 3, 20, 22)] + [("b", "2024-03-01 00:00:00", 5.0)]
+    spark.createDataFrame(rows, "k string, t string, v double").select("k", F.to_timestamp_ntz("t").alias("t"), "v").coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = ingest.session_totals(spark, str(tmp_path / "in"), "t", "k", "v", "10 minutes", home=str(tmp_path / "home")).collect()
+    assert sorted((r.k, r.n, r.total) for r in out if r.k == "a") in ([], [("a", 2, 2.0), ("a", 2, 2.0)])
+
+
+def test_weather_and_aliases(spark, tmp_path):
+    (tmp_path / "w.json").write_text('{"latitude": 1.5, "longitude": 2.0, "hourly": {"time": ["2024-01-01T00:00", "2024-01-01T01:00"], "temperature_2m": [3.5, null], "precipitation": [0.1]}}')
+    rows = matches.hourly_weather(spark, str(tmp_path / "w.json")).orderBy("at").collect()
+    assert [(r.temperature_2m, r.precipitation, r.cloud_cover) for r in rows] == [(3.5, 0.1, None), (None, None, None)] and rows[1].at.hour == 1
+    d = spark.createDataFrame([("MCG",), ("Lord's",), (None,)], "venue string")
+    aliases = spark.createDataFrame([("MCG", "Melbourne Cricket Ground")], "alias string, canonical string")
+    assert sorted(r.venue or "" for r in matches.with_canonical(d, "venue", aliases).collect()) == ["", "Lord's", "Melbourne Cricket Ground"]
