@@ -105,6 +105,8 @@ def pre_match(matches: DataFrame, n: int = 5, least: int = 5) -> DataFrame:
     same day never see each other.  Frames are ranges of days that only grow,
     so a key with a long history costs one ordered pass, not a join with it.
     """
+    # an empty name is no winner
+    matches = matches.withColumn("winner", F.when(F.col("winner").cast("string") != "", F.col("winner")))
     decided = F.col("winner").isNotNull()
     day = F.unix_date("day")
 

@@ -210,11 +210,14 @@ def q_pagerank_k(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(e, 2).select("a", F.round("rank", 8).alias("rank"))
 
 
-@query("SELECT vec_id, round(list_dot_product(embedding[1:8]::DOUBLE[], [0,0,1,2,3,4,6,1]::DOUBLE[]), 4) AS expected FROM embeddings")
+@query("SELECT vec_id, round(list_dot_product(list_transform(embedding, lambda x: abs(x)::DOUBLE), list_transform(range(len(embedding)), lambda i: [0, 0, 1, 2, 3, 4, 6, 1][i % 8 + 1]::DOUBLE)) / list_sum(list_transform(embedding, lambda x: abs(x)::DOUBLE)), 6) AS expected FROM embeddings")
 def q_probs_expected(spark: SparkSession, d: str) -> DataFrame:
+    """The mean worth of classes whose weights are a vector's entries."""
     worth = F.array(*(F.lit(float(x)) for x in (0, 0, 1, 2, 3, 4, 6, 1)))
-    terms = F.zip_with(F.slice("embedding", 1, 8), worth, lambda p, v: p.cast("double") * v)
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), 4).alias("expected"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    weights = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    worths = F.transform("embedding", lambda x, i: F.abs(x.cast("double")) * F.get(worth, i % 8))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.try_divide(total(worths), total(weights)), 6).alias("expected"))
 
 
 @query("SELECT entity, role, round(sum(credit), 4) AS credit FROM (SELECT l_suppkey AS entity, 'bowler' AS role, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS credit FROM lineitem UNION ALL SELECT l_partkey, 'batter', CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END FROM lineitem) GROUP BY ALL")
