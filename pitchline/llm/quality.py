@@ -23,6 +23,7 @@ RULES: dict[str, str] = {
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 14 * n_words",
     "shouting": "2 * n_loud > n_words",
+    "no_words": "n_words = 0",
 }
 
 
@@ -44,9 +45,11 @@ BASE = Policy("base", 1, ("too_few_words", "repeated_windows"))
 POLICIES = (
     BASE,
     Policy("standard", 1, (*BASE.rules, "symbol_share", "repeated_lines")),
-    Policy("standard", 2, tuple(RULES)),
+    Policy("standard", 2, (*BASE.rules, "symbol_share", "repeated_lines", "short_words", "long_words", "shouting")),
+    # short documents may be good ones: a corpus keeps them
+    Policy("corpus", 1, ("repeated_windows", "symbol_share", "repeated_lines", "short_words", "long_words", "shouting", "no_words")),
 )
-CURRENT = POLICIES[-1]
+CURRENT, CORPUS = POLICIES[-2:]
 
 _START_BITS = 20
 _STARTS = (1 << _START_BITS) - 1

@@ -132,9 +132,9 @@ b AS (SELECT *, (
     CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
   + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
   + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 14 * n_words THEN 32 ELSE 0 END
-  + CASE WHEN 2 * n_loud > n_words THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m)
+  + CASE WHEN 2 * n_loud > n_words THEN 64 ELSE 0 END + CASE WHEN n_words = 0 THEN 128 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 3 = 0 AS pass_base_v1, fail_bits & 15 = 0 AS pass_standard_v1,
-  fail_bits & 127 = 0 AS pass_standard_v2, fail_bits & 127 = 0 AS kept FROM b
+  fail_bits & 127 = 0 AS pass_standard_v2, fail_bits & 254 = 0 AS pass_corpus_v1, fail_bits & 127 = 0 AS kept FROM b
 """
 
 _CONTROLS = "|".join(re.escape(c[1:]).replace("'", "''") for c in sorted(chat.CONTROL, key=len, reverse=True))
