@@ -15,8 +15,8 @@ from pitchline.session import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current quality policy rejects go."""
-    return quality.keep_good(docs)
+    """Documents that the corpus policy rejects go; short ones stay."""
+    return quality.keep_good(docs, quality.CORPUS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
