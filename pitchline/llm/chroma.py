@@ -25,6 +25,8 @@ LOW_HZ, HIGH_HZ = 100.0, 3600.0
 #: Integers of a row of queries and of a row of recordings that meet in one step.
 BLOCK_INTS, CHUNK_INTS = 1 << 18, 1 << 18
 _HITS = 1 << 20
+#: Up to so many queries a shingle proposes pairs one by one, beyond it whole blocks of queries.
+COMMON = 64
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -250,24 +252,35 @@ def search(classes: DataFrame, queries: DataFrame, min_votes: int = 3, max_error
     ``queries`` with ``classes``, both ``(c, print)`` with distinct numbers c.
 
     Queries are gathered into blocks of bounded size.  A shuffle on shingles
-    finds which recordings share one with which blocks; those meet in chunks,
-    so a shingle that very many have costs a row for each recording and block,
-    never for each pair.
+    finds the pairs that share enough of them to have the votes at one offset;
+    a recording is sent to the blocks of its pairs' queries.  A shingle of very
+    many queries sends it to all their blocks instead: a row for each recording
+    and block, never for each pair.
     """
     spark = classes.sparkSession
     packed = "ids array<long>, lens array<int>, ints binary"
 
-    @F.pandas_udf("array<long>")
-    def keys(data: pd.Series) -> pd.Series:
-        return data.map(lambda p: np.unique(shingles(np.frombuffer(p, "<u4"))).view(np.int64))
+    @F.pandas_udf("keys array<long>, times array<long>")
+    def keys(data: pd.Series) -> pd.DataFrame:
+        found = [np.unique(shingles(np.frombuffer(p, "<u4")), return_counts=True) for p in data]
+        return pd.DataFrame({"keys": [k.view(np.int64) for k, _ in found], "times": [n for _, n in found]})
+
+    def postings(prints: DataFrame, c: str, n: str, size: str) -> DataFrame:
+        rows = prints.select("c", (F.length("print") / 4).cast("int").alias(size), keys("print").alias("_k"))
+        return rows.select(F.col("c").alias(c), size, F.explode(F.arrays_zip("_k.keys", "_k.times")).alias("_e")).select(c, size, F.col("_e.keys").alias("key"), F.col("_e.times").alias(n))
 
     with setting(spark, _BATCH, "1024"):
         deal = max(1, -(-(queries.agg(F.sum(F.length("print"))).first()[0] or 0) // (4 * BLOCK_INTS)))
         blocks = cut(queries.repartition(deal, "c").mapInPandas(_packed(BLOCK_INTS), packed).withColumn("block", F.monotonically_increasing_id()))
-        asked = blocks.select("block", F.explode("ids").alias("c")).join(queries, "c")
-        key = F.explode(keys("print")).alias("key")
-        asked = cut(asked.select("block", key).distinct())
-        meets = cut(classes.select("c", key).join(asked, "key").select("c", "block").distinct())
+        where = blocks.select("block", F.explode("ids").alias("query"))
+        asked = cut(postings(queries, "query", "nq", "lq"))
+        per = asked.groupBy("key").agg(F.count("*").alias("df"))
+        shared = cut(postings(classes, "c", "nd", "ld").join(per, "key"))
+        rare = shared.where(F.col("df") <= COMMON).join(asked, "key").where("c <> query")
+        rare = rare.groupBy("c", "query", "ld", "lq").agg(F.sum(F.col("nd") * F.col("nq")).alias("hits")).where(F.col("hits") >= F.least(F.lit(min_votes), F.col("ld") - 1, F.col("lq") - 1))
+        often = asked.join(per.where(F.col("df") > COMMON), "key").join(where, "query").select("key", "block").distinct()
+        often = shared.where(F.col("df") > COMMON).join(often, "key").select("c", "block")
+        meets = cut(rare.join(where, "query").select("c", "block").unionByName(often).distinct())
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         near = meets.join(classes, "c").repartition(tasks, "block", F.pmod("c", F.lit(64)))
         chunks = cut(near.select("block", "c", "print").mapInPandas(_packed(CHUNK_INTS, "block"), f"block long, {packed}"))
@@ -282,7 +295,7 @@ def search(classes: DataFrame, queries: DataFrame, min_votes: int = 3, max_error
     with setting(spark, _BATCH, "4"):
         both = chunks.join(right, "block").repartition(tasks, "block", F.col("ids")[0])
         out = cut(both.select("ids", "lens", "ints", "qids", "qlens", "qints").mapInPandas(run, "query long, c long, offset long, votes long, start long, length long, bit_error_rate double"))
-    for x in (blocks, asked, meets, chunks):
+    for x in (blocks, asked, shared, meets, chunks):
         discard(x)
     return out
 

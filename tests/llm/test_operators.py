@@ -687,7 +687,9 @@ def test_silence_needs_bounded_memory():
     assert [(r[0], r[1], r[2], r[5]) for r in rows] == [(1, 3, 0, 7400), (2, 3, 0, 40)]
 
 
-def test_recordings_against_all_pairs(spark):
+@pytest.mark.parametrize("common", [64, 0])
+def test_recordings_against_all_pairs(spark, monkeypatch, common):
+    monkeypatch.setattr(chroma, "COMMON", common)
     rng = np.random.default_rng(4)
     tune = rng.integers(0, 255, 6000, dtype=np.uint8).tobytes()
     rows = [(0, tune), (1, tune[640:4000]), (2, tune), (3, b"a" * 300), (100, tune[1280:3000] + bytes(2000)), (200, b"a" * 300), (201, bytes(3000)), (300, bytes(4000)), (4, None), (5, b"")]
