@@ -101,8 +101,8 @@ def _first_of(run: np.ndarray) -> np.ndarray:
 class _Block:
     """The concatenated bytes of a block's documents."""
 
-    def __init__(self, row, length: int):
-        self.k, self.h, self.seq = row.k, row.h, row.seq
+    def __init__(self, row, length: int, mix: Callable[..., np.ndarray] = _mix):
+        self.mix, self.k, self.h, self.seq = mix, row.k, row.h, row.seq
         self.length, self.need = length, length - V + 1
         self.ids, self.hs, self.lens = (np.asarray(x, np.int64) for x in (row.ids, row.hs, row.lens))
         self.size = len(row.data)
@@ -127,7 +127,7 @@ class _Block:
         base = np.ascontiguousarray(self.bytes[V - 1 :])
         words = np.ndarray(len(base) - 7, "<u8", base, 0, (1,))
         tails = [*range(0, self.need - 7, 8), *([self.need - 8] if self.need % 8 else [])]
-        return at, _mix(np.stack([words[at + o] for o in tails], 1) if len(at) else np.empty((0, len(tails)), np.uint64))
+        return at, self.mix(np.stack([words[at + o] for o in tails], 1) if len(at) else np.empty((0, len(tails)), np.uint64))
 
     def surroundings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The strings of ``length + V - 1`` bytes around samples, zero outside their documents, and the document's bytes
@@ -282,12 +282,12 @@ class _Samples:
         string = self.around[:, V - 1 :][:, : block.need]
         words = _words(string)
         self.string = string
-        bucket = _bucket(_mix(words), bits)
+        bucket = _bucket(block.mix(words), bits)
         _, self.run = _runs([bucket, *words.T])  # by bucket, then by bytes
         self.first = _first_of(self.run)
         self.bucket = bucket[self.first]
         padded = _words(np.concatenate([self.around, self.room], 1))
-        self.context = np.stack([_mix(padded, 0), _mix(padded, 1)], 1)
+        self.context = np.stack([block.mix(padded, 0), block.mix(padded, 1)], 1)
         _, self.kind = _runs([self.run, self.context[:, 0], self.context[:, 1]])
         self.kind_first = _first_of(self.kind)  # first occurrence of each surroundings
 
@@ -308,7 +308,7 @@ class _Samples:
     def suffix_entries(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which samples, bucket, entry) of those whose suffixes are sorted."""
         which = np.nonzero((self.code == SORTED) & ~self.late)[0]
-        bucket = _bucket(_mix(self.rank[which, None]), bits)
+        bucket = _bucket(self.block.mix(self.rank[which, None]), bits)
         order = np.argsort(bucket, kind="stable")
         which, bucket = which[order], bucket[order]
         out = np.zeros(len(which), _suffix_dtype())
@@ -319,7 +319,7 @@ class _Samples:
         """(positions, run of equal ones, bucket, entry of each run) of suffixes sent one by one."""
         at = np.nonzero(self.block.reach(self.at[self.code == SINGLY]) & ~self.block.reach(self.at[self.late]))[0]
         words = _words(self.block.strings(at, 0, self.block.length))
-        bucket = _bucket(_mix(words), bits)
+        bucket = _bucket(self.block.mix(words), bits)
         _, run = _runs([bucket, *words.T])
         first = _first_of(run)
         out = np.zeros(len(first), _single_dtype(self.block.length))
@@ -379,7 +379,7 @@ def digest(removed: DataFrame) -> DataFrame:
     return removed.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, block_bytes: int = BLOCK_BYTES, hot: int = HOT, mix: Callable[..., np.ndarray] = _mix) -> DataFrame:
     """``(doc_id, n_bytes, kept, spans)``, one row for each row of ``docs``.
 
     ``kept`` is the bytes that stay and ``spans`` the ``[start, end)`` byte
@@ -391,7 +391,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document is held whole by one task, at about 40 bytes a byte.
 
     Strings are compared by their bytes, but for the surroundings of samples
-    with equal bytes, which are compared by two 64-bit hashes.
+    with equal bytes, which are compared by two 64-bit hashes (``mix`` with
+    seeds 0 and 1).
     """
     if length < V + 7:
         raise ValueError(f"length must be at least {V + 7}")
@@ -413,7 +414,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def run(batches):
             for batch in batches:
                 for row in batch.itertuples():
-                    yield from of(_Block(row, length), row)
+                    yield from of(_Block(row, length, mix), row)
 
         return run
 
