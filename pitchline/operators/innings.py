@@ -48,3 +48,18 @@ def by_season(df: DataFrame, day: str, test_share: float) -> DataFrame:
     per = per.withColumn("_after", F.sum("_n").over(later) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
     per = per.select("_season", F.when(F.col("_after") < F.col("_all") * test_share, "test").otherwise("train").alias("part"))
     return df.withColumn("_s", season).join(F.broadcast(per), F.col("_s").eqNullSafe(F.col("_season"))).drop("_s", "_season")
+
+
+def pivoted_totals(totals: DataFrame, match: str, innings: str, total: str, most: int = 4) -> DataFrame:
+    """``match, total_1 .. total_<most>, lead``: an innings' totals side by side, 0 where it was not played;
+    ``lead`` is what the side batting first is ahead by."""
+    wide = totals.groupBy(match).agg(*(F.coalesce(F.sum(F.when(F.col(innings) == i, F.col(total))), F.lit(0)).cast("double").alias(f"total_{i}") for i in range(1, most + 1)))
+    signs = [F.col(f"total_{i}") if i % 2 else -F.col(f"total_{i}") for i in range(1, most + 1)]
+    return wide.withColumn("lead", sum(signs[1:], signs[0]))
+
+
+def chase_rows(balls: DataFrame, match: str, innings: str, order: list[str], runs: str, wicket: str, max_balls: int, chasing: int = 2) -> DataFrame:
+    """The balls of chases with their state and ``won``, whether the target was reached in the end; rates unknown yet are 0."""
+    state = ball_state(balls, match, innings, order, runs, wicket, max_balls, chasing).where((F.col(innings) == chasing) & F.col("target").isNotNull())
+    made = F.sum(runs).over(Window.partitionBy(match))
+    return state.withColumn("won", (made >= F.col("target")).cast("int")).fillna(0.0, ["run_rate", "asked_rate", "pressure"])

@@ -286,3 +286,28 @@ def q_boosted_outcome(spark: SparkSession, d: str) -> DataFrame:
     features = ["l_quantity", "l_extendedprice", "l_discount", "day"]
     scored = models.score_boosted(models.fit_boosted(rows, features, "flag", 3, rounds=3, depth=3), rows)
     return models.metrics(scored, "flag", ["flag"])
+
+
+@query("SELECT l_orderkey, " + ", ".join(f"coalesce(sum(l_quantity) FILTER (l_linenumber = {i}), 0)::DOUBLE AS total_{i}" for i in range(1, 5)) + ", (" + " ".join(f"{'+' if i % 2 else '-'} coalesce(sum(l_quantity) FILTER (l_linenumber = {i}), 0)" for i in range(1, 5)) + ")::DOUBLE AS lead FROM lineitem GROUP BY 1")
+def q_innings_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return innings.pivoted_totals(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query()
+def q_chase_model(spark: SparkSession, d: str) -> DataFrame:
+    """Chances of a chase at every ball, each match scored by a model that has not seen it."""
+    rows = innings.chase_rows(_play(spark, d), "m", "i", ["ts", "event_id"], "r", "w", 120)
+    scored = models.out_of_fold(rows, "m", ["needed", "balls_left", "in_hand", "run_rate", "asked_rate"], "won", 2, rounds=10)
+    return models.metrics(scored, "won", ["fold"])
+
+
+@query()
+def q_test_match_model(spark: SparkSession, d: str) -> DataFrame:
+    """Win, loss and draw of matches of up to four innings, with the venue's shrunk rate of draws."""
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 30).alias("venue"), F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("result"))
+    at = o.groupBy("venue").agg(F.count_if(F.col("result") == 2).alias("x"), F.count("*").alias("n"))
+    prior = at.agg((F.sum("x") / F.sum("n")).alias("prior"))  # one row
+    at = at.join(F.broadcast(prior), F.lit(True)).select("venue", ((F.col("x") + 20 * F.col("prior")) / (F.col("n") + 20)).alias("draws"))
+    wide = innings.pivoted_totals(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity").withColumnRenamed("l_orderkey", "o_orderkey")
+    scored = models.out_of_fold(o.join(wide, "o_orderkey").join(at, "venue"), "o_orderkey", ["total_1", "total_2", "total_3", "total_4", "lead", "draws"], "result", 2, rounds=10)
+    return models.metrics(scored, "result", ["fold"])

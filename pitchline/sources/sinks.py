@@ -25,3 +25,13 @@ def manifest(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
 def lookup_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
     """A CSV map with a header, read by an explicit schema."""
     return spark.read.schema(columns).option("header", True).csv(path)
+
+
+def write_manifest(spark: SparkSession, path: str, by: list[str], out: str) -> None:
+    """The manifest of an export as one JSON file: a row for each partition."""
+    manifest(spark, path, by).coalesce(1).write.mode("overwrite").json(out)
+
+
+def append_arrow(spark: SparkSession, rows, path: str) -> None:
+    """Append an Arrow table to the Parquet table at ``path``; columns take the order of what is there."""
+    spark.createDataFrame(rows).write.mode("append").parquet(path)

@@ -43,6 +43,11 @@ def update_from(base: DataFrame, changes: DataFrame, keys: list[str], columns: l
     return out.select(*(F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns))
 
 
+def with_added(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """ALTER ADD COLUMN: ``df`` with each of ``columns`` (name: type) that it lacks, null; what it has stays."""
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items() if c not in df.columns}) if columns else df
+
+
 def where_given(df: DataFrame, equals: dict | None = None, contains: dict | None = None, since: dict | None = None, until: dict | None = None) -> DataFrame:
     """``df`` filtered by the conditions that are given: a None asks nothing, a list means one of it, an empty list none.
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchline.operators import asof, graph, innings, models, ratings, windows
-from pitchline.sources import matches, tables
+from pitchline.sources import matches, sinks, tables
 from pitchline.streaming import ingest
 
 
@@ -149,3 +149,22 @@ def test_weather_and_aliases(spark, tmp_path):
     d = spark.createDataFrame([("MCG",), ("Lord's",), (None,)], "venue string")
     aliases = spark.createDataFrame([("MCG", "Melbourne Cricket Ground")], "alias string, canonical string")
     assert sorted(r.venue or "" for r in matches.with_canonical(d, "venue", aliases).collect()) == ["", "Lord's", "Melbourne Cricket Ground"]
+
+
+def test_sinks_of_rows_and_manifests(spark, tmp_path):
+    import pyarrow as pa
+
+    for k in (1, 2):
+        sinks.append_arrow(spark, pa.table({"id": [k, k + 10], "day": ["a", "b"]}), str(tmp_path / "t"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 11, 12]
+    sinks.export(spark.read.parquet(str(tmp_path / "t")), str(tmp_path / "e"), ["day"])
+    sinks.write_manifest(spark, str(tmp_path / "e"), ["day"], str(tmp_path / "m"))
+    assert {r.day: r.rows for r in spark.read.json(str(tmp_path / "m")).collect()} == {"a": 2, "b": 2}
+    d = tables.with_added(spark.range(1), {"id": "int", "note": "string"})
+    assert d.dtypes == [("id", "bigint"), ("note", "string")]
+
+
+def test_chases_know_how_they_end(spark):
+    balls = spark.createDataFrame([(m, i, n, r, 0) for m, rs in ((1, ((3, 3), (4, 4))), (2, ((6, 6), (1, 1)))) for i, x in enumerate(rs, 1) for n, r in enumerate(x)], "m long, i long, n long, r long, w long")
+    out = innings.chase_rows(balls, "m", "i", ["n"], "r", "w", 2).collect()
+    assert sorted((r.m, r.n, r.won) for r in out) == [(1, 0, 1), (1, 1, 1), (2, 0, 0), (2, 1, 0)] and all(r.run_rate is not None for r in out)
