@@ -275,12 +275,16 @@ def remove_repeats(docs, **kw):
     return suffixes.digest(suffixes.deduplicate(docs, **kw))
 
 
-def colliding(words, seed=0):
-    """A first hash of four values only."""
-    return suffixes._mix(words, seed) & np.uint64(3) if seed == 0 else suffixes._mix(words, seed)
+def colliding():
+    """A first hash of four values only; made here, so that it travels to the workers."""
 
+    def mix(words, seed=0):
+        return suffixes._mix(words, seed) & np.uint64(3) if seed == 0 else suffixes._mix(words, seed)
 
-@pytest.mark.parametrize("block, hot, mix", [(1 << 20, suffixes.HOT, suffixes._mix), (700, suffixes.HOT, suffixes._mix), (700, 2, suffixes._mix), (700, 2, colliding), (1 << 20, suffixes.HOT, colliding)])
+    return mix
+
+
+@pytest.mark.parametrize("block, hot, mix", [(1 << 20, suffixes.HOT, suffixes._mix), (700, suffixes.HOT, suffixes._mix), (700, 2, suffixes._mix), (700, 2, colliding()), (1 << 20, suffixes.HOT, colliding())])
 def test_suffixes_against_brute_force(spark, block, hot, mix):
     rng = np.random.default_rng(5)
     pool = ["".join(rng.choice(list("abé "), 150)) for _ in range(4)]
