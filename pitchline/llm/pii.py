@@ -38,13 +38,25 @@ HAN_GIVEN = "伟芳娜秀英敏静丽强磊军洋勇艳杰娟涛明超兰霞平
 
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _WORD = r"\p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++)*+"
-_GIVEN = "|".join(sorted((n for names in GIVEN.values() for n in names.split()), key=len, reverse=True))
+
+
+def _any_of(words: list[str]) -> str:
+    """An alternation of ``words``, longer ones first, that looks at a first letter once."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by.items()))
+
+
+_GIVEN = _any_of([n for names in GIVEN.values() for n in names.split()])
+#: Where a title or a name can begin: at a capital, or at the Russian titles' small letter.
+_BEGIN = r"(?<!\p{L})(?=[\p{Lu}г])"
 _NEXT = rf"(?: (?:(?:{'|'.join(PARTICLES)}) )*(?:{_WORD}|\p{{Lu}}\.(?= \p{{Lu}})))"
 _HAN = r"[\x{4E00}-\x{9FA5}]"
 _HONORIFIC = "(?=先生|女士|小姐|太太|教授|博士)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "person": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? (?:{_WORD}{_NEXT}{{0,2}}|{_HAN}{{2,4}})|(?:{_GIVEN})(?:-{_WORD})?{_NEXT}{{1,2}}(?!\p{{L}}))|[{HAN_SURNAMES}]{_HAN}{{1,2}}{_HONORIFIC}",
+    "person": rf"{_BEGIN}(?:(?:{_TITLE})\.? (?:{_WORD}{_NEXT}{{0,2}}|{_HAN}{{2,4}})|(?:{_GIVEN})(?:-{_WORD})?{_NEXT}{{1,2}}(?!\p{{L}}))|[{HAN_SURNAMES}]{_HAN}{{1,2}}{_HONORIFIC}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -54,7 +66,7 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without a match of this have no entity; a cheap test before the patterns.
-HINT = rf"@|[0-9][ .-]?[0-9]|[0-9]\.[0-9]|(?<!\p{{L}})(?:{_TITLE})\.? [\p{{Lu}}\x{{4E00}}-\x{{9FA5}}]|(?<!\p{{L}})(?:{_GIVEN})[ -]|{_HONORIFIC}"
+HINT = rf"@|[0-9][ .-]?[0-9]|[0-9]\.[0-9]|{_BEGIN}(?:(?:{_TITLE})\.? [\p{{Lu}}\x{{4E00}}-\x{{9FA5}}]|(?:{_GIVEN})[ -])|(?=[先女小太教博]){_HONORIFIC}"
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 #: Consonant pairs that are easy to say, and by rule all others: each list is permuted in itself.
