@@ -410,7 +410,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         kept[name] = frames[-1].collect()
     good = sorted(d for d, r in rows.items() if plain_rules(r.text))
     assert sorted(r.doc_id for r in kept["quality_rules"]) == good
-    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d in good for w in [rows[d].text.lower().split()]}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d in good for w in [rows[d].text.lower().split()]}
     label = {d: d for d in good}
     pairs = [(a, b) for a, b in itertools.combinations(good, 2) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
     for _ in good:
