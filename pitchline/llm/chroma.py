@@ -260,10 +260,10 @@ def search(classes: DataFrame, queries: DataFrame, min_votes: int = 3, max_error
     spark = classes.sparkSession
     packed = "ids array<long>, lens array<int>, ints binary"
 
-    @F.pandas_udf("keys array<long>, times array<long>")
+    @F.pandas_udf("keys array<long>, times array<int>")
     def keys(data: pd.Series) -> pd.DataFrame:
         found = [np.unique(shingles(np.frombuffer(p, "<u4")), return_counts=True) for p in data]
-        return pd.DataFrame({"keys": [k.view(np.int64) for k, _ in found], "times": [n for _, n in found]})
+        return pd.DataFrame({"keys": [k.view(np.int64) for k, _ in found], "times": [n.astype(np.int32) for _, n in found]})
 
     def postings(prints: DataFrame, c: str, n: str, size: str) -> DataFrame:
         rows = prints.select("c", (F.length("print") / 4).cast("int").alias(size), keys("print").alias("_k"))
@@ -275,7 +275,8 @@ def search(classes: DataFrame, queries: DataFrame, min_votes: int = 3, max_error
         where = blocks.select("block", F.explode("ids").alias("query"))
         asked = cut(postings(queries, "query", "nq", "lq"))
         per = asked.groupBy("key").agg(F.count("*").alias("df"))
-        shared = cut(postings(classes, "c", "nd", "ld").join(per, "key"))
+        # shuffled at every size: sent whole, the queries' keys would fit a task in small runs only
+        shared = cut(postings(classes, "c", "nd", "ld").join(per.hint("merge"), "key"))
         rare = shared.where(F.col("df") <= COMMON).join(asked, "key").where("c <> query")
         rare = rare.groupBy("c", "query", "ld", "lq").agg(F.sum(F.col("nd") * F.col("nq")).alias("hits")).where(F.col("hits") >= F.least(F.lit(min_votes), F.col("ld") - 1, F.col("lq") - 1))
         often = asked.join(per.where(F.col("df") > COMMON), "key").join(where, "query").select("key", "block").distinct()
