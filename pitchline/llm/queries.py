@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchline.llm import chat, chroma, licenses, mixing, packing, pii, quality, secrets, simhash, suffixes
+from pitchline.llm import chat, chroma, licenses, merkle, mixing, packing, pii, quality, secrets, simhash, suffixes
 from pitchline.llm.common import read
 
 
@@ -97,6 +97,17 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    leaf = lambda n_chars: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    leaves = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(tampered, leaf(F.col("n_chars") + 1)).alias("tampered"))
+    rows = merkle.manifest(leaves, "lang", ["doc_id"])
+    # the proof is of the original leaf; a leaf that was tampered with is folded along it
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("siblings"), F.col("sides")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy rejects, and rejects alone."""
     return quality.ablation(quality.ledger(read(spark, sf_dir, "documents")))
@@ -114,7 +125,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.abs(F.sum("taken").over(Window.partitionBy("source")) - F.col("target")) <= F.max("size").over(Window.partitionBy("source"))).alias("near"))
 
 
-QUERIES = {f.__name__: f for f in (quality_ablation, secret_base_counts, mix_targets, op1_chroma_alignment, op2_simhash_dedup, op3_secret_scan, op4_license_scan, op5_best_fit_packing, op6_chat_format, op7_quality_ledger, op8_pii_surrogates, op9_suffix_dedup, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (quality_ablation, secret_base_counts, mix_targets, op1_chroma_alignment, op2_simhash_dedup, op3_secret_scan, op4_license_scan, op5_best_fit_packing, op6_chat_format, op7_quality_ledger, op8_pii_surrogates, op9_suffix_dedup, op10_source_mix, op11_merkle_manifest)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -172,4 +183,39 @@ best AS (SELECT arg_min(lam, abs(off)) AS lam FROM l)
 SELECT doc_id, size, ss AS source_size, round(least(2 * ss, w * lam)::DOUBLE, 4) AS target, true AS near FROM z JOIN w ON z.source IS NOT DISTINCT FROM w.source, best
 """
 
-ORACLE_SQL = {"quality_ablation": _ABLATION, "secret_base_counts": _SECRETS, "mix_targets": _TARGETS, "op4_license_scan": licenses.oracle(), "op6_chat_format": _CHATS, "op7_quality_ledger": _LEDGER}
+#: The CRC-32 of a decimal number's digits, bit by bit.
+_CRC = "xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))))"
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+
+
+def _h_leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_MERKLE = f"""
+WITH RECURSIVE lf AS (SELECT doc_id, coalesce('=' || lang, '') AS name, {_h_leaf("n_chars")} AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 AND n_chars IS NOT NULL THEN {_h_leaf("(n_chars + 1)")} ELSE leaf END AS seen FROM documents),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY name) AS n FROM lf),
+lv AS (SELECT name, 0 AS level, i, n, leaf AS d FROM leaves
+  UNION ALL SELECT name, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM lv WHERE n > 1 GROUP BY name, level, i // 2, n),
+subs AS MATERIALIZED (SELECT name, d AS subroot, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+tv AS (SELECT 0 AS level, i, n, subroot AS d FROM subs
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM tv WHERE n > 1 GROUP BY level, i // 2, n),
+steps AS (SELECT DISTINCT name, level, n FROM lv WHERE n > 1), tsteps AS (SELECT DISTINCT level, n FROM tv WHERE n > 1),
+way AS (
+  SELECT l.name, l.i, s.level AS step, CASE WHEN v.d IS NULL THEN '-' WHEN (l.i >> s.level) & 1 = 1 THEN 'L' || v.d ELSE 'R' || v.d END AS s
+  FROM leaves l JOIN steps s USING (name) LEFT JOIN lv v ON v.name = l.name AND v.level = s.level AND v.i = xor(l.i >> s.level, 1)
+  UNION ALL
+  SELECT l.name, l.i, 1000 + s.level, CASE WHEN v.d IS NULL THEN '-' WHEN (b.i >> s.level) & 1 = 1 THEN 'L' || v.d ELSE 'R' || v.d END
+  FROM leaves l JOIN subs b USING (name) CROSS JOIN tsteps s LEFT JOIN tv v ON v.level = s.level AND v.i = xor(b.i >> s.level, 1)),
+ways AS (SELECT name, i, list(s ORDER BY step) AS w FROM way GROUP BY name, i),
+r AS (SELECT l.doc_id, l.leaf, b.subroot, (SELECT d FROM tv WHERE n = 1) AS root, sha256(array_to_string(list_transform(coalesce(w, []), lambda x: x[2:]), '')) AS proof_sha256,
+  list_reduce([seen] || coalesce(w, []), lambda a, s: sha256(CASE s[1] WHEN 'L' THEN s[2:] || a WHEN 'R' THEN a || s[2:] ELSE a END)) AS folded_root
+  FROM leaves l JOIN subs b USING (name) LEFT JOIN ways y ON y.name = l.name AND y.i = l.i)
+SELECT *, folded_root = root AS verified FROM r
+"""
+
+ORACLE_SQL = {"op11_merkle_manifest": _MERKLE, "quality_ablation": _ABLATION, "secret_base_counts": _SECRETS, "mix_targets": _TARGETS, "op4_license_scan": licenses.oracle(), "op6_chat_format": _CHATS, "op7_quality_ledger": _LEDGER}
