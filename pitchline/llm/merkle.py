@@ -202,7 +202,7 @@ def manifest(leaves: DataFrame, tree: str, order: list[str], leaf: str = "leaf",
     rows are leaves of their own, nulls in ``order`` come first, an empty table
     gives no rows.
     """
-    given = [c for c in leaves.columns if c not in ("subroot", "root", "siblings", "sides")]
+    given = [c for c in leaves.columns if c.lower() not in ("subroot", "root", "siblings", "sides")]
     held = {c: f"_c{k}" for k, c in enumerate(given)}
     named = F.coalesce(F.concat(F.lit("="), F.col(f"`{tree}`").cast("string")), F.lit(""))
     nodes = leaves.select(*(F.col(f"`{c}`").alias(h) for c, h in held.items()), named.alias("_tree"), F.col(f"`{leaf}`").alias("_node"))
