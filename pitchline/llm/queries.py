@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchline.llm import chat, chroma, licenses, merkle, mixing, packing, pii, quality, secrets, simhash, suffixes
-from pitchline.llm.common import read
+from pitchline.llm import chat, chroma, licenses, merkle, mixing, packing, pii, quality, runs, secrets, simhash, suffixes
+from pitchline.llm.common import let, read, words
 
 
 def wav(data: Column) -> Column:
@@ -108,6 +108,38 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def _planted(text: Column, doc_id: Column) -> Column:
+    """The text, or for one document in ten its words with a period from some word on."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        return let(F.struct(a.cast("int").alias("a"), p.cast("int").alias("p")), lambda x: F.array_join(F.transform(w, lambda v, i: F.when(i < x["a"], v).otherwise(F.get(w, x["a"] + F.pmod(i - x["a"], x["p"])))), " "))
+
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), let(words(text), repeated)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = runs.find_runs(docs.select("doc_id", _planted(F.col("text"), F.col("doc_id")).alias("text")))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.period)").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy rejects, and rejects alone."""
     return quality.ablation(quality.ledger(read(spark, sf_dir, "documents")))
@@ -125,7 +157,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.abs(F.sum("taken").over(Window.partitionBy("source")) - F.col("target")) <= F.max("size").over(Window.partitionBy("source"))).alias("near"))
 
 
-QUERIES = {f.__name__: f for f in (quality_ablation, secret_base_counts, mix_targets, op1_chroma_alignment, op2_simhash_dedup, op3_secret_scan, op4_license_scan, op5_best_fit_packing, op6_chat_format, op7_quality_ledger, op8_pii_surrogates, op9_suffix_dedup, op10_source_mix, op11_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (quality_ablation, secret_base_counts, mix_targets, op1_chroma_alignment, op2_simhash_dedup, op3_secret_scan, op4_license_scan, op5_best_fit_packing, op6_chat_format, op7_quality_ledger, op8_pii_surrogates, op9_suffix_dedup, op10_source_mix, op11_merkle_manifest, op12_periodic_runs)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -218,4 +250,21 @@ r AS (SELECT l.doc_id, l.leaf, b.subroot, (SELECT d FROM tv WHERE n = 1) AS root
 SELECT *, folded_root = root AS verified FROM r
 """
 
-ORACLE_SQL = {"op11_merkle_manifest": _MERKLE, "quality_ablation": _ABLATION, "secret_base_counts": _SECRETS, "mix_targets": _TARGETS, "op4_license_scan": licenses.oracle(), "op6_chat_format": _CHATS, "op7_quality_ledger": _LEDGER}
+# a run of 12 words or more agrees with itself, a period on, for 6 words or more: places with equal 6 words are joined
+_RUNS = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, len(w) AS n, {_CRC} AS h FROM documents),
+r AS (SELECT *, (h // 10) % greatest(n, 1) AS a, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM d),
+t AS MATERIALIZED (SELECT doc_id, id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM r),
+g AS MATERIALIZED (SELECT id, i, array_to_string(w[i + 1 : i + 6], ' ') AS g FROM (SELECT id, w, unnest(range(n - 5)) AS i FROM t WHERE n >= 12)),
+m AS (SELECT x.id, y.i - x.i AS q, x.i FROM g x JOIN g y ON x.id = y.id AND x.g = y.g AND x.i < y.i),
+s AS (SELECT id, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS k FROM m) GROUP BY id, q, k),
+u AS MATERIALIZED (SELECT id, start, length, min(q) AS period FROM s WHERE length >= greatest(12, 2 * q) GROUP BY ALL),
+f AS (SELECT id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told,
+  first(struct_pack(s := start, l := length, q := period) ORDER BY length DESC, start, period) AS b FROM u GROUP BY id),
+gone AS (SELECT DISTINCT id, unnest(range(start + period, start + length)) AS i FROM u),
+kept AS (SELECT id, string_agg(x, ' ' ORDER BY i) AS c FROM (SELECT id, unnest(w) AS x, unnest(range(n)) AS i FROM t) ANTI JOIN gone USING (id, i) GROUP BY id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.l // b.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256 FROM t LEFT JOIN f USING (id) LEFT JOIN kept USING (id)
+"""
+
+ORACLE_SQL = {"op12_periodic_runs": _RUNS, "op11_merkle_manifest": _MERKLE, "quality_ablation": _ABLATION, "secret_base_counts": _SECRETS, "mix_targets": _TARGETS, "op4_license_scan": licenses.oracle(), "op6_chat_format": _CHATS, "op7_quality_ledger": _LEDGER}
