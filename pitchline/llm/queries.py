@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchline.llm import chat, chroma, licenses, merkle, mixing, packing, pii, quality, runs, secrets, simhash, suffixes
+from pitchline.llm import chat, chroma, licenses, merkle, mixing, packing, pii, positives, quality, runs, secrets, simhash, suffixes
 from pitchline.llm.common import let, read, words
 
 
@@ -140,6 +140,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    # an id with both labels is not trusted
+    good = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
+    learnt = ~positives.held_out(F.col("doc_id"))
+    model = positives.fit(docs.where(learnt), good.where(learnt))
+    scored = positives.score(docs, model)
+    return scored.select("doc_id", positives.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy rejects, and rejects alone."""
     return quality.ablation(quality.ledger(read(spark, sf_dir, "documents")))
@@ -157,7 +167,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.abs(F.sum("taken").over(Window.partitionBy("source")) - F.col("target")) <= F.max("size").over(Window.partitionBy("source"))).alias("near"))
 
 
-QUERIES = {f.__name__: f for f in (quality_ablation, secret_base_counts, mix_targets, op1_chroma_alignment, op2_simhash_dedup, op3_secret_scan, op4_license_scan, op5_best_fit_packing, op6_chat_format, op7_quality_ledger, op8_pii_surrogates, op9_suffix_dedup, op10_source_mix, op11_merkle_manifest, op12_periodic_runs)}
+QUERIES = {f.__name__: f for f in (quality_ablation, secret_base_counts, mix_targets, op1_chroma_alignment, op2_simhash_dedup, op3_secret_scan, op4_license_scan, op5_best_fit_packing, op6_chat_format, op7_quality_ledger, op8_pii_surrogates, op9_suffix_dedup, op10_source_mix, op11_merkle_manifest, op12_periodic_runs, op13_quality_classifier)}
 
 _LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
