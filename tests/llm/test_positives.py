@@ -71,7 +71,7 @@ def test_prior_of_planted_scores():
     rng = np.random.default_rng(2)
     for prior in (0.2, 0.5, 0.9):
         any_ = np.concatenate((rng.normal(3, 1, int(20000 * prior)), rng.normal(-3, 1, int(20000 * (1 - prior)))))
-        assert positives.best_bin_prior(rng.normal(3, 1, 10000), any_) == pytest.approx(prior, abs=0.03)
+        assert prior - 0.04 < positives.best_bin_prior(rng.normal(3, 1, 10000), any_) < prior
 
 
 def made(n, rng):
