@@ -1,7 +1,8 @@
 """Licence scans over a positional rare-token index.
 
 A template is a licence's notice, word by word, with a key phrase that must
-stand whole.  Key words are posted with their templates and places.  A file
+stand whole, common words included.  The rare words of the key are posted with
+their templates and places.  A file
 ranks the licence words it has by inverse document frequency; each template
 whose key words are all there is looked up under the highest-ranked of them, a
 hit proposes the place where the template would start, and the postings of its
@@ -30,7 +31,8 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 class Template:
     """``words`` in order; ``key`` is the phrase in it that must stand whole.
 
-    Words in STOP have a place but are not indexed: any word may stand there.
+    Words in STOP are not looked up, and outside the key any word may stand in
+    their place.
     """
 
     label: str
@@ -39,10 +41,10 @@ class Template:
     base: bool = False
 
     def tokens(self) -> list[tuple[int, str, bool]]:
-        """(offset from the first indexed key word, word, mandatory) of each indexed word."""
+        """(offset from the first key word, word, mandatory) of each word that counts: all of the key, and the rare ones beside it."""
         w, k = self.words.split(), self.key.split()
         at = next(i for i in range(len(w)) if w[i : i + len(k)] == k)
-        return [(i - at, x, at <= i < at + len(k)) for i, x in enumerate(w) if x not in STOP]
+        return [(i - at, x, at <= i < at + len(k)) for i, x in enumerate(w) if at <= i < at + len(k) or x not in STOP]
 
 
 # Words too common to index, and the templates (notices of public licences).
@@ -79,13 +81,16 @@ TEMPLATES = (
 
 
 def licence_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """``(doc_id, n_words, hits)``: the indexed words of each text with their positions."""
+    """``(doc_id, n_words, hits)``: the templates' words in each text with their positions, none where no rare word of a key is among them."""
     vocabulary = sorted({w for t in templates for _, w, _ in t.tokens()})
+    rare = sorted({w for t in templates for w in t.key.split() if w not in STOP})
     plain = F.coalesce(F.col(text_col), F.lit(""))
     # two letters outside A-Z have a lower case within a-z, so texts with them take the slower way
     low = F.when(plain.rlike("[\u212A\u0130]"), F.translate(plain, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(plain))
     w = F.array_remove(F.split(low, NOT_WORD), "")
-    both = let(w, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.filter(F.transform(x, lambda v, i: F.when(v.isin(vocabulary), F.struct(v.alias("w"), i.alias("i")))), lambda s: s.isNotNull()).alias("hits")))
+    found = lambda x: F.filter(F.transform(x, lambda v, i: F.when(v.isin(vocabulary), F.struct(v.alias("w"), i.alias("i")))), lambda s: s.isNotNull())
+    hits = lambda x: F.when(F.exists(x, lambda v: v.isin(rare)), found(x)).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
+    both = let(w, lambda x: F.struct(F.size(x).cast("long").alias("n"), hits(x).alias("hits")))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), both.alias("_b")).select("doc_id", F.col("_b.n").alias("n_words"), F.col("_b.hits").alias("hits"))
 
 
@@ -107,7 +112,7 @@ def _places(hits: Column, templates: tuple[Template, ...], weight: dict[str, flo
     """array<struct<t, p, score>>: the verified places of all templates in a row."""
     postings: dict[str, list[tuple[int, int]]] = {}
     for n, t in enumerate(templates):
-        for w in {w for _, w, must in t.tokens() if must}:  # a word that stands twice in a key is posted where it stands first
+        for w in {w for _, w, must in t.tokens() if must and w not in STOP}:  # a word that stands twice in a key is posted where it stands first
             postings.setdefault(w, []).append((n, min(o for o, v, must in t.tokens() if must and v == w)))
     # written as JSON constants, which the optimizer folds into literals: thousands of columns would weigh the plan down
     index = _constant({w: [{"t": n, "o": o} for n, o in posts] for w, posts in sorted(postings.items())}, "map<string,array<struct<t:int,o:int>>>")
@@ -117,14 +122,14 @@ def _places(hits: Column, templates: tuple[Template, ...], weight: dict[str, flo
     reach = max(max(o for o, _, _ in t.tokens()) - min(o for o, _, _ in t.tokens()) for t in templates) + 1
 
     def ranked(own: Column) -> Column:
-        """The file's key words, rarest first."""
+        """The file's words that keys are looked up under, rarest first."""
         rated = F.transform(own, lambda w: F.struct((-F.try_element_at(idf, w)).alias("r"), w.alias("w")))
         return F.transform(F.array_sort(F.filter(rated, lambda x: x["r"].isNotNull())), lambda x: x["w"])
 
-    def leads(words: Column) -> Column:
+    def leads(words: Column, own: Column) -> Column:
         """The word each template is looked up under: the file's highest-ranked, null where a key word is missing."""
         first = lambda key: F.get(F.filter(words, lambda w: F.array_contains(key, w)), 0)
-        return F.transform(known, lambda t: F.when(F.size(F.array_except(t["key"], words)) == 0, first(t["key"])))
+        return F.transform(known, lambda t: F.when(F.size(F.array_except(t["key"], own)) == 0, first(t["key"])))
 
     def at(hit: Column, j: Column, lead: Column) -> Column:
         # a position has one hit at most, so all hits in reach are that near in the array too
@@ -140,8 +145,8 @@ def _places(hits: Column, templates: tuple[Template, ...], weight: dict[str, flo
         posts = F.filter(F.coalesce(F.try_element_at(index, hit["w"]), F.array()), lambda post: F.get(lead, post["t"]) == hit["w"])
         return F.filter(F.transform(posts, check), lambda x: x.isNotNull())
 
-    own = F.array_distinct(F.transform(hits, lambda h: h["w"]))
-    found = let(let(own, ranked), lambda words: let(leads(words), lambda lead: F.flatten(F.transform(hits, lambda h, j: at(h, j, lead)))))
+    led = lambda own: let(ranked(own), lambda words: leads(words, own))
+    found = let(let(F.array_distinct(F.transform(hits, lambda h: h["w"])), led), lambda lead: F.flatten(F.transform(hits, lambda h, j: at(h, j, lead))))
     return F.when(F.size(hits) > 0, found).otherwise(F.array().cast("array<struct<t:int,p:int,score:double>>"))
 
 
@@ -175,19 +180,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def oracle(templates: tuple[Template, ...] = TEMPLATES) -> str:
-    """DuckDB SQL for the digest columns: every place by a join of words and template words."""
-    values = ", ".join(f"('{t.label}', {t.base}, {o}, '{w}', {must})" for t in templates for o, w, must in t.tokens())
+    """DuckDB SQL for the digest columns, from the phrases: a key's words stand one after the other, and the score counts the notice's words around it."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({text(t.label)}, {t.base}, {text(t.words)}, {text(t.key)})" for t in templates)
+    stop = ", ".join(map(text, sorted(STOP)))
     return rf"""
-WITH tok(label, base, o, w, must) AS (VALUES {values}),
-size AS (SELECT label, count(*) AS n, count(*) FILTER (must) AS n_must FROM tok GROUP BY label),
-d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-pos AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM d),
-place AS (SELECT doc_id, label, base, i - o AS p, count(*) AS m, count(*) FILTER (must) AS m_must FROM pos JOIN tok USING (w) GROUP BY doc_id, label, base, i - o),
-good AS (SELECT doc_id, label, base, p, m / n AS score FROM place JOIN size USING (label) WHERE m_must = n_must),
-g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(p) FILTER (base) AS first_word, max(p) FILTER (base) AS last_word,
+WITH tpl AS (SELECT label, base, string_split(words, ' ') AS t, string_split(key, ' ') AS k, len(string_split(split_part(' ' || words || ' ', ' ' || key || ' ', 1), ' ')) - 1 AS before
+  FROM (VALUES {values}) v(label, base, words, key)),
+d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+pos AS (SELECT id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+place AS (SELECT id, label, base, i, before, t FROM pos JOIN tpl ON x = k[1] JOIN d USING (id) WHERE w[i + 1 : i + len(k)] = k),
+near AS (SELECT id, label, base, i, unnest(range(len(t))) AS j, before, unnest(t) AS x FROM place),
+held AS (SELECT n.id, n.label, n.base, n.i, n.x = p.x AS stands FROM near n JOIN tpl USING (label) LEFT JOIN pos p ON p.id = n.id AND p.i = n.i - n.before + n.j
+  WHERE n.x NOT IN ({stop}) OR (n.j >= n.before AND n.j < n.before + len(k))),
+good AS (SELECT id, label, base, i AS p, count(*) FILTER (stands) / count(*) AS score FROM held GROUP BY ALL),
+g AS (SELECT id, count(*) FILTER (base) AS n_base, min(p) FILTER (base) AS first_word, max(p) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
-  FROM good GROUP BY doc_id)
-SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  FROM good GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
-FROM d LEFT JOIN g USING (doc_id)
+FROM d LEFT JOIN g USING (id)
 """

@@ -119,6 +119,39 @@ def test_licenses(docs):
     assert got[4].n_words == 0 and got[4].first_word is None and got[4].labels == "" and got[4].score == 0.0
 
 
+def brute_licenses(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    places = []
+    for t in licenses.TEMPLATES:
+        words, key = t.words.split(), t.key.split()
+        before = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        counts = [j for j, x in enumerate(words) if before <= j < before + len(key) or x not in licenses.STOP]
+        for i in range(len(w)):
+            if w[i : i + len(key)] == key:
+                stands = sum(0 <= i - before + j < len(w) and w[i - before + j] == words[j] for j in counts)
+                places.append((t.label, t.base, i, stands / len(counts)))
+    base = [i for _, b, i, _ in places if b]
+    return len(w), len(base), min(base, default=None), max(base, default=None), ",".join(sorted({x for x, b, _, _ in places if b})), ",".join(sorted({x for x, *_ in places})), max((s for *_, s in places), default=0.0)
+
+
+def test_licenses_against_every_place(spark):
+    rng = np.random.default_rng(6)
+    texts = ["please cc me on this", "100 cc engine, all rights reserved", "CC-BY cc by-nc 4.0 cc, by", "permission to use copy modify and or distribute", "permission to use copy modify the or distribute", "İcc by Kcc\u212a by", None, "", "use in source and binary forms redistribution"]
+    pool = sorted({x for t in licenses.TEMPLATES for x in t.words.split()}) + ["zzz", "me"]
+    for t in licenses.TEMPLATES:
+        w = t.words.split()
+        texts += [" ".join(w), " ".join([*rng.choice(pool, 5), *w, *w[: len(w) // 2]])]
+        for _ in range(4):  # some words replaced, dropped or repeated
+            v = [x for x in w for _ in range(int(rng.choice([1, 1, 1, 1, 1, 1, 1, 1, 0, 2])))]
+            v = [str(rng.choice(pool)) if rng.random() < 0.05 else x for x in v]
+            texts.append(" ".join(v))
+    texts += [" ".join(rng.choice(["cc", "by", "nc", "all", "rights", "reserved", "general", "public", "license"], 40)) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan(d).collect():
+        want = brute_licenses(texts[r.doc_id])
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == want[:-1] and r.score == pytest.approx(want[-1]), texts[r.doc_id]
+
+
 def test_packing_constraints(docs):
     rows = packing.pack(docs, capacity=64).collect()
     words = Counter()
