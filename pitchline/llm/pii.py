@@ -37,7 +37,12 @@ HAN_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高梁郑
 HAN_GIVEN = "伟芳娜秀英敏静丽强磊军洋勇艳杰娟涛明超兰霞平刚桂文辉玲红建华志国梅鹏飞宇浩欣怡佳琳雪晨阳"
 
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
-_WORD = r"\p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++)*+"
+_WORD = r"(?:\p{Lu}['’])?+\p{Lu}\p{Ll}++(?:[-'’]?\p{Lu}\p{Ll}++)*+"
+_CAPITALS = r"(?:\p{Lu}['’])?+\p{Lu}{2,}+(?:[-'’]\p{Lu}{2,}+)*+(?!\p{Ll})"
+#: A word that may repeat a part of a name that stands elsewhere in the text, in capitals or not.
+SHAPE = r"(?<!\p{L})(?:\p{Lu}['’])?+\p{Lu}\p{L}++(?:[-'’]\p{Lu}\p{L}++)*+"
+#: What a name follows wherever it is given.
+_CUES = ("my name is ", "My name is ", "mein Name ist ", "Mein Name ist ", "ich heiße ", "Ich heiße ", "je m'appelle ", "Je m'appelle ", "me llamo ", "Me llamo ", "меня зовут ", "Меня зовут ")
 
 
 def _any_of(words: list[str]) -> str:
@@ -51,22 +56,25 @@ def _any_of(words: list[str]) -> str:
 _GIVEN = _any_of([n for names in GIVEN.values() for n in names.split()])
 #: Where a title or a name can begin: at a capital, or at the Russian titles' small letter.
 _BEGIN = r"(?<!\p{L})(?=[\p{Lu}г])"
-_NEXT = rf"(?: (?:(?:{'|'.join(PARTICLES)}) )*(?:{_WORD}|\p{{Lu}}\.(?= \p{{Lu}})))"
+_LINKS = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
+_NEXT = rf"(?: {_LINKS}(?:{_WORD}|\p{{Lu}}\.(?= \p{{Lu}})))"
+_TITLED = rf"{_LINKS}(?:{_WORD}{_NEXT}{{0,2}}|{_CAPITALS}(?: {_CAPITALS}){{0,2}})"
 _HAN = r"[\x{4E00}-\x{9FA5}]"
 _HONORIFIC = "(?=先生|女士|小姐|太太|教授|博士)"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "person": rf"{_BEGIN}(?:(?:{_TITLE})\.? (?:{_WORD}{_NEXT}{{0,2}}|{_HAN}{{2,4}})|(?:{_GIVEN})(?:-{_WORD})?{_NEXT}{{1,2}}(?!\p{{L}}))|[{HAN_SURNAMES}]{_HAN}{{1,2}}{_HONORIFIC}",
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)+",
+    "person": rf"{_BEGIN}(?:(?:{_TITLE})\.? (?:{_TITLED}|{_HAN}{{2,4}})|(?<={'|'.join(_CUES)})(?:{_WORD}{_NEXT}{{0,2}})|(?:{_GIVEN})(?:-{_WORD})?{_NEXT}{{1,2}}(?!\p{{L}}))|[{HAN_SURNAMES}]{_HAN}{{1,2}}{_HONORIFIC}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?!\.?[0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])",
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without a match of this have no entity; a cheap test before the patterns.
-HINT = rf"@|[0-9][ .-]?[0-9]|[0-9]\.[0-9]|{_BEGIN}(?:(?:{_TITLE})\.? [\p{{Lu}}\x{{4E00}}-\x{{9FA5}}]|(?:{_GIVEN})[ -])|(?=[先女小太教博]){_HONORIFIC}"
+HINT = rf"@|[0-9][ .-]?[0-9]|[0-9]\.[0-9]|[0-9A-Fa-f]:[:0-9A-Fa-f]|{_BEGIN}(?:(?:{_TITLE})\.? {_LINKS}[\p{{Lu}}\x{{4E00}}-\x{{9FA5}}]|(?<={'|'.join(_CUES)})\p{{Lu}}|(?:{_GIVEN})[ -])|(?=[先女小太教博]){_HONORIFIC}"
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 #: Consonant pairs that are easy to say, and by rule all others: each list is permuted in itself.
@@ -103,7 +111,7 @@ def _chars(text: Column) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    """The kind of a mention; what matches no pattern is a part of a known name."""
+    """The kind of a mention; what matches no other pattern is a person, or a word that may be part of a name."""
     out = F.when(entity.rlike(f"^(?:{PATTERNS['email']})$"), "email")
     for k in KINDS[2:]:
         out = out.when(entity.rlike(f"^(?:{PATTERNS[k]})$"), k)
@@ -113,9 +121,14 @@ def kind_of(entity: Column) -> Column:
 def canonical(kind: Column, entity: Column) -> Column:
     """What two mentions of one entity share: digits only, lower case for mail, names untitled."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    # the groups that a double colon leaves out are zero
+    zeros = lambda x: F.array_repeat(F.lit("0"), 8 - F.size(groups(x)))
+    full = F.concat(groups(F.substring_index(entity, "::", 1)), F.when(F.contains(entity, F.lit("::")), zeros(entity)).otherwise(F.array().cast("array<string>")), F.when(F.contains(entity, F.lit("::")), groups(F.substring_index(entity, "::", -1))).otherwise(F.array().cast("array<string>")))
+    wide = F.lower(F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
     octets = F.array_join(F.transform(F.split(entity, r"\."), lambda o: o.cast("int").cast("string")), ".")
     name = F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", "")
-    return F.when(kind == "email", F.lower(entity)).when(kind == "person", name).when(kind == "iban", F.replace(entity, F.lit(" "))).when(kind == "ip", octets).otherwise(digits)
+    return F.when(kind == "email", F.lower(entity)).when(kind == "person", name).when(kind == "iban", F.replace(entity, F.lit(" "))).when(kind == "ip", octets).when(kind == "ipv6", wide).otherwise(digits)
 
 
 def _turn(stream: Column, unit: Column, i: Column) -> Column:
@@ -146,8 +159,8 @@ def respell(key: Column, word: Column) -> Column:
     return F.aggregate(F.array(F.lit(False), F.lit(True)), units, step, lambda u: let(F.array_join(u, ""), cased))
 
 
-def permute(key: Column, digits: Column) -> Column:
-    """A keyed permutation of the digit strings of a length: each half turns by what the other chooses, four times.
+def permute(key: Column, digits: Column, base: int = 10) -> Column:
+    """A keyed permutation of the digit strings of a length, in base 10 or 16: each half turns by what the other chooses, four times.
 
     A single digit has no other half and moves by the key alone.
     """
@@ -156,7 +169,9 @@ def permute(key: Column, digits: Column) -> Column:
 
     def step(s: Column, r: Column) -> Column:
         stream = F.sha2(F.concat_ws("|", key, r.cast("string"), s["other"]), 256)
-        turn = lambda z: F.array_join(F.transform(_chars(s["moved"]), lambda c, i: F.pmod(c.cast("int") + _byte(z, i), F.lit(10)).cast("string")), "")
+        value = lambda c: c.cast("int") if base == 10 else F.conv(c, base, 10).cast("int")
+        told = lambda n: n.cast("string") if base == 10 else F.lower(F.conv(n.cast("string"), 10, base))
+        turn = lambda z: F.array_join(F.transform(_chars(s["moved"]), lambda c, i: told(F.pmod(value(c) + _byte(z, i), F.lit(base)))), "")
         return F.struct(s["other"].alias("moved"), let(stream, turn).alias("other"))
 
     # the halves change places each round; after an even number they are back
@@ -273,7 +288,9 @@ def surrogate(kind: Column, entity: Column, attempt: Column, secret: str) -> Col
 
     new = F.array_join(F.transform(_pieces(kind, entity), one), "")
     whole = lambda x: F.when(kind == "iban", _iban(entity, F.upper(x))).when(kind == "card", _card(entity, x)).otherwise(x)
-    return F.when(kind == "ip", _ip(key, entity)).otherwise(let(new, whole))
+    # the first group of a long address, which tells its kind, stays
+    wide = F.concat(F.substring(entity, 1, 4), permute(key, F.substring(entity, 5, 28), 16))
+    return F.when(kind == "ip", _ip(key, entity)).when(kind == "ipv6", wide).otherwise(let(new, whole))
 
 
 def render(kind: Column, mention: Column, value: Column) -> Column:
@@ -282,22 +299,57 @@ def render(kind: Column, mention: Column, value: Column) -> Column:
     mail = F.when(mention == F.upper(mention), F.upper(value)).otherwise(value)
     # an account's letters and digits fill its places, the digits of a number only those of digits
     slots = F.when(kind == "iban", F.regexp_replace(mention, "[A-Z0-9]", "#")).otherwise(F.regexp_replace(mention, "[0-9]", "#"))
-    return F.when(kind == "person", F.concat(title, value)).when(kind == "email", mail).when(kind == "ip", value).otherwise(_filled(slots, value, "#"))
+    named = F.when((F.length(mention) > 1) & (mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(F.concat(title, value))).otherwise(F.concat(title, value))
+    wide = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.coalesce(F.nullif(F.ltrim(F.substring(value, i * 4 + 1, F.lit(4)), F.lit("0")), F.lit("")), F.lit("0"))), ":")
+    wide = F.when(mention.rlike("[A-F]"), F.upper(wide)).otherwise(wide)
+    return F.when(kind == "person", named).when(kind == "ipv6", wide).when(kind == "email", mail).when(kind == "ip", value).otherwise(_filled(slots, value, "#"))
 
 
-def pattern(text: Column) -> Column:
-    """The expression of a text's entities: the patterns, and the parts of the names it holds; null without any."""
+#: A list of known words of this length at most is read through; a longer one is searched by halves.
+SHORT = 32
+
+
+def known_parts(text: Column) -> Column:
+    """The parts of the names that a text holds, sorted by their lower case: array<struct<low, part>>."""
     names = F.regexp_extract_all(text, F.lit(PATTERNS["person"]), F.lit(0))
     parts = F.flatten(F.transform(names, lambda m: F.split(F.regexp_replace(m, rf"^(?:{_TITLE})\.? ", ""), "[ ]")))
-    parts = F.array_sort(F.array_distinct(F.filter(parts, lambda w: (F.length(w) > 1) & ~w.isin(*PARTICLES) & ~w.rlike(r"\.$"))))
-    # longer parts first, so that a double name is not taken by its half
-    whole = lambda p: F.array_join(F.reverse(F.array_sort(F.transform(p, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))["w"], "|")
-    known = lambda p: F.when(F.size(p) > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), whole(p), F.lit(r")(?!\p{L})"))).otherwise(F.lit(ANY))
-    return F.when(text.rlike(HINT), let(parts, known))
+    parts = F.array_distinct(F.filter(parts, lambda w: (F.length(w) > 1) & ~w.isin(*PARTICLES) & ~w.rlike(r"\.$")))
+    return F.array_sort(F.transform(parts, lambda w: F.struct(F.lower(w).alias("low"), w.alias("part"))))
+
+
+def known_form(parts: Column, word: Column) -> Column:
+    """The first listed part that ``word`` spells, in whatever case; null for other words."""
+    low = F.lower(word)
+    near = F.get(F.filter(parts, lambda p: p["low"] == low), 0)["part"]
+    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    # how many parts order before the word
+    before = F.aggregate(steps, F.lit(0), lambda at, by: F.when(by <= F.size(parts) - at, F.when(F.get(parts, at + by - 1)["low"] < low, at + by).otherwise(at)).otherwise(at))
+    far = let(before, lambda at: F.when(F.get(parts, at)["low"] == low, F.get(parts, at)["part"]))
+    return F.when(F.size(parts) <= SHORT, near).otherwise(far)
+
+
+_HAN_PART = rf"^{_HAN}"
+
+
+def _matches(text: Column, parts: Column, take) -> Column:
+    """``take(pattern)`` for a text: the patterns alone, or with words of the shape of a name where the text
+    holds names.  Chinese names stand between other letters: those a text holds are looked for one by one."""
+    han = lambda ps: F.filter(F.transform(ps, lambda p: p["part"]), lambda w: w.rlike(_HAN_PART))
+    both = F.concat(F.lit(f"{ANY}|{SHAPE}|(?:"), F.array_join(han(parts), "|"), F.lit(")"))
+    return F.when(F.size(parts) == 0, take(F.lit(ANY))).when(F.size(han(parts)) == 0, take(F.lit(f"{ANY}|{SHAPE}"))).otherwise(take(both))
+
+
+def _mentions(found: Column, parts: Column) -> Column:
+    """kind, mention and entity of what was found; without a kind where a word of a name's shape is no part of one."""
 
+    def one(m: Column) -> Column:
+        # a single word, and a name whose honorific is not in the mention, are known by the text's list
+        word = m.rlike(rf"^(?:{SHAPE}|{_HAN}+)$")
+        name = F.when(word, known_form(parts, m)).otherwise(canonical(F.lit("person"), m))
+        kind = let(kind_of(m), lambda k: F.when((k == "person") & name.isNull(), F.lit(None)).otherwise(k))
+        return let(kind, lambda k: F.struct(k.alias("kind"), m.alias("mention"), F.when(k == "person", name).when(k.isNotNull(), canonical(k, m)).alias("entity")))
 
-def _mentions(found: Column) -> Column:
-    return F.transform(found, lambda m: let(kind_of(m), lambda k: F.struct(k.alias("kind"), m.alias("mention"), canonical(k, m).alias("entity"))))
+    return F.transform(found, one)
 
 
 def collisions(entities: DataFrame, secret: str) -> DataFrame:
@@ -330,13 +382,14 @@ def pseudonymize(docs: DataFrame, secret: str, text_col: str = "text") -> DataFr
     and written with what was found; nothing of them is shuffled.  ``secret``
     is the key: who has it can tell which surrogate stands for a guessed entity.
     """
-    row, text, mark, gaps, found, turns, rid = unused(docs, "_row", "_text", "_mark", "_gaps", "_found", "_turns", "_rid")
+    row, text, known, gaps, found, turns, rid = unused(docs, "_row", "_text", "_known", "_gaps", "_found", "_turns", "_rid")
     plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col) if len(docs.columns) > 1 else F.lit(0)).alias(row), F.col(text_col).alias(text))
-    marked = plain.withColumn(mark, pattern(F.coalesce(F.col(text), F.lit(""))))
-    some = F.when(F.col(mark).isNotNull(), F.regexp_extract_all(F.col(text), F.col(mark), F.lit(0)))
-    marked = marked.withColumn(found, F.when(F.size(some) > 0, some)).withColumn(gaps, F.when(F.col(found).isNotNull(), F.split(F.col(text), F.col(mark), -1)))
-    marked = cut(marked.select(F.monotonically_increasing_id().alias(rid), row, F.when(F.col(found).isNull(), F.col(text)).alias(text), gaps, _mentions(F.col(found)).alias(found)))
-    entities = marked.where(F.col(found).isNotNull()).select(F.explode(found).alias("m")).select("m.kind", "m.entity").distinct()
+    # null where a cheap test says that there is nothing
+    marked = plain.withColumn(known, F.when(F.coalesce(F.col(text), F.lit("")).rlike(HINT), known_parts(F.col(text))))
+    some = F.when(F.col(known).isNotNull(), _matches(F.col(text), F.col(known), lambda p: F.regexp_extract_all(F.col(text), p, F.lit(0))))
+    marked = marked.withColumn(found, F.when(F.size(some) > 0, some)).withColumn(gaps, F.when(F.col(found).isNotNull(), _matches(F.col(text), F.col(known), lambda p: F.split(F.col(text), p, -1))))
+    marked = cut(marked.select(F.monotonically_increasing_id().alias(rid), row, F.when(F.col(found).isNull(), F.col(text)).alias(text), gaps, _mentions(F.col(found), F.col(known)).alias(found)))
+    entities = marked.where(F.col(found).isNotNull()).select(F.explode(found).alias("m")).where("m.kind is not null").select("m.kind", "m.entity").distinct()
     redo = collisions(entities, secret)
     if redo.isEmpty():
         rows = marked.withColumn(turns, F.lit(None).cast("map<int,int>"))
@@ -344,7 +397,7 @@ def pseudonymize(docs: DataFrame, secret: str, text_col: str = "text") -> DataFr
         at = marked.where(F.col(found).isNotNull()).select(rid, F.posexplode(found).alias("at", "m")).join(redo, (F.col("m.kind") == redo["kind"]) & (F.col("m.entity") == redo["entity"]))
         rows = marked.join(at.groupBy(rid).agg(F.map_from_entries(F.collect_list(F.struct("at", "attempt"))).alias(turns)), rid, "left")
     attempt = lambda i: F.coalesce(F.try_element_at(F.col(turns), i), F.lit(0))
-    new = F.transform(found, lambda m, i: render(m["kind"], m["mention"], surrogate(m["kind"], m["entity"], attempt(i), secret)))
+    new = F.transform(found, lambda m, i: F.when(m["kind"].isNull(), m["mention"]).otherwise(render(m["kind"], m["mention"], surrogate(m["kind"], m["entity"], attempt(i), secret))))
     joined = let(new, lambda n: F.array_join(F.transform(gaps, lambda x, i: F.concat(x, F.coalesce(F.get(n, i), F.lit("")))), ""))
     count = lambda k: F.coalesce(F.size(F.filter(found, lambda m: m["kind"] == k)), F.lit(0))
     counts = F.map_from_arrays(F.array(*(F.lit(k) for k in KINDS)), F.array(*(count(k) for k in KINDS)))

@@ -542,7 +542,7 @@ def test_poor_bins_are_packed_anew(spark):
 
 
 def test_registered_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
@@ -744,3 +744,35 @@ def test_recordings_against_all_pairs(spark, monkeypatch, common):
         n = sum(q != k and (same(q, k) or chroma.best_run(prints[q], prints[k], 3, 0.2) is not None) for q in (0, 100, 200, 300)) if t is not None else 0
         assert got[k].n_queries == n, k
     assert got[200].class_id == 3 and got[2].class_id == 0 and got[1].offset is not None
+
+
+def test_names_in_any_case_and_shape(spark):
+    texts = [
+        "John Smith left. JOHN SMITH came back, with Smith's dog. Smithers stayed.", "Ms O'Neil and Mr de la Cruz met Mr MCDONALD and Mr McDonald.", "mail user@münchen.de or ünal@example.org",
+        "2001:db8::ff00:42:8329 is 2001:0DB8:0:0:0:FF00:0042:8329, at 12:30:45", "call +49 30 123456 or (030) 1234 5678", "My name is Aisha Khan. Aisha Khan lives here; so does Khan.", "王伟先生 came. 王伟 left.", "The Smith is a trade.",
+    ]
+    out = pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    told = {r.doc_id: r.text for r in out}
+    first, last = re.match(r"(\w+) (\w+) left\. ", told[0]).groups()
+    assert told[0] == f"{first} {last} left. {first.upper()} {last.upper()} came back, with {last}'s dog. Smithers stayed." and "Smith" not in (first, last)
+    assert not re.search("Neil|Cruz|MCDONALD|McDonald", told[1]) and re.match(r"Ms \w'\w+ and Mr de la \w+ met Mr [A-Z]+ and Mr \w+\.$", told[1])
+    assert "münchen.de" not in told[2] and "ünal" not in told[2] and told[2].endswith(".org")
+    a, b = re.match(r"(\S+) is (\S+), at 12:30:45$", told[3]).groups()
+    assert a == b.lower() and b == b.upper() and a.startswith("2001:") and len(a.split(":")) == 8 and a != "2001:db8:0:0:0:ff00:42:8329"
+    assert "123456" not in told[4] and "5678" not in told[4] and re.match(r"call \+\d\d \d\d \d{6} or \(\d{3}\) \d{4} \d{4}$", told[4])
+    assert not re.search("Aisha|Khan", told[5]) and told[5].split(" ")[4].rstrip(".") == told[5].rstrip(".").split(" ")[-1]
+    assert "王伟" not in told[6] and told[7] == texts[7]
+
+
+def test_many_names_take_linear_time(spark):
+    names = ["".join(chr(97 + k // 26**j % 26) for j in range(4)).capitalize() for k in range(16_000)]
+    took = []
+    for n in (4_000, 16_000):
+        text = " ".join(f"Mr {x} left, {x.upper()} stayed;" for x in names[:n])
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        said = pseudonymize(d).first()
+        took.append(time.perf_counter() - began)
+        pairs = re.findall(r"Mr (\w+) left, (\w+) stayed;", said.text)
+        assert len(pairs) == n and all(a.upper() == b for a, b in pairs) and len({a for a, _ in pairs}) == n and not {a for a, _ in pairs} == set(names[:n])
+    assert took[1] < 8 * took[0] + 5
