@@ -342,12 +342,13 @@ def _matches(text: Column, parts: Column, take) -> Column:
 def _mentions(found: Column, parts: Column) -> Column:
     """kind, mention and entity of what was found; without a kind where a word of a name's shape is no part of one."""
 
+    def told(kind: Column, m: Column, entity: Column) -> Column:
+        return F.struct(kind.alias("kind"), m.alias("mention"), entity.alias("entity"))
+
     def one(m: Column) -> Column:
         # a single word, and a name whose honorific is not in the mention, are known by the text's list
-        word = m.rlike(rf"^(?:{SHAPE}|{_HAN}+)$")
-        name = F.when(word, known_form(parts, m)).otherwise(canonical(F.lit("person"), m))
-        kind = let(kind_of(m), lambda k: F.when((k == "person") & name.isNull(), F.lit(None)).otherwise(k))
-        return let(kind, lambda k: F.struct(k.alias("kind"), m.alias("mention"), F.when(k == "person", name).when(k.isNotNull(), canonical(k, m)).alias("entity")))
+        listed = let(known_form(parts, m), lambda name: told(F.when(name.isNotNull(), "person"), m, name))
+        return F.when(m.rlike(rf"^(?:{SHAPE}|{_HAN}+)$"), listed).otherwise(let(kind_of(m), lambda k: told(k, m, canonical(k, m))))
 
     return F.transform(found, one)
 
