@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchline.operators import graph, network, rounds, skills, windows
+from pitchline.operators import graph, network, rosters, rounds, skills, windows
 from pitchline.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -134,3 +134,22 @@ def q_neighbour_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Monthly degrees of parts and of the suppliers they have met, by changes alone."""
     out = network.neighbour_snapshots(table(spark, d, "lineitem"), "l_partkey", "l_suppkey", F.trunc("l_shipdate", "month"))
     return out.select("a", "period", "degree", F.round("opponents_degree", 6).alias("opponents_degree"), F.round("score", 6).alias("score"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT l_suppkey AS team, l_orderkey AS match, o_orderdate AS day, l_partkey AS player FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT DISTINCT team, match, day FROM a),
+s AS (SELECT l_partkey AS player, o_orderdate AS day, avg(l_quantity) AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+last AS (SELECT x.team, x.match, x.day, y.match AS past FROM m x JOIN m y ON x.team = y.team AND y.day < x.day QUALIFY row_number() OVER (PARTITION BY x.team, x.match ORDER BY y.day DESC, y.match DESC) <= 12),
+p AS (SELECT last.team, last.match, last.day, player, count(*) AS n FROM last JOIN a ON a.team = last.team AND a.match = last.past GROUP BY ALL),
+xi AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY team, match ORDER BY n DESC, player) <= 11),
+r AS (SELECT xi.team, xi.match, rating FROM xi ASOF LEFT JOIN s ON xi.player = s.player AND xi.day > s.day)
+SELECT match, team, count(*) AS players, count(rating) AS known, round(avg(coalesce(rating, 25)), 6) AS roster_rating FROM r GROUP BY ALL
+""")
+def q_roster_rating(spark: SparkSession, d: str) -> DataFrame:
+    """Before each order, the mean level of the eleven parts a supplier has delivered most in its last twelve."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity").join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sides = rows.select(F.col("l_orderkey").alias("match"), F.col("l_suppkey").alias("team"), F.col("o_orderdate").alias("day"), F.col("l_partkey").alias("player"))
+    series = rows.groupBy(F.col("l_partkey").alias("player"), F.col("o_orderdate").alias("day")).agg(F.avg("l_quantity").alias("rating"))
+    out = rosters.roster_ratings(rosters.likely_rosters(sides, sides, n=12), series, start=25.0)
+    return out.withColumn("roster_rating", F.round("roster_rating", 6))

@@ -177,3 +177,32 @@ def test_as_of_with_a_hot_key(spark):
             before = [(u, x is not None, x or 0) for kk, u, x in right if kk == k and k is not None and u is not None and t is not None and u < t]
             best = max(before, default=(0, False, 0))
             assert got[i] == (best[2] if best[1] else None), (i, k, t)
+
+
+def test_rosters_against_a_loop(spark):
+    from pitchline.operators import rosters
+
+    rng = random.Random(3)
+    matches = [(m, t, rng.randrange(12)) for m in range(40) for t in rng.sample(range(3), 2)]
+    played = [(m, t, p) for m, t, _ in matches for p in rng.sample(range(9), 5)]
+    day = {(m, t): d for m, t, d in matches}
+    ms, ps = spark.createDataFrame([*matches, matches[0], (None, 1, 3), (99, 1, None)], "match int, team int, day int"), spark.createDataFrame([*played, played[0], (3, 1, None)], "match int, team int, player int")
+    series = [(p, d, float(rng.randrange(100))) for p in range(8) for d in range(12) if rng.random() < 0.4]
+    squads = rosters.likely_rosters(ms, ps, n=3, size=4)
+    got, rated = defaultdict(list), {}
+    for r in squads.collect():
+        got[r.match, r.team].append((-r.appearances, r.player))
+    for r in rosters.roster_ratings(squads, spark.createDataFrame(series, "player int, day int, rating double"), 50.0).collect():
+        rated[r.match, r.team] = (r.players, r.known, r.roster_rating)
+    for (m, t), d in day.items():
+        past = sorted(((e, k) for (k, u), e in day.items() if u == t and e < d), reverse=True)[:3]
+        n = defaultdict(int)
+        for _, k in past:
+            for p in {p for mm, tt, p in played if (mm, tt) == (k, t)}:
+                n[p] += 1
+        want = sorted((-c, p) for p, c in n.items())[:4]
+        assert sorted(got[m, t]) == want
+        if want:
+            latest = [max(((e, x) for q, e, x in series if q == p and e < d), default=None) for _, p in want]
+            mean = sum(50.0 if x is None else x[1] for x in latest) / len(want)
+            assert rated[m, t][:2] == (len(want), sum(x is not None for x in latest)) and near(rated[m, t][2], mean)
