@@ -206,3 +206,34 @@ def test_rosters_against_a_loop(spark):
             latest = [max(((e, x) for q, e, x in series if q == p and e < d), default=None) for _, p in want]
             mean = sum(50.0 if x is None else x[1] for x in latest) / len(want)
             assert rated[m, t][:2] == (len(want), sum(x is not None for x in latest)) and near(rated[m, t][2], mean)
+
+
+@pytest.mark.parametrize("parts", ["1", "11"])
+def test_series_of_a_hot_key(spark, parts):
+    rng = random.Random(12)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, *(float(x) for x in range(9))])) for i in range(2500)]
+    d = spark.createDataFrame(rows, "i int, k int, x double").repartition(3)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    steps = {"small": lambda n: F.lit(0.05), "large": lambda n: F.lit(0.97), "shrinking": lambda n: 0.1 + 0.8 * F.exp(-n / 40.0)}
+    plain = {"small": lambda n: 0.05, "large": lambda n: 0.97, "shrinking": lambda n: 0.1 + 0.8 * math.exp(-n / 40.0)}
+    series = {name: ratings.ema_series(d, "k", ["i"], "x", f, 3.0).collect() for name, f in steps.items()}
+    bounded = {r.k: (r.n, r.level) for r in ratings.bounded_fold(d.withColumn("x", F.coalesce("x", F.lit(0.0))), "k", ["i"], F.lit(0.9), F.col("x") - 4, -5.0, 6.0, 1.0).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name, got in series.items():
+        by = {r.i: r for r in got}
+        assert len(by) == len(rows) == len(got)
+        level, n = defaultdict(lambda: 3.0), defaultdict(int)
+        for i, k, x in rows:
+            a = plain[name](n[k])
+            after = (1 - a) * level[k] + a * (x or 0.0)
+            assert by[i].seen == n[k] and near(by[i].before, level[k]) and near(by[i].after, after), (name, i)
+            level[k], n[k] = after, n[k] + 1
+    for k in (1, 2, None):
+        level = 1.0
+        mine = [x or 0.0 for _, kk, x in rows if kk == k]
+        for x in mine:
+            level = min(6.0, max(-5.0, 0.9 * level + x - 4))
+        assert bounded[k][0] == len(mine) and near(bounded[k][1], level)
