@@ -168,11 +168,11 @@ def q_recent_months(spark: SparkSession, d: str) -> DataFrame:
     return o.join(F.broadcast(last), F.col("o_orderdate") >= F.col("cut")).groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, event_type, count(*) AS n, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' ELSE '?' END AS short, string_agg(event_id || '=' || printf('%.2f', value), ',' ORDER BY event_id) AS pairs FROM events WHERE event_id < 2000000 GROUP BY 1, 2")
+@query("SELECT user_id, event_type, count(*) AS n, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' ELSE '?' END AS short, string_agg(event_id || '=' || printf('%.2f', value), ',' ORDER BY event_id) AS pairs FROM events GROUP BY 1, 2")
 def q_nested(spark: SparkSession, d: str) -> DataFrame:
     """Map lookup, zipped arrays and lists of structs."""
     short = F.create_map(F.lit("click"), F.lit("c"), F.lit("view"), F.lit("v"))
-    rows = table(spark, d, "events").where("event_id < 2000000").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("x"))
+    rows = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("x"))
     zipped = F.arrays_zip(F.col("x.event_id").alias("i"), F.col("x.value").alias("v"))
     return rows.select("user_id", "event_type", "n", F.coalesce(F.try_element_at(short, F.col("event_type")), F.lit("?")).alias("short"), F.array_join(F.transform(zipped, lambda z: F.concat(z["i"].cast("string"), F.lit("="), F.format_string("%.2f", z["v"]))), ",").alias("pairs"))
 
@@ -230,7 +230,7 @@ def q_prediction_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.count_if("ok").alias("right_ones"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("accuracy"))
 
 
-@query("SELECT (SELECT count(*) FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_custkey IS NULL AND o_custkey IS NOT NULL) AS orders_without_customer, (SELECT count(*) FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL) AS lines_without_order, (SELECT count(*) FROM labels LEFT JOIN documents USING (doc_id) WHERE documents.doc_id IS NULL) AS labels_without_document")
+@query("SELECT (SELECT count(*) FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_custkey IS NULL AND o_custkey IS NOT NULL) AS orders_without_customer, (SELECT count(*) FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey WHERE o_custkey IS NULL) AS customers_without_order, (SELECT count(*) FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL) AS lines_without_order, (SELECT count(*) FROM labels LEFT JOIN documents USING (doc_id) WHERE documents.doc_id IS NULL) AS labels_without_document")
 def q_foreign_keys(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose key names nothing, for each reference."""
 
@@ -238,8 +238,9 @@ def q_foreign_keys(spark: SparkSession, d: str) -> DataFrame:
         named = table(spark, d, other).select(F.col(other_key).alias("_o"))
         return table(spark, d, rows).select(F.col(key).alias("_k")).where("_k is not null").join(named, F.col("_k") == F.col("_o"), "left_anti").agg(F.count("*").alias(name))
 
+    none = lost("customer", "c_custkey", "orders", "o_custkey", "customers_without_order")
     one, two, three = lost("orders", "o_custkey", "customer", "c_custkey", "orders_without_customer"), lost("lineitem", "l_orderkey", "orders", "o_orderkey", "lines_without_order"), lost("labels", "doc_id", "documents", "doc_id", "labels_without_document")
-    return one.join(F.broadcast(two), F.lit(True)).join(F.broadcast(three), F.lit(True))  # one row each
+    return one.join(F.broadcast(two), F.lit(True)).join(F.broadcast(three), F.lit(True)).join(F.broadcast(none), F.lit(True))  # one row each
 
 
 _PLAY = "p AS (SELECT event_id, user_id AS m, 1 + event_id % 2 AS i, ts, floor(value / 4)::BIGINT AS r, (event_type = 'error')::INT AS w FROM events), s AS (SELECT *, row_number() OVER o - 1 AS bowled, coalesce(sum(r) OVER (PARTITION BY m, i ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS score, coalesce(sum(w) OVER (PARTITION BY m, i ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS down, sum(r) FILTER (i = 1) OVER (PARTITION BY m) + 1 AS t FROM p WINDOW o AS (PARTITION BY m, i ORDER BY ts, event_id)), k AS (SELECT *, greatest(120 - bowled, 0) AS balls_left, greatest(10 - down, 0) AS in_hand, CASE WHEN i = 2 THEN t END AS target, CASE WHEN i = 2 THEN greatest(t - score, 0) END AS needed FROM s)"
