@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchline.session import cut
+from pitchline.session import cut, has_hot_key
 
 
 def ema_fold(df: DataFrame, key: str, order: list[str], value: str, alpha: float, start: float) -> DataFrame:
@@ -45,8 +45,10 @@ def adaptive_ema(df: DataFrame, key: str, order: list[str], value: str, most: fl
 FADE = 300.0
 
 
-def _dealt(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``df`` with ``_part``: dealt by ranges of key and order, so that a key with many rows is many tasks'."""
+def _dealt(df: DataFrame, key: str, order: list[str], hot: bool) -> DataFrame:
+    """``df`` with ``_part``: dealt by ranges of key and order where a key is ``hot``, so that it is many tasks'."""
+    if not hot:
+        return df.withColumn("_part", F.lit(0))
     return cut(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
 
 
@@ -54,38 +56,45 @@ def ema_series(df: DataFrame, key: str, order: list[str], value: str, step: Call
     """``df`` with ``seen, before, after``: the average before and after each row of a key, in order.
 
     ``step`` gives the step, below 1, from the number of rows seen: a constant
-    or one that shrinks.  A null value counts as 0.  Rows are dealt by ranges,
-    and a key's rows in a range are a segment: what it makes of the value that
-    comes in is an affine map, so the segments of a key, no more than there
-    are ranges, are composed and each gets what comes in.  Inside a segment the
+    or one that shrinks.  A null value counts as 0.  Where a key has more rows
+    than a task should order, rows are dealt by ranges, and a key's rows in a
+    range are a segment: what it makes of the value that comes in is an affine
+    map, so the segments of a key, no more than there are ranges, are composed
+    and each gets what comes in.  Inside a segment the
     average is a scaled prefix sum; blocks end where what lies before them has
     faded, so a block needs the end of the one before only.
     """
     upto = Window.unboundedPreceding, Window.currentRow
     part = Window.partitionBy("_part", key)
-    rows = _dealt(df, key, order).withColumn("_j", F.row_number().over(part.orderBy(*order)) - 1)
+    hot = has_hot_key(df, key)
+    rows = _dealt(df, key, order, hot).withColumn("_j", F.row_number().over(part.orderBy(*order)) - 1)
     same = (F.col(key).eqNullSafe(F.col("_k"))) & (F.col("_part") == F.col("_p"))
-    counts = rows.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
-    earlier = counts.select("_k", "_p", (F.sum("_n").over(Window.partitionBy("_k").orderBy("_p")) - F.col("_n")).alias("_before")).where("_before > 0")
-    # a key begins in one range, so as many rows are left as there are ranges
-    rows = rows.join(earlier, same, "left").withColumn("_i", F.col("_j") + F.coalesce("_before", F.lit(0))).drop("_k", "_p", "_before")
+    if hot:
+        counts = rows.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+        earlier = counts.select("_k", "_p", (F.sum("_n").over(Window.partitionBy("_k").orderBy("_p")) - F.col("_n")).alias("_before")).where("_before > 0")
+        # a key begins in one range, so as many rows are left as there are ranges
+        rows = rows.join(earlier, same, "left").withColumn("_i", F.col("_j") + F.coalesce("_before", F.lit(0))).drop("_k", "_p", "_before")
+    else:
+        rows = rows.withColumn("_i", F.col("_j"))
     rows = rows.withColumn("_a", step(F.col("_i")).cast("double"))
     rows = rows.withColumn("_left", F.sum(F.ln(1 - F.col("_a"))).over(part.orderBy("_j").rowsBetween(*upto)))
     rows = rows.withColumn("_b", F.floor(-F.col("_left") / FADE)).withColumn("_base", -F.col("_b") * FADE)
     inside = Window.partitionBy("_part", key, "_b").orderBy("_j").rowsBetween(*upto)
     term = F.col("_a") * F.coalesce(F.col(value), F.lit(0)).cast("double") * F.exp(F.col("_base") - F.col("_left"))
-    rows = cut(rows.withColumn("_sum", F.sum(term).over(inside)))
+    rows = rows.withColumn("_sum", F.sum(term).over(inside))
+    rows = cut(rows) if hot else rows.withColumn("_in", F.lit(float(start)))
     # of a block only its last row matters to the next
     ends = rows.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.col("_b").alias("_at")).agg(F.max_by("_sum", "_j").alias("_e"), F.min("_left").alias("_low"))
-    last = F.max_by(F.struct("_at", "_e", "_low"), "_at")
-    segments = ends.withColumn("_top", F.max("_at").over(Window.partitionBy("_p", "_k"))).groupBy("_k", "_p").agg(last.alias("_l"), F.max(F.when(F.col("_at") == F.col("_top") - 1, F.col("_e"))).alias("_f"))
-    scale = F.exp(F.col("_l._low") + F.col("_l._at") * FADE)
-    segments = segments.select("_k", "_p", F.exp("_l._low").alias("a"), (scale * (F.col("_l._e") + math.exp(-FADE) * F.coalesce("_f", F.lit(0.0)))).alias("b"))
-    chain = segments.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_p", "a", "b"))).alias("_s")).where(F.size("_s") > 1)
-    first = F.array(F.lit(float(start)))
-    comes = F.aggregate("_s", first, lambda acc, x: F.array_append(acc, x["a"] * F.element_at(acc, -1) + x["b"]))
-    comes = chain.select("_k", F.explode(F.zip_with("_s", comes, lambda x, v: F.struct(x["_p"].alias("_p"), v.alias("_in")))).alias("x")).where("x._p is not null").select("_k", "x.*")
-    rows = rows.join(comes, same, "left").withColumn("_in", F.coalesce("_in", F.lit(float(start)))).drop("_k", "_p")
+    if hot:
+        last = F.max_by(F.struct("_at", "_e", "_low"), "_at")
+        segments = ends.withColumn("_top", F.max("_at").over(Window.partitionBy("_p", "_k"))).groupBy("_k", "_p").agg(last.alias("_l"), F.max(F.when(F.col("_at") == F.col("_top") - 1, F.col("_e"))).alias("_f"))
+        scale = F.exp(F.col("_l._low") + F.col("_l._at") * FADE)
+        segments = segments.select("_k", "_p", F.exp("_l._low").alias("a"), (scale * (F.col("_l._e") + math.exp(-FADE) * F.coalesce("_f", F.lit(0.0)))).alias("b"))
+        chain = segments.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_p", "a", "b"))).alias("_s")).where(F.size("_s") > 1)
+        first = F.array(F.lit(float(start)))
+        comes = F.aggregate("_s", first, lambda acc, x: F.array_append(acc, x["a"] * F.element_at(acc, -1) + x["b"]))
+        comes = chain.select("_k", F.explode(F.zip_with("_s", comes, lambda x, v: F.struct(x["_p"].alias("_p"), v.alias("_in")))).alias("x")).where("x._p is not null").select("_k", "x.*")
+        rows = rows.join(comes, same, "left").withColumn("_in", F.coalesce("_in", F.lit(float(start)))).drop("_k", "_p")
     carry = ends.select("_k", "_p", (F.col("_at") + 1).alias("_next"), (math.exp(-FADE) * F.col("_e")).alias("_carry"))
     rows = rows.join(carry, same & (F.col("_b") == F.col("_next")), "left")
     # the carry is what the block before leaves at the base of this one
@@ -102,10 +111,10 @@ def bounded_fold(df: DataFrame, key: str, order: list[str], keep: Column, add: C
     """``key, n, level``: the fold level = clamp(keep * level + add, low, high) in order, keep >= 0.
 
     Clamped affine maps are closed under composition, so rows are dealt by
-    ranges of key and order, composed in blocks of 4,096, and then block by
-    block: a key with many rows is many tasks', and one row for each block.
+    ranges of key and order where a key is hot, composed in blocks of 4,096,
+    and then block by block: a hot key is many tasks', and a row for each block.
     """
-    rows = _dealt(df, key, order).withColumn("_rn", F.row_number().over(Window.partitionBy("_part", key).orderBy(*order)) - 1)
+    rows = _dealt(df, key, order, has_hot_key(df, key)).withColumn("_rn", F.row_number().over(Window.partitionBy("_part", key).orderBy(*order)) - 1)
     step = F.struct(F.col("_rn").alias("i"), keep.cast("double").alias("a"), add.cast("double").alias("b"), F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi"))
     blocks = rows.groupBy(key, F.struct("_part", F.floor(F.col("_rn") / BLOCK).alias("n")).alias("_b")).agg(F.array_sort(F.collect_list(step)).alias("_s"), F.count("*").alias("_n"))
     none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))

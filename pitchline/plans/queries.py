@@ -171,10 +171,12 @@ def q_mov(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_returnflag, round(quantile_cont(l_quantity, 0.25), 4) AS p25, round(quantile_cont(l_quantity, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(stddev_samp(l_quantity), 4) AS sd, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
 def q_percentiles(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
-    low = windows.exact_percentiles(rows, "l_returnflag", "l_quantity", {"p25": 0.25, "p50": 0.5})
-    high = windows.exact_percentiles(rows, "l_returnflag", "l_extendedprice", {"p90": 0.9})
+    long = rows.unpivot(["l_returnflag"], ["l_quantity", "l_extendedprice"], "metric", "v").select(F.struct("l_returnflag", "metric").alias("g"), "v")
+    every = windows.exact_percentiles(long, "g", "v", {"p25": 0.25, "p50": 0.5, "p90": 0.9}).select("g.*", "p25", "p50", "p90")
+    of = lambda c, metric: F.max(F.when(F.col("metric") == metric, F.col(c))).alias(c)
+    both = every.groupBy("l_returnflag").agg(of("p25", "l_quantity"), of("p50", "l_quantity"), of("p90", "l_extendedprice"))
     rest = rows.groupBy("l_returnflag").agg(F.round(F.stddev_samp("l_quantity"), 4).alias("sd"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"))
-    return rest.join(low, "l_returnflag").join(high, "l_returnflag").select("l_returnflag", *(F.round(c, 4).alias(c) for c in ("p25", "p50", "p90")), "sd", "r")
+    return rest.join(both, "l_returnflag").select("l_returnflag", *(F.round(c, 4).alias(c) for c in ("p25", "p50", "p90")), "sd", "r")
 
 
 @query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o FROM lineitem GROUP BY 1")

@@ -99,6 +99,16 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Up to so many rows of one key an ordered window over the key fits a task well.
+HOT_ROWS = 1 << 20
+
+
+def has_hot_key(df: DataFrame, key: str) -> bool:
+    """Whether one key has more rows than a task should order; reads the key column only."""
+    most = df.groupBy(key).count().agg({"count": "max"}).first()[0]
+    return (most or 0) > HOT_ROWS
+
+
 def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Bound the bytes of the Arrow batches of this session, so that long texts fit a worker.
 

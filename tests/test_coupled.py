@@ -8,6 +8,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from pitchline import session
 from pitchline.operators import network, ratings, rounds, skills
 
 
@@ -159,7 +160,7 @@ def test_neighbour_snapshots_equal_the_recount(spark):
             last[a] = now
 
 
-def test_as_of_with_a_hot_key(spark):
+def test_as_of_with_a_hot_key(spark, monkeypatch):
     from pitchline.operators.asof import asof_before
 
     rng = random.Random(9)
@@ -167,7 +168,8 @@ def test_as_of_with_a_hot_key(spark):
     left = [(i, key(), rng.choice([None, *range(50)]) if i % 9 == 0 else rng.randrange(50)) for i in range(1500)]
     right = [(key(), rng.choice([None, rng.randrange(50)]), rng.choice([None, rng.randrange(9)])) for _ in range(150)] + [(1, 3, None)]
     a, b = spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "k int, t int, x int")
-    for parts in ("1", "13"):
+    for parts, bound in (("1", 0), ("13", 0), ("4", 1 << 20)):
+        monkeypatch.setattr(session, "HOT_ROWS", bound)
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         got = {r.id: r.x for r in asof_before(a, b, "k", "t", "t", F.col("x"), "x").collect()}
@@ -208,8 +210,9 @@ def test_rosters_against_a_loop(spark):
             assert rated[m, t][:2] == (len(want), sum(x is not None for x in latest)) and near(rated[m, t][2], mean)
 
 
-@pytest.mark.parametrize("parts", ["1", "11"])
-def test_series_of_a_hot_key(spark, parts):
+@pytest.mark.parametrize("parts, bound", [("11", 0), ("4", 1 << 20)])
+def test_series_of_a_hot_key(spark, monkeypatch, parts, bound):
+    monkeypatch.setattr(session, "HOT_ROWS", bound)
     rng = random.Random(12)
     rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, *(float(x) for x in range(9))])) for i in range(2500)]
     d = spark.createDataFrame(rows, "i int, k int, x double").repartition(3)
