@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchline.session import cut, discard
+from pitchline.session import cut, discard, spread
 
 #: Smoothing penalties tried where the caller names none.
 PENALTIES = tuple(10.0**i for i in range(-3, 6))
@@ -103,7 +103,7 @@ def fit_additive(df: DataFrame, columns: dict[str, int], label: str, venue: str
     place = F.col(venue).cast("string") if venue else F.lit(None).cast("string")
     fold = F.pmod(F.xxhash64(F.col(group) if group else F.struct(numbers, F.col(label))), F.lit(folds)).cast("int")
     rows = df.where(F.col(label).isNotNull()).select(numbers.alias("_x"), F.col(label).cast("double").alias("_y"), place.alias("_v"), fold.alias("_k"))
-    held = cut(rows)
+    held = cut(spread(rows))
     at = lambda j: F.nanvl(F.get("_x", j), F.lit(None).cast("double"))
     span = held.agg(*(f(at(j)).alias(f"{n}{j}") for j in range(len(names)) for n, f in (("lo", F.min), ("hi", F.max)))).first()
     spans = [(span[f"lo{j}"] or 0.0, span[f"hi{j}"] or 0.0, columns[c]) for j, c in enumerate(names)]
@@ -167,7 +167,7 @@ def fit_additive(df: DataFrame, columns: dict[str, int], label: str, venue: str
         each = parts.where(F.col("fold") < folds).groupBy("venue", "fold").agg(of(F.lit(True)).alias("s"))
         return cut(each.groupBy("venue").agg(F.collect_list(F.struct("fold", "s")).alias("folds")))  # a place for each fold
 
-    def spread(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def apart(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Sums of each venue: whole, and by fold."""
         each = np.zeros((len(b), folds, size))
         for i, parts in enumerate(b["folds"]):
@@ -181,7 +181,7 @@ def fit_additive(df: DataFrame, columns: dict[str, int], label: str, venue: str
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = np.zeros((folds + 1, size, size))
             for b in batches:
-                every, each = spread(b)
+                every, each = apart(b)
                 for f in range(folds + 1):
                     s = every - each[:, f] if f < folds else every
                     out[f] += s.T @ (s / (s[:, :1] + shrink))
@@ -200,7 +200,7 @@ def fit_additive(df: DataFrame, columns: dict[str, int], label: str, venue: str
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 part = np.zeros(len(out))
                 for b in batches:
-                    every, each = spread(b)
+                    every, each = apart(b)
                     for (c, f), beta in tried.items():
                         z, s = np.append(-beta, 1.0), every - each[:, f]
                         effect = (s @ z) / (s[:, 0] + shrink)

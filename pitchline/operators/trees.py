@@ -16,11 +16,12 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from pitchline.session import cut, discard
+from pitchline.session import cut, discard, spread
 
 #: Gradients are summed as integers of this unit: exact, so that a task that runs again changes nothing.
 UNIT = 2.0**-20
@@ -68,8 +69,13 @@ def _shares(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _stack(column: pd.Series, width: int, kind) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(kind) if len(column) else np.zeros((0, width), dtype=kind)
+def _read(batch: pa.RecordBatch, column: str, width: int, kind) -> np.ndarray:
+    """An array column, all of the same length, as a matrix."""
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(kind)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
 
 
 def _added(tree: dict[str, list], bins: np.ndarray, depth: int) -> np.ndarray:
@@ -82,14 +88,14 @@ def _histogram(rows: DataFrame, tree: dict[str, list], level: int, classes: int,
     nodes = 2**level
     shape = (classes, nodes, features, bins)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, h = np.zeros(shape), np.zeros(shape)
         for b in batches:
-            x = _stack(b["_b"], features, np.int64)
-            p = _shares(_stack(b["_f"], classes, float))
+            x = _read(b, "_b", features, np.int64)
+            p = _shares(_read(b, "_f", classes, float))
             at = _walk(tree, x, level)
             slope = np.rint(2 * p * (1 - p) / UNIT)
-            p[np.arange(len(p)), b["_y"].to_numpy()] -= 1
+            p[np.arange(len(p)), b.column("_y").to_numpy(zero_copy_only=False)] -= 1
             grad = np.rint(p / UNIT)
             for k in range(classes):
                 for f in range(features):
@@ -97,9 +103,9 @@ def _histogram(rows: DataFrame, tree: dict[str, list], level: int, classes: int,
                     g[k, :, f] += np.bincount(cell, grad[:, k], nodes * bins).reshape(nodes, bins)
                     h[k, :, f] += np.bincount(cell, slope[:, k], nodes * bins).reshape(nodes, bins)
         held = np.flatnonzero((g != 0) | (h != 0))
-        yield pd.DataFrame({"cell": held, "g": g.ravel()[held].astype(np.int64), "h": h.ravel()[held].astype(np.int64)})
+        yield pa.RecordBatch.from_pydict({"cell": held, "g": g.ravel()[held].astype(np.int64), "h": h.ravel()[held].astype(np.int64)})
 
-    sums = rows.mapInPandas(run, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+    sums = rows.mapInArrow(run, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
     out = np.zeros((2, math.prod(shape)))
     cells = sums["cell"].to_numpy(dtype=np.int64)
     out[0, cells], out[1, cells] = sums["g"] * UNIT, sums["h"] * UNIT
@@ -140,22 +146,25 @@ def fit_softmax(df: DataFrame, features: list[str], label: str, classes: int, ro
     if not 1 < bins < 2**15:
         raise ValueError("bins: 2 to 32767")
     rows = df.select(F.array(*(F.col(c).cast("double") for c in features)).alias("_x"), F.col(label).cast("int").alias("_y")).where(F.col("_y").between(0, classes - 1))
+    raw = cut(spread(rows))
     if edges is None:
-        numbers = rows.select(*(F.get("_x", j).alias(f"x{j}") for j in range(len(features))))
+        numbers = raw.select(*(F.get("_x", j).alias(f"x{j}") for j in range(len(features))))
         edges = numbers.approxQuantile(numbers.columns, [i / bins for i in range(1, bins)], 1 / (8 * bins))
     edges = [sorted(set(e)) for e in edges]
-    counts = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    counts = {r["_y"]: r["n"] for r in raw.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     prior = [math.log(max(counts.get(k, 0), 1e-3) / max(total, 1)) for k in range(classes)]
     width = max((len(e) for e in edges), default=0) + 2
+    kinds = pa.schema([("_y", pa.int32()), ("_b", pa.list_(pa.int16())), ("_f", pa.list_(pa.float64()))])
 
-    def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _bins(list(_stack(b["_x"], len(edges), float).T), edges)
-            yield pd.DataFrame({"_y": b["_y"], "_b": list(x), "_f": [prior] * len(b)})
+            x = _bins(list(_read(b, "_x", len(edges), float).T), edges)
+            yield pa.RecordBatch.from_arrays([b.column("_y"), _lists(x), _lists(np.tile(prior, (len(x), 1)))], schema=kinds)
 
     schema = "_y int, _b array<short>, _f array<double>"
-    held, trees = cut(rows.mapInPandas(binned, schema)), []
+    held, trees = cut(raw.mapInArrow(binned, schema)), []
+    discard(raw)
     for _ in range(rounds if total else 0):
         inner = 2**depth - 1
         tree = {"feature": np.full((classes, inner), -1), "upto": np.zeros((classes, inner), dtype=int), "missing": np.zeros((classes, inner), dtype=int)}
@@ -168,13 +177,13 @@ def fit_softmax(df: DataFrame, features: list[str], label: str, classes: int, ro
         tree = {c: v.tolist() for c, v in tree.items()}
         trees.append(tree)
 
-        def moved(batches: Iterator[pd.DataFrame], tree=tree) -> Iterator[pd.DataFrame]:
+        def moved(batches: Iterator[pa.RecordBatch], tree=tree) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                scores = _stack(b["_f"], classes, float) + _added(tree, _stack(b["_b"], len(edges), np.int64), depth)
-                yield pd.DataFrame({"_y": b["_y"], "_b": b["_b"], "_f": list(scores)})
+                scores = _read(b, "_f", classes, float) + _added(tree, _read(b, "_b", len(edges), np.int64), depth)
+                yield pa.RecordBatch.from_arrays([b.column("_y"), b.column("_b"), _lists(scores)], schema=kinds)
 
         if len(trees) < rounds:
-            before, held = held, cut(held.mapInPandas(moved, schema))
+            before, held = held, cut(held.mapInArrow(moved, schema))
             discard(before)
     discard(held)
     return Softmax(list(features), edges, prior, trees)

@@ -90,6 +90,15 @@ def cut(df: DataFrame, partitioned_by: tuple[str, ...] = ()) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the session has cores: for rows that many passes compute on.
+
+    Only what is read in fewer is shuffled, so at a size that fills the cluster nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a frame that ``cut`` returned and nothing reads any more."""
     path = getattr(df, "_pitchline_cut", None)
