@@ -1,4 +1,4 @@
-"""Registered queries of outcome models and of losses over many settings."""
+"""Registered queries of outcome models, of losses over many settings and of state that takes rows in order."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pitchline.operators import additive, losses, models, skills, trees
 from pitchline.plans.coupled import _balls
 from pitchline.sources.tables import table
+from pitchline.streaming import ordered
 
 QUERIES, ORACLE = {}, {}
 
@@ -61,3 +62,15 @@ def q_additive_price(spark: SparkSession, d: str) -> DataFrame:
     model = additive.fit_additive(rows, {"l_quantity": 12, "day": 8}, "y", "l_suppkey", group="l_orderkey")
     scored = additive.score_additive(model, rows, "l_suppkey")
     return scored.groupBy("l_quantity").agg(F.count("*").alias("n"), F.avg("y").alias("seen"), F.avg("expected").alias("expected"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, value, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, ms, value, n, 50.0::DOUBLE AS before, 50 + 0.1 * (value - 50) AS after FROM e WHERE n = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.ms, e.value, e.n, f.after, f.after + 0.1 * (e.value - f.after) FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, event_id, n, round(before, 6) AS before, round(after, 6) AS after FROM f WHERE ms <= (SELECT max(epoch_ms(ts)) FROM events) - 86400000
+""")
+def q_ordered_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The level of each user before and after each event, from a stream whose files may come in any order; the last day still waits."""
+    out = ordered.ordered_run(spark, d, "user_id", "ts", "event_id", "value", lambda level, n, value: level + 0.1 * (value - level), 50.0, only="events.parquet", late="1 day")
+    return out.select("user_id", "event_id", "n", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
