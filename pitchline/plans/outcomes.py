@@ -1,4 +1,4 @@
-"""Registered queries of outcome models, of losses over many settings and of state that takes rows in order."""
+"""Registered queries of outcome models, of losses over many settings, of state that takes rows in order and of landed documents."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchline.operators import additive, losses, models, skills, trees
 from pitchline.plans.coupled import _balls
+from pitchline.sources.landed import Field, Layout, extracted, parsed
 from pitchline.sources.tables import table
 from pitchline.streaming import ordered
 
@@ -74,3 +75,24 @@ def q_ordered_levels(spark: SparkSession, d: str) -> DataFrame:
     """The level of each user before and after each event, from a stream whose files may come in any order; the last day still waits."""
     out = ordered.ordered_run(spark, d, "user_id", "ts", "event_id", "value", lambda level, n, value: level + 0.1 * (value - level), 50.0, only="events.parquet", late="1 day")
     return out.select("user_id", "event_id", "n", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+
+
+#: Where the lines of an order stand in the two versions of its document.
+LINES = Layout(("$.items", "$.lines"), {"order_id": Field("bigint", ("$.order.id", "$.orderId"), True, True), "line": Field("int", ("$.lineNumber", "$.no"), True), "quantity": Field("double", ("$.quantity", "$.qty"))})
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS place FROM lineitem)
+SELECT l_orderkey AS landed, place::INTEGER AS place, l_orderkey AS order_id, l_linenumber AS line, CASE WHEN l_quantity < 45 OR l_orderkey % 2 = 0 THEN l_quantity END AS quantity, CASE WHEN l_quantity >= 45 AND l_orderkey % 2 = 1 THEN 'quantity is not double' END AS reason FROM l WHERE l_orderkey % 97 <> 0
+UNION ALL SELECT DISTINCT l_orderkey, NULL::INTEGER, NULL::BIGINT, NULL::INTEGER, NULL::DOUBLE, 'not JSON' FROM l WHERE l_orderkey % 97 = 0
+""")
+def q_landed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of all orders, read back from documents of two versions: the later one says "many" for large
+    quantities, and some documents break off; what cannot be read has a reason."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")))).alias("x"))
+    old = F.to_json(F.struct(F.col("l_orderkey").alias("orderId"), F.transform("x", lambda r: F.struct(r["n"].alias("no"), r["q"].alias("qty"))).alias("lines")))
+    said = lambda q: F.when(q < 45, q.cast("string")).otherwise("many")
+    new = F.to_json(F.struct(F.struct(F.col("l_orderkey").alias("id")).alias("order"), F.transform("x", lambda r: F.struct(r["n"].alias("lineNumber"), said(r["q"]).alias("quantity"))).alias("items")))
+    text = F.when(F.col("l_orderkey") % 2 == 0, old).otherwise(new)
+    text = F.when(F.col("l_orderkey") % 97 == 0, F.left(text, F.length(text) - 1)).otherwise(text)
+    return extracted(parsed(rows.select(F.col("l_orderkey").alias("landed"), text.alias("text")), "text"), LINES, ["landed"])

@@ -9,9 +9,10 @@ import pytest
 
 from pitchline.functions import formulas as fx
 from pitchline.operators import asof, ratings
-from pitchline.plans import features, queries, relational
+from pitchline.plans import features, outcomes, queries, relational
 
-QUERIES, ORACLE = queries.QUERIES | relational.QUERIES | features.QUERIES, queries.ORACLE | relational.ORACLE | features.ORACLE
+QUERIES = queries.QUERIES | relational.QUERIES | features.QUERIES | outcomes.QUERIES
+ORACLE = queries.ORACLE | relational.ORACLE | features.ORACLE | outcomes.ORACLE
 DATA = "/root/testdata/sf0.001"
 
 
