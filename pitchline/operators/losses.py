@@ -1,20 +1,22 @@
 """Losses of ball-by-ball ratings under many settings in one pass.
 
-A rating is an array with a place for each setting, so a ball costs a few
-array operations whatever their number, and the balls are read, shuffled and
-ordered once.
+A rating is an array with a place for each setting, and balls that share no
+entity are rated together, so a few array operations serve many balls and settings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchline.operators.levels import level_scan
+
+#: Settings that one pass rates: more would make its states large, fewer its array operations small.
+SIDE_BY_SIDE = 8
+
 
 @dataclass(frozen=True)
 class Setting:
@@ -41,49 +43,57 @@ def setting_losses(balls: DataFrame, league: str, order: list[str], match: str,
     batter's rating is then worth survival.  A session starts anew with each
     match.  A ball without outcome or baseline is left out; null players and
     venues are entities of their own.  Leagues are rated apart, each in the
-    order of ``order`` by one task, which holds the ratings, not the balls.
+    order of ``order`` and for eight settings by one task, which holds the
+    ratings, not the balls, and rates balls together that share no entity.
     """
     if not settings:
         raise ValueError("no settings")
+    known = balls.where(F.col(baseline).isNotNull() & F.col(outcome).isNotNull())
     at = np.array([[*s.player, *s.venue, *s.session, *astuple(s)[3:]] for s in settings], dtype=float).T
-    player, place, session = at[0:3], at[3:6], at[6:9]
+    parts = [at[:, i : i + SIDE_BY_SIDE] for i in range(0, len(settings), SIDE_BY_SIDE)]
+    out = None
+    for i, part in enumerate(parts):
+        play, fresh = _play(part, i * SIDE_BY_SIDE, wickets, start)
+        told = level_scan(known, league, order, [batter, bowler, venue], [baseline, outcome], play, "setting int, n long, loss double", fresh, match)
+        out = told if out is None else out.unionByName(told)
+    return out.groupBy("setting").agg(F.sum("n").alias("n"), F.try_divide(F.sum("loss"), F.sum("n")).alias("loss"))
+
+
+def _play(at: np.ndarray, first: int, wickets: bool, start: float):
+    """What a level does to the ratings, for the settings that are the columns of ``at``, numbered from ``first``."""
+    steps = np.stack([at[0:3], at[0:3], at[3:6], at[6:9]])[:, :, None, :]  # kind, (most, least, half), row, setting
     shares = at[9:13] / at[9:13].sum(axis=0)
     scale = 1 / at[13] if wickets else at[13] / 100
-    sides = (-1.0, 1.0, 1.0, 1.0) if wickets else (1.0, -1.0, 1.0, 1.0)
-    weigh = [side * share * scale for side, share in zip(sides, (shares[0], shares[1], shares[3], shares[2]))]
-    fields = [league, match, batter, bowler, venue, baseline, outcome]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, loss = 0, np.zeros(len(settings))
-        at_league = at_match = object()
-        books, now, seen = ({}, {}, {}), None, 0
-        fresh = np.full(len(settings), float(start))
-        for b in batches:
-            for lg, m, *keys, base, y in zip(*(b[f"_{i}"].tolist() for i in range(len(fields)))):
-                if lg != at_league:
-                    at_league, at_match, books = lg, object(), ({}, {}, {})
-                if m != at_match:
-                    at_match, now, seen = m, fresh, 0
-                held = [book.get(k, (fresh, 0)) for book, k in zip(books, keys)]
-                levels = [v for v, _ in held] + [now]
-                moved = sum(w * (v - start) for w, v in zip(weigh, levels))
-                if wickets:
-                    base = min(0.999, max(0.001, base))
-                    expected = np.clip(1 / (1 + np.exp(-(np.log(base / (1 - base)) + moved))), 0.001, 0.999)
-                    loss -= np.log(expected) if y else np.log1p(-expected)
-                else:
-                    expected = np.clip(base + moved, 0.01, 6.0)
-                    loss += expected - y * np.log(expected)
-                surprise = y - expected
-                for book, k, (v, balls_of), (most, least, half), side in zip(books, keys, held, (player, player, place), sides):
-                    book[k] = (v + side * (least + (most - least) * np.exp(-balls_of / half)) * surprise, balls_of + 1)
-                now = now + np.maximum(session[0] * np.exp(-seen / session[2]), session[1]) * surprise
-                n, seen = n + 1, seen + 1
-        yield pd.DataFrame({"setting": range(len(settings)), "n": n, "loss": loss})
-
-    # keys travel as text, null as none, so that batches of any mixture compare alike
-    texts = [F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(fields[:5])]
-    values = [F.col(c).cast("double").alias(f"_{i + 5}") for i, c in enumerate(fields[5:])]
-    rows = balls.where(F.col(baseline).isNotNull() & F.col(outcome).isNotNull()).select(*texts, *values, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
-    rows = rows.repartition("_0").sortWithinPartitions("_0", *(f"_o{i}" for i in range(len(order))))
-    return rows.mapInPandas(run, "setting int, n long, loss double").groupBy("setting").agg(F.sum("n").alias("n"), F.try_divide(F.sum("loss"), F.sum("n")).alias("loss"))
+    sides = np.array((-1.0, 1.0, 1.0, 1.0) if wickets else (1.0, -1.0, 1.0, 1.0))[:, None]
+    weigh = (sides * shares[[0, 1, 3, 2]] * scale)[:, None, :]
+
+    def play(state, ids, bounds, behind, _, values):
+        base, y = (v[:, None] for v in values)
+        fade = np.exp(-behind[:, :, None] / steps[:, 2])
+        size = steps[:, 1] + (steps[:, 0] - steps[:, 1]) * fade
+        size[3] = np.maximum(steps[3, 0] * fade[3], steps[3, 1])
+        size *= sides[:, :, None]
+        if wickets:
+            base = np.clip(base, 0.001, 0.999)
+            base = np.log(base / (1 - base))
+        expected = np.empty((len(y), at.shape[1]))
+        for a, b in zip(bounds, bounds[1:]):
+            i = ids[:, a:b]
+            v = state[i]
+            e = np.add.reduce((v - start) * weigh, axis=0)
+            e += base[a:b]
+            if wickets:
+                np.negative(e, out=e)
+                np.exp(e, out=e)
+                e += 1
+                np.reciprocal(e, out=e)
+                np.minimum(np.maximum(e, 0.001, out=e), 0.999, out=e)
+            else:
+                np.minimum(np.maximum(e, 0.01, out=e), 6.0, out=e)
+            expected[a:b] = e
+            v += size[:, a:b] * (y[a:b] - e)
+            state[i] = v
+        loss = -np.where(y != 0, np.log(expected), np.log1p(-expected)) if wickets else expected - y * np.log(expected)
+        return np.arange(first, first + at.shape[1], dtype=np.int32), np.full(at.shape[1], len(y)), loss.sum(axis=0)
+
+    return play, np.full(at.shape[1], float(start))
