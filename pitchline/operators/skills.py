@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchline.operators.ratings import _scan
+from pitchline.operators.levels import level_scan
+from pitchline.operators.ratings import _typed
 
 
 def league_baselines(balls: DataFrame, league: str, day: str, value: str, blend: float = 5000.0) -> DataFrame:
@@ -60,38 +61,43 @@ def skill_scan(balls: DataFrame, pool: str, order: list[str], match: str, batter
     expectation too, wickets in the update only.  A player's step shrinks with
     the balls behind, a venue's to a fifth; the session starts anew with each
     match.  One ordered pass for each ``pool`` (a format and gender); a task
-    holds the skills of its pool, not its balls.
+    holds the skills of its pool, not its balls, and balls that share no
+    state are taken together.
     """
     kind = balls.schema[pool].dataType.simpleString()
     keys = f"{pool} {kind}, {match} long, {batter} long, {bowler} long, {venue} long"
     told = [f"{s}_{d}_before double" for d in ("run", "wicket") for s in SKILLS]
     schema = ", ".join([keys, *told, "expected_runs double", "expected_wicket double"])
-    shrink = lambda step, n: step[1] + (step[0] - step[1]) * math.exp(-n / step[2])
-
-    def step(state: dict, r) -> tuple:
-        m, x, y, v = (getattr(r, c) for c in (match, batter, bowler, venue))
-        if state.get("match") != m:
-            state["match"], state["session"] = m, [0.0, 0.0, 0]
-        books = state.setdefault("books", ({}, {}, {}))
-        # run skill, wicket skill, balls
-        held = [*(b.setdefault(k, [0.0, 0.0, 0]) for b, k in zip(books, (x, y, v))), state["session"]]
-        run, out = [h[0] for h in held], [h[1] for h in held]
-        s = rules.run_shares
-        expected = min(6.0, max(0.0, getattr(r, baseline) + s[0] * run[0] - s[1] * run[1] + s[2] * run[2] + s[3] * run[3]))
-        chance = min(0.5, max(0.001, wicket_rate + sum(out)))
-        by_runs, by_wicket = getattr(r, runs) - expected, float(getattr(r, wicket)) - chance
-        place = max(rules.venue_step[0] * rules.venue_step[1], rules.venue_step[0] * math.exp(-held[2][2] / rules.venue_step[2]))
-        session = shrink(rules.session_step, held[3][2])
-        for i, h in enumerate(held):
-            for d, (surprise, shares, own, bounds) in enumerate(((by_runs, s, rules.run_step, rules.run_bounds), (by_wicket, rules.wicket_shares, rules.wicket_step, rules.wicket_bounds))):
-                size = (shrink(own, h[2]), shrink(own, h[2]), place, session)[i]
-                sign = -1 if i == 1 and d == 0 else 1
-                h[d] = min(bounds[i], max(-bounds[i], h[d] * (1 - rules.decay[i]) + sign * size * surprise * shares[i]))
-        for h in held:
-            h[2] += 1
-        return getattr(r, pool), m, x, y, v, *run, *out, expected, chance
-
-    return _scan(balls, pool, order, dict, step, schema)
+    shrink = lambda step, n: step[1] + (step[0] - step[1]) * np.exp(-n / step[2])
+    run_weigh = (np.array(rules.run_shares) * (1, -1, 1, 1))[:, None]
+    # state, row, skill: for runs and for wickets
+    shares = np.stack([run_weigh, np.array(rules.wicket_shares)[:, None]], axis=2)
+    high = np.stack([np.array(rules.run_bounds)[:, None], np.array(rules.wicket_bounds)[:, None]], axis=2)
+    stays = 1 - np.array(rules.decay)[:, None, None]
+
+    def play(skill, ids, bounds, behind, _, values):
+        scored, fell, base = values
+        size = np.empty((*ids.shape, 2))
+        for d, own in enumerate((rules.run_step, rules.wicket_step)):
+            size[:2, :, d] = shrink(own, behind[:2])
+        size[2] = np.maximum(rules.venue_step[0] * rules.venue_step[1], rules.venue_step[0] * np.exp(-behind[2] / rules.venue_step[2]))[:, None]
+        size[3] = shrink(rules.session_step, behind[3])[:, None]
+        size *= shares
+        seen, held, told = np.stack([scored, fell], axis=1), np.empty((*ids.shape, 2)), np.empty((len(base), 2))
+        for a, b in zip(bounds, bounds[1:]):
+            i = ids[:, a:b]
+            v = skill[i]
+            held[:, a:b] = v
+            e = told[a:b]
+            e[:, 0] = np.minimum(6.0, np.maximum(0.0, base[a:b] + np.add.reduce(v[:, :, 0] * run_weigh, axis=0)))
+            e[:, 1] = np.minimum(0.5, np.maximum(0.001, wicket_rate + np.add.reduce(v[:, :, 1], axis=0)))
+            v *= stays
+            v += size[:, a:b] * (seen[a:b] - e)
+            skill[i] = np.minimum(np.maximum(v, -high, out=v), high, out=v)
+        return *held[:, :, 0], *held[:, :, 1], told[:, 0], told[:, 1]
+
+    balls = _typed(balls, match, batter, bowler, venue)
+    return level_scan(balls, pool, order, [batter, bowler, venue], [runs, wicket, baseline], play, schema, np.zeros(2), match, kept=(pool, match, batter, bowler, venue))
 
 
 def wicket_rate(balls: DataFrame, wicket: Column) -> float:
