@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchline.operators import graph, network, rosters, rounds, skills, windows
+from pitchline.session import cut
 from pitchline.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -149,7 +150,8 @@ SELECT match, team, count(*) AS players, count(rating) AS known, round(avg(coale
 def q_roster_rating(spark: SparkSession, d: str) -> DataFrame:
     """Before each order, the mean level of the eleven parts a supplier has delivered most in its last twelve."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity").join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = cut(rows.drop("o_orderkey"))  # read three times
     sides = rows.select(F.col("l_orderkey").alias("match"), F.col("l_suppkey").alias("team"), F.col("o_orderdate").alias("day"), F.col("l_partkey").alias("player"))
     series = rows.groupBy(F.col("l_partkey").alias("player"), F.col("o_orderdate").alias("day")).agg(F.avg("l_quantity").alias("rating"))
-    out = rosters.roster_ratings(rosters.likely_rosters(sides, sides, n=12), series, start=25.0)
+    out = rosters.rated_rosters(sides, sides, series, n=12, start=25.0)
     return out.withColumn("roster_rating", F.round("roster_rating", 6))

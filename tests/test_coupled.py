@@ -240,3 +240,19 @@ def test_series_of_a_hot_key(spark, monkeypatch, parts, bound):
         for x in mine:
             level = min(6.0, max(-5.0, 0.9 * level + x - 4))
         assert bounded[k][0] == len(mine) and near(bounded[k][1], level)
+
+
+def test_rated_rosters_equal_rosters_then_ratings(spark):
+    """Repeated days, players without ratings, ratings that are null, long gaps, matches without players."""
+    from pitchline.operators import rosters
+
+    rng = random.Random(21)
+    matches = [(m, t, d) for m in range(160) for d in [rng.choice((m // 3, m // 3 * 40))] for t in rng.sample(range(5), 2)]
+    played = [(m, t, p) for m, t, _ in matches if rng.random() < 0.9 for p in rng.sample(range(30), rng.randrange(1, 7))]
+    series = [(p, d, rng.choice([None, 1400.0 + rng.random()])) for p in range(25) for d in rng.sample(range(2200), 40)]
+    frames = spark.createDataFrame(matches, "match int, team int, day int"), spark.createDataFrame(played, "match int, team int, player int"), spark.createDataFrame(series, "player int, day int, rating double")
+    for n, size in ((1, 11), (4, 5), (12, 3)):
+        want = rosters.roster_ratings(rosters.likely_rosters(*frames[:2], n, size), frames[2], 50.0).collect()
+        got = rosters.rated_rosters(*frames, n, size, 50.0).collect()
+        rounded = lambda rows: sorted((r.match, r.team, r.players, r.known, round(r.roster_rating, 9)) for r in rows)
+        assert rounded(got) == rounded(want) and want
