@@ -59,15 +59,25 @@ def neighbour_snapshots(facts: DataFrame, a: str, b: str, period: Column, alpha:
     is the mean of how many each of them has met so far, and ``score`` blends
     the two by ``alpha``.  A meeting brings its opponent's degree of that
     period, and later growth of an opponent comes along its first meetings as
-    a change: sums of changes replace a recount for each snapshot, and a
-    change is combined over the opponents of an entity before it is shuffled.
+    a change: sums of changes replace a recount for each snapshot.  What is
+    shuffled is a row for each meeting with its opponent's later changes in two
+    arrays, not a row for each of them; they are laid out where they are summed.
     """
     first = cut(facts.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.min(period).alias("t")).where("t is not null"))
-    grown = first.groupBy("b", F.col("t").alias("_at")).agg(F.count("*").alias("_by"))
+    # periods by number, which is short: they are few, as many as there are changes of one opponent at most
+    periods = first.select("t").distinct().agg(F.array_sort(F.collect_list("t")).alias("_periods"))
+    numbers = periods.select(F.posexplode("_periods").alias("_at", "t"))
+    first = first.join(F.broadcast(numbers), "t").select("a", "b", "_at")
+    grown = first.groupBy("b", F.col("_at").alias("_g")).agg(F.count("*").cast("int").alias("_by")).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("_g", "_by"))).alias("_x"))
+    grown = grown.select("b", F.col("_x._g").alias("_g"), F.col("_x._by").alias("_by"))
     # at its meeting an opponent has its degree so far, and each later change comes alone
-    grown = grown.withColumn("_upto", F.sum("_by").over(Window.partitionBy("b").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    along = first.join(grown, (first["b"] == grown["b"]) & (F.col("_at") >= F.col("t")))
-    along = along.groupBy("a", F.col("_at").alias("period")).agg(F.sum(F.when(F.col("_at") == F.col("t"), F.col("_upto")).otherwise(F.col("_by"))).alias("_s"), F.sum((F.col("_at") == F.col("t")).cast("long")).alias("_n"))
-    w = Window.partitionBy("a").orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    k = F.array_position("_g", F.col("_at")).cast("int")
+    along = first.join(grown, "b").withColumn("_k", k)
+    upto = F.aggregate(F.slice("_by", 1, F.col("_k")), F.lit(0), lambda x, y: x + y)
+    along = along.select("a", "_at", F.slice("_g", F.col("_k"), F.size("_g")).alias("_g"), F.concat(F.array(upto), F.slice("_by", F.col("_k") + 1, F.size("_by"))).alias("_by"))
+    along = along.repartition("a").select("a", "_at", F.explode(F.arrays_zip("_g", "_by")).alias("x"))
+    along = along.groupBy("a", F.col("x._g").alias("_g")).agg(F.sum("x._by").alias("_s"), F.sum((F.col("x._g") == F.col("_at")).cast("long")).alias("_n"))
+    along = along.join(F.broadcast(numbers.select(F.col("_at").alias("_g"), F.col("t").alias("period"))), "_g")
+    w = Window.partitionBy("a").orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = along.select("a", "period", F.sum("_n").over(w).alias("degree"), (F.sum("_s").over(w) / F.sum("_n").over(w)).alias("opponents_degree"))
     return out.withColumn("score", (1 - alpha) * F.col("degree") + alpha * F.col("opponents_degree"))
