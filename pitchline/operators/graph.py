@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchline.session import cut, discard
+from pitchline.session import bounded_tasks, cut, discard
 
 
 def edges(facts: DataFrame, a: str, b: str, weight: str) -> DataFrame:
@@ -99,11 +99,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     the larger neighbours, then over the smaller ones; stars are stable, and
     O(log^2 n) rounds reach them.  Minima are aggregated before the join back,
     so that a hub with many neighbours is combined on the map side and the
-    join can be split.  Loops, repeated and reversed edges are harmless; edges
+    join can be split.  Tasks are bounded by rows: more edges are more tasks,
+    not larger ones.  Loops, repeated and reversed edges are harmless; edges
     with a null end are ignored; an empty table gives no rows.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("_a"), F.col(b).alias("_b"))
-    now = cut(edges.where("_a is not null and _b is not null and u > v").select("u", "v").distinct())
+    spark = edges.sparkSession
+    with bounded_tasks(spark):
+        now = cut(edges.where("_a is not null and _b is not null and u > v").select("u", "v"))  # the first round drops what repeats
     seen = None
     while True:
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -115,10 +118,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        after = cut(small.select("e.u", "e.v").where("u > v").distinct())
+        with bounded_tasks(spark, 2 * state[0]):
+            after = cut(small.select("e.u", "e.v").where("u > v").distinct())
         discard(now)
         now = after
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    out = cut(stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    with bounded_tasks(spark, state[0]):
+        out = cut(stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
     discard(now)
     return out

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +72,27 @@ def setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
+#: Rows of a task that holds its rows, and how many bytes of short rows, as shuffled or in files, are about as many.
+TASK_ROWS, TASK_BYTES = 1 << 20, 8 << 20
+
+
+@contextmanager
+def bounded_tasks(spark: SparkSession, rows: int = 0):
+    """Within this block a task that sorts or hashes short rows gets about ``TASK_ROWS`` of them.
+
+    Spark joins partitions up to a size in bytes, and short rows are shuffled
+    and stored so small that many millions of them would meet in one task.
+    ``rows`` is how many the largest shuffle has, where that is known.
+    """
+    size = lambda key: int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+    bounds = {key: str(min(size(key), most)) for key, most in (("spark.sql.files.maxPartitionBytes", 2 * TASK_BYTES), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES))}
+    bounds["spark.sql.shuffle.partitions"] = str(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)))
+    with ExitStack() as held:
+        for key, value in bounds.items():
+            held.enter_context(setting(spark, key, value))
+        yield
+
+
 def cut(df: DataFrame, partitioned_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once below the shared folder and return a scan of it.
 

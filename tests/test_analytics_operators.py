@@ -58,6 +58,28 @@ def test_components(spark):
     assert graph.connected_components(e.where("a < 0")).count() == 0
 
 
+def test_components_of_more_edges_are_more_tasks(spark, monkeypatch):
+    from pitchline import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 2000)
+    monkeypatch.setattr(session, "TASK_BYTES", 1 << 14)
+    most = []  # rows of a task that wrote
+
+    def cut(df):
+        out = session.cut(df)
+        most.append(out.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(graph, "cut", cut)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    e = spark.range(20000).select(F.col("id").alias("a"), (-1 - F.col("id") % 4000).alias("b"))
+    with session.setting(spark, "spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k"):
+        out = graph.connected_components(e)
+    assert out.count() == 24000 and out.where("component != -1 - pmod(if(node < 0, -1 - node, node), 4000)").count() == 0
+    assert max(most[1:-1]) < 4000  # the first and the last cut shuffle nothing
+    assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
+
+
 def test_three_way_ratings(spark):
     balls = spark.createDataFrame([("x", 1, i, 10, 20, 5, 6.0) for i in range(3)] + [("y", 2, 0, 10, 20, 5, 0.0)], "league string, m long, i long, bat long, bowl long, v long, runs double")
     rows = ratings.three_way_scan(balls, "league", ["m", "i"], "m", "bat", "bowl", "v", "runs").collect()
