@@ -34,11 +34,11 @@ class Layout:
 
 def parsed(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``doc``, the document as a variant, and ``reason``: why there is none, else null."""
-    v = F.try_parse_json(F.col(text))
-    shape = F.schema_of_variant(v)
-    whole = shape.startswith("OBJECT")
+    rows = df.withColumn("_v", F.try_parse_json(F.col(text)))
+    v = F.col("_v")
+    whole = F.ltrim(F.col(text), F.lit(" \t\r\n")).startswith("{")  # of valid JSON the first character tells
     reason = F.when(F.col(text).isNull(), "no text").when(v.isNull(), "not JSON").when(~whole, "not an object")
-    return df.withColumns({"doc": F.when(whole, v), "reason": reason})
+    return rows.withColumns({"doc": F.when(whole, v), "reason": reason}).drop("_v")
 
 
 def versions(docs: DataFrame) -> DataFrame:
@@ -65,6 +65,19 @@ def _present(v: Column, paths: tuple[str, ...]) -> Column:
     return out
 
 
+def _fault(at: Column, name: str, f: Field) -> Column:
+    """What is wrong with the column ``name``, read from ``at`` before, else null."""
+    lost = F.col(f"_{name}").isNull()
+    odd = F.when(lost & _present(at, f.paths), f"{name} is not {f.kind}")
+    return F.coalesce(odd, F.when(lost, f"no {name}")) if f.required else odd
+
+
+def _with_fields(rows: DataFrame, at: str, fields: dict[str, Field]) -> DataFrame:
+    """``rows`` with ``_<name>`` and ``_fault_<name>`` of each field; a value is read once, and asked for its fault then."""
+    rows = rows.withColumns({f"_{name}": _first(F.col(at), f.paths, f.kind) for name, f in fields.items()})
+    return rows.withColumns({f"_fault_{name}": _fault(F.col(at), name, f) for name, f in fields.items()}).drop(at)
+
+
 def extracted(docs: DataFrame, layout: Layout, keys: list[str]) -> DataFrame:
     """``keys, place``, the columns of ``layout`` and ``reason``: a row for each row of each document.
 
@@ -75,24 +88,23 @@ def extracted(docs: DataFrame, layout: Layout, keys: list[str]) -> DataFrame:
     that has something other than an array where rows should be, gives one row
     without place that carries the reason; one without that path has no rows.
     """
+    shared = {name: f for name, f in layout.fields.items() if f.of_document}
+    own = {name: f for name, f in layout.fields.items() if not f.of_document}
     if layout.rows:
-        rows = _first(F.col("doc"), layout.rows, "array<variant>")
-        odd = F.coalesce("reason", F.when(rows.isNull() & _present(F.col("doc"), layout.rows), "rows are not an array"))
-        held = docs.select(*keys, "doc", odd.alias("reason"), rows.alias("_rows"))
-        whole = held.where("reason is null").select(*keys, "doc", "reason", F.posexplode("_rows").alias("place", "_row"))
+        docs = docs.withColumn("_rows", _first(F.col("doc"), layout.rows, "array<variant>"))
+        odd = F.when(F.col("_rows").isNull() & _present(F.col("doc"), layout.rows), "rows are not an array")
+        docs = docs.withColumn("reason", F.coalesce("reason", odd))
     else:
-        held = docs.select(*keys, "doc", "reason")
-        whole = held.where("reason is null").select(*keys, "doc", "reason", F.lit(0).alias("place"), F.col("doc").alias("_row"))
-    lost = held.where("reason is not null").select(*keys, "doc", "reason", F.lit(None).cast("int").alias("place"), F.lit(None).cast("variant").alias("_row"))
-    every, reasons, columns = whole.unionByName(lost), [F.col("reason")], []
-    for name, f in layout.fields.items():
-        at = F.col("doc") if f.of_document else F.col("_row")
-        value = _first(at, f.paths, f.kind)
-        columns.append(value.alias(name))
-        reasons.append(F.when(F.col("place").isNotNull() & value.isNull() & _present(at, f.paths), f"{name} is not {f.kind}"))
-        if f.required:
-            reasons.append(F.when(F.col("place").isNotNull() & value.isNull(), f"no {name}"))
-    return every.select(*keys, "place", *columns, F.coalesce(*reasons).alias("reason"))
+        docs = docs.withColumn("_rows", F.array("doc"))
+    held = _with_fields(docs.select(*keys, "doc", "reason", "_rows"), "doc", shared)
+    lost = F.array(F.lit(None).cast("variant"))  # one row that carries the reason
+    held = held.withColumn("_rows", F.when(F.col("reason").isNull(), F.col("_rows")).otherwise(lost))
+    # outer, and empty ones dropped after: else Spark asks for rows before, by a filter that parses each document many times
+    rows = held.select(*(c for c in held.columns if c != "_rows"), F.posexplode_outer("_rows").alias("_at", "_row")).where("_at is not null")
+    rows, whole = _with_fields(rows, "_row", own), F.col("reason").isNull()
+    columns = [F.when(whole, F.col(f"_{name}")).alias(name) for name in layout.fields]
+    faults = [F.col(f"_fault_{name}") for name in layout.fields]
+    return rows.select(*keys, F.when(whole, F.col("_at")).alias("place"), *columns, F.coalesce("reason", *faults).alias("reason"))
 
 
 def good_and_aside(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

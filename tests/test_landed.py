@@ -34,3 +34,11 @@ def test_shapes_are_found_over_all_documents(spark):
     merged = merged_schema(docs)
     assert "matchId" in merged and "deliveries" in merged
     assert extracted(docs.where("false"), BALLS, ["file"]).count() == 0
+
+
+def test_documents_are_parsed_once(spark):
+    plan = extracted(_docs(spark), BALLS, ["file"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and "schemaOfVariant" not in plan
+    texts = [("space", ' \n\t{"balls": []}'), ("text", '" {"'), ("null", "null"), ("number", "3")]
+    docs = parsed(spark.createDataFrame(texts, "file string, text string"), "text")
+    assert {r.file: r.reason for r in docs.collect()} == {"space": None, "text": "not an object", "null": "not an object", "number": "not an object"}
