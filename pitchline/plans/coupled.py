@@ -84,11 +84,12 @@ def q_three_way_skill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Orders whose supplier is of the customer's nation: a graph of several components."""
+    """Edges of customers and the suppliers of their nation: a graph of several components."""
     t = lambda n: table(spark, d, n)
     rows = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.where("c_nationkey = s_nationkey").select(F.col("o_custkey").alias("cust"), F.col("l_suppkey").alias("supp"), F.lit(1).alias("one"))
+    rows = rows.where("c_nationkey = s_nationkey").select(F.col("o_custkey").alias("cust"), F.col("l_suppkey").alias("supp"), F.lit(1).alias("one"))
+    return cut(graph.edges(rows, "cust", "supp", "one"))  # ranks and components read them many times
 
 
 _ISLANDS = """
@@ -106,7 +107,7 @@ comp AS (SELECT node, min(label) AS component FROM reach GROUP BY node), size AS
 SELECT a, round(rank, 9) AS rank, size, round(normalized, 9) AS normalized FROM done""")
 def q_component_rank(spark: SparkSession, d: str) -> DataFrame:
     """Ranks of customers among suppliers of their nation, marked down by the size of their component."""
-    e = graph.edges(_neighbours(spark, d), "cust", "supp", "one")
+    e = _neighbours(spark, d)
     out = network.rank_by_component(graph.pagerank(e, 2), e)
     return out.select("a", F.round("rank", 9).alias("rank"), "size", F.round("normalized", 9).alias("normalized"))
 
@@ -117,7 +118,7 @@ l AS (SELECT c_nationkey, count(*) AS members, avg(pct) AS standing FROM pct JOI
 SELECT c_nationkey, members, round(standing, 6) AS standing, round(1400 + (greatest(0, least(100, standing)) - 50) * 6, 6) AS start, round(0.5 + 1 / (1 + exp(-0.08 * (standing - 50))), 6) AS factor FROM l""")
 def q_league_start(spark: SparkSession, d: str) -> DataFrame:
     """Where newcomers of each nation start and how much a win against it moves, by its members' percentiles."""
-    e = graph.edges(_neighbours(spark, d), "cust", "supp", "one")
+    e = _neighbours(spark, d)
     ranked = network.rank_by_component(graph.pagerank(e, 2), e).select("a", F.round("normalized", 9).alias("normalized"))
     pct = windows.average_rank_percent(ranked, "normalized", "pct").select(F.col("a").alias("c_custkey"), "pct")
     out = network.league_standing(table(spark, d, "customer").select("c_nationkey", "c_custkey"), "c_nationkey", "c_custkey", pct)

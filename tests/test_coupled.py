@@ -256,3 +256,18 @@ def test_rated_rosters_equal_rosters_then_ratings(spark):
         got = rosters.rated_rosters(*frames, n, size, 50.0).collect()
         rounded = lambda rows: sorted((r.match, r.team, r.players, r.known, round(r.roster_rating, 9)) for r in rows)
         assert rounded(got) == rounded(want) and want
+
+
+def test_meetings_are_joined_once_for_ranks_and_components(spark, tmp_path):
+    from pitchline.plans import coupled
+
+    for name, rows, schema in (
+        ("lineitem", [(1, 5), (1, 6), (2, 5), (2, 5)], "l_orderkey long, l_suppkey long"),
+        ("orders", [(1, 7), (2, 8)], "o_orderkey long, o_custkey long"),
+        ("customer", [(7, 0), (8, 0)], "c_custkey long, c_nationkey int"),
+        ("supplier", [(5, 0), (6, 1)], "s_suppkey long, s_nationkey int"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    e = coupled._neighbours(spark, str(tmp_path))
+    assert "Join" not in e._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.a, r.b, r.n) for r in e.collect()} == {(7, 5, 1), (8, 5, 2)}
