@@ -3,7 +3,8 @@
 One round adds a tree for each class along the softmax gradient.  Rows are
 binned once; a level of all classes' trees is one pass over the rows, in which
 each task sums gradients into a histogram by class, node, feature and bin, and
-one aggregate over these cells.  What reaches the driver is the histogram: its
+one aggregate over these cells.  Where many rows have the same bins and class
+they are one row with their number, which changes no sum.  What reaches the driver is the histogram: its
 size is classes x nodes x features x bins, whatever the rows.
 """
 
@@ -94,9 +95,10 @@ def _histogram(rows: DataFrame, tree: dict[str, list], level: int, classes: int,
             x = _read(b, "_b", features, np.int64)
             p = _shares(_read(b, "_f", classes, float))
             at = _walk(tree, x, level)
-            slope = np.rint(2 * p * (1 - p) / UNIT)
+            n = b.column("_n").to_numpy(zero_copy_only=False)[:, None]
+            slope = n * np.rint(2 * p * (1 - p) / UNIT)
             p[np.arange(len(p)), b.column("_y").to_numpy(zero_copy_only=False)] -= 1
-            grad = np.rint(p / UNIT)
+            grad = n * np.rint(p / UNIT)
             for k in range(classes):
                 for f in range(features):
                     cell = at[:, k] * bins + x[:, f]
@@ -155,16 +157,22 @@ def fit_softmax(df: DataFrame, features: list[str], label: str, classes: int, ro
     total = sum(counts.values())
     prior = [math.log(max(counts.get(k, 0), 1e-3) / max(total, 1)) for k in range(classes)]
     width = max((len(e) for e in edges), default=0) + 2
-    kinds = pa.schema([("_y", pa.int32()), ("_b", pa.list_(pa.int16())), ("_f", pa.list_(pa.float64()))])
+    kinds = pa.schema([("_y", pa.int32()), ("_b", pa.list_(pa.int16())), ("_n", pa.int64()), ("_f", pa.list_(pa.float64()))])
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _bins(list(_read(b, "_x", len(edges), float).T), edges)
-            yield pa.RecordBatch.from_arrays([b.column("_y"), _lists(x), _lists(np.tile(prior, (len(x), 1)))], schema=kinds)
+            yield pa.RecordBatch.from_arrays([b.column("_y"), _lists(x)], names=["_y", "_b"])
 
-    schema = "_y int, _b array<short>, _f array<double>"
-    held, trees = cut(raw.mapInArrow(binned, schema)), []
+    schema = "_y int, _b array<short>, _n long, _f array<double>"
+    placed = cut(raw.mapInArrow(binned, "_y int, _b array<short>"))
     discard(raw)
+    if total and placed.agg(F.approx_count_distinct(F.xxhash64("_y", "_b"))).first()[0] < total / 2:
+        counted = spread(placed.groupBy("_y", "_b").agg(F.count("*").alias("_n")))
+    else:
+        counted = placed.withColumn("_n", F.lit(1).cast("long"))
+    held, trees = cut(counted.withColumn("_f", F.array(*(F.lit(p) for p in prior)))), []
+    discard(placed)
     for _ in range(rounds if total else 0):
         inner = 2**depth - 1
         tree = {"feature": np.full((classes, inner), -1), "upto": np.zeros((classes, inner), dtype=int), "missing": np.zeros((classes, inner), dtype=int)}
@@ -180,7 +188,7 @@ def fit_softmax(df: DataFrame, features: list[str], label: str, classes: int, ro
         def moved(batches: Iterator[pa.RecordBatch], tree=tree) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 scores = _read(b, "_f", classes, float) + _added(tree, _read(b, "_b", len(edges), np.int64), depth)
-                yield pa.RecordBatch.from_arrays([b.column("_y"), b.column("_b"), _lists(scores)], schema=kinds)
+                yield pa.RecordBatch.from_arrays([b.column("_y"), b.column("_b"), b.column("_n"), _lists(scores)], schema=kinds)
 
         if len(trees) < rounds:
             before, held = held, cut(held.mapInArrow(moved, schema))

@@ -202,3 +202,21 @@ def test_additive_model_finds_a_planted_curve(spark):
     new = additive.score_additive(model, spark.createDataFrame([(None, float("nan"), 77), (0.25, 0.5, None)], "a double, b double, v int"), "v").collect()
     assert abs(new[0].expected - model.level) < 1e-9 and abs(new[1].expected - model.level - 1) < 0.5
     assert model.effects.agg({"weight": "sum"}).first()[0] == 3000
+
+
+def test_equal_rows_are_fitted_as_one(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    sizes, plain = [], trees._histogram
+
+    def seen(rows, *a):
+        sizes.append((rows.count(), rows.agg(F.sum("_n")).first()[0]))
+        return plain(rows, *a)
+
+    monkeypatch.setattr(trees, "_histogram", seen)
+    rows = spark.range(600).select((F.col("id") % 6).cast("double").alias("x"), (F.col("id") % 3).cast("int").alias("k"))
+    fit = lambda d: trees.fit_softmax(d, ["x"], "k", 3, rounds=2, depth=2, edges=[[0.5, 1.5, 2.5, 3.5, 4.5]])
+    model = fit(rows)
+    assert sizes == [(6, 600)] * 4
+    monkeypatch.setattr(trees.F, "approx_count_distinct", lambda c: F.lit(10**9))
+    assert fit(rows) == model and sizes[4:] == [(600, 600)] * 4
