@@ -16,11 +16,15 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchline.session import cut, discard, spread
 
+#: Sums of so many venues and folds a task holds before it gives them out.
+HELD = 1 << 17
+
 #: Smoothing penalties tried where the caller names none.
 PENALTIES = tuple(10.0**i for i in range(-3, 6))
 
@@ -61,13 +65,14 @@ def _basis(x: np.ndarray, low: float, high: float, parts: int) -> np.ndarray:
 
 def curve_value(c: Curve) -> Column:
     """What the curve adds at a row, 0 on average; 0 where the column is null or not a number."""
-    x = F.col(c.column).cast("double")
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - F.lit(c.low)) / F.lit(c.high - c.low or 1.0))) * c.parts
-    j = F.least(F.floor(t), F.lit(c.parts - 1)).cast("int")
-    u, held = t - j, F.array(*(F.lit(float(w)) for w in c.weights))
-    splines = ((1 - u) * (1 - u) * (1 - u), 3 * u * u * u - 6 * u * u + 4, -3 * u * u * u + 3 * u * u + 3 * u + 1, u * u * u)
-    value = sum((F.get(held, j + i) * s for i, s in enumerate(splines)), F.lit(0.0)) / 6 - F.lit(float(np.dot(c.weights, c.means)))
-    return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(value)
+    mean = float(np.dot(c.weights, c.means))
+
+    @F.pandas_udf("double")
+    def value(x: pd.Series) -> pd.Series:
+        x = x.to_numpy(dtype=float)
+        return pd.Series(np.where(np.isnan(x), 0.0, _basis(x, c.low, c.high, c.parts) @ np.asarray(c.weights) - mean))
+
+    return value(F.col(c.column).cast("double"))
 
 
 def _total(parts: DataFrame, by: list[str]) -> DataFrame:
@@ -110,18 +115,18 @@ def fit_additive(df: DataFrame, columns: dict[str, int], label: str, venue: str
     ends = np.cumsum([1] + [p + 3 for *_, p in spans])
     size = int(ends[-1]) + 1  # level, splines, label
 
-    def raw(b: pd.DataFrame) -> list[np.ndarray]:
-        x = np.stack(b["_x"].to_numpy()).astype(float)
+    def raw(b: pa.RecordBatch) -> list[np.ndarray]:
+        x = b.column("_x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(spans))
         return [_basis(x[:, j], *s) for j, s in enumerate(spans)]
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(size)
         for b in batches:
-            if len(b):
+            if b.num_rows:
                 sums[1:-1] += np.concatenate([r.sum(axis=0) for r in raw(b)])
-        yield pd.DataFrame({"k": [0], "s": [sums.tolist()]})
+        yield pa.RecordBatch.from_pydict({"k": pa.array([0], pa.int32()), "s": [sums.tolist()]})
 
-    sums = _arrays(_total(held.mapInPandas(counted, "k int, s array<double>"), ["k"]), "k", size).get(0, np.zeros(size))
+    sums = _arrays(_total(held.mapInArrow(counted, "k int, s array<double>"), ["k"]), "k", size).get(0, np.zeros(size))
     # the splines of a row add up to 1, so their sum over a curve is its number of rows
     means = [sums[a:b] / (sums[a:b].sum() or 1.0) for a, b in zip(ends, ends[1:])]
 
@@ -135,31 +140,46 @@ def fit_additive(df: DataFrame, columns: dict[str, int], label: str, venue: str
     def equations(beta: np.ndarray | None, effects: DataFrame | None) -> DataFrame:
         """``venue, fold, s``: sums of a venue; with fold + ``folds``, the matrix of a fold."""
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def given(place: dict[str | None, int], sums: np.ndarray) -> pa.RecordBatch:
+            kept = np.flatnonzero(sums[: len(place) * folds].any(axis=1))
+            values = pa.array(sums[kept].ravel())
+            lists = pa.ListArray.from_arrays(np.arange(len(kept) + 1, dtype=np.int32) * size, values)
+            return pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()).take(pa.array(kept // folds)), pa.array(kept % folds, pa.int32()), lists], names=["venue", "fold", "s"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = np.zeros((folds, size, size))
+            place, sums = {}, np.zeros((0, size))  # of each venue its number, and a row for each of its folds
             for b in batches:
-                if not len(b):
+                if not b.num_rows:
                     continue
-                y, k = b["_y"].to_numpy(), b["_k"].to_numpy()
-                a = np.concatenate([np.ones((len(b), 1)), *((r - m) * (r.sum(axis=1, keepdims=True) > 0.5) for r, m in zip(raw(b), means)), y[:, None]], axis=1)
-                w = np.ones(len(b))
+                y, k = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_k"))
+                a = np.concatenate([np.ones((len(y), 1)), *((r - m) * (r.sum(axis=1, keepdims=True) > 0.5) for r, m in zip(raw(b), means)), y[:, None]], axis=1)
+                w = np.ones(len(y))
                 if logistic:
-                    e = np.log((y + 0.5) / (1.5 - y)) if beta is None else a[:, :-1] @ beta + b["_e"].to_numpy()
+                    e = np.log((y + 0.5) / (1.5 - y)) if beta is None else a[:, :-1] @ beta + b.column("_e").to_numpy(zero_copy_only=False)
                     p = 1 / (1 + np.exp(-np.clip(e, -30, 30)))
                     w = np.maximum(p * (1 - p), 1e-9)
                     a[:, -1] = e + (y - p) / w
                 for f in range(folds):
                     mine = k == f
                     whole[f] += a[mine].T @ (a[mine] * w[mine, None])
-                code, seen = pd.factorize(pd.MultiIndex.from_arrays([b["_v"].fillna("").where(b["_v"].isna(), "=" + b["_v"].fillna("")), k]))
+                v = b.column("_v").dictionary_encode(null_encoding="encode")
+                number = np.array([place.setdefault(x, len(place)) for x in v.dictionary.to_pylist()])
+                if len(place) * folds > len(sums):
+                    sums = np.concatenate([sums, np.zeros((max(len(place) * folds, 2 * len(sums)) - len(sums), size))])
+                code = number[v.indices.to_numpy(zero_copy_only=False)] * folds + k
                 order = np.argsort(code, kind="stable")
                 first = np.flatnonzero(np.diff(code[order], prepend=-1))
-                part = np.add.reduceat((a * w[:, None])[order], first, axis=0)
-                yield pd.DataFrame({"venue": [v[1:] if v else None for v, _ in seen], "fold": [int(f) for _, f in seen], "s": part.tolist()})
-            yield pd.DataFrame({"venue": [None] * folds, "fold": range(folds, 2 * folds), "s": whole.reshape(folds, -1).tolist()})
+                sums[code[order][first]] += np.add.reduceat((a * w[:, None])[order], first, axis=0)
+                if len(place) * folds > HELD:
+                    yield given(place, sums)
+                    place, sums = {}, np.zeros((0, size))
+            if place:
+                yield given(place, sums)
+            yield pa.RecordBatch.from_pydict({"venue": pa.array([None] * folds, pa.string()), "fold": pa.array(range(folds, 2 * folds), pa.int32()), "s": whole.reshape(folds, -1).tolist()})
 
         rows = held if effects is None else held.join(effects.select(F.col("venue").alias("_j"), F.col("effect").alias("_e")), F.col("_v").eqNullSafe(F.col("_j")), "left").withColumn("_e", F.coalesce("_e", F.lit(0.0)))
-        return cut(rows.mapInPandas(run, "venue string, fold int, s array<double>"))
+        return cut(rows.mapInArrow(run, "venue string, fold int, s array<double>"))
 
     def by_venue(parts: DataFrame) -> DataFrame:
         """``venue, every, f0, f1, ...``: the sums of a venue, whole and by fold."""

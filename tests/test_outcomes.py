@@ -220,3 +220,28 @@ def test_equal_rows_are_fitted_as_one(spark, monkeypatch):
     assert sizes == [(6, 600)] * 4
     monkeypatch.setattr(trees.F, "approx_count_distinct", lambda c: F.lit(10**9))
     assert fit(rows) == model and sizes[4:] == [(600, 600)] * 4
+
+
+def test_a_task_sums_a_venue_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    sizes, plain = [], additive.cut
+
+    def seen(df):
+        out = plain(df)
+        if "venue" in out.columns and "fold" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(additive, "cut", seen)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    rows = spark.range(0, 2000, 1, 4).select(F.col("id"), (F.col("id") % 3).alias("v"), (F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    try:
+        model = additive.fit_additive(rows, {"x": 3}, "y", "v", group="id")
+        assert sizes[0] <= 4 * (3 * 4 + 4)  # four tasks, three venues, four folds and their matrices; not again for each batch
+        monkeypatch.setattr(additive, "HELD", 1)
+        again = additive.fit_additive(rows, {"x": 3}, "y", "v", group="id")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sizes[1] > sizes[0] and np.allclose(again.curves[0].weights, model.curves[0].weights)
