@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,26 +23,38 @@ from pitchline.streaming.ingest import files
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: A waiting row in a packed part, and of how many rows a part is at most.
+WAITING, PART_ROWS = np.dtype([("at", "<i8"), ("tie", "<i8"), ("value", "<f8")]), 1 << 15
+
+
 class _InOrder(StatefulProcessor):
-    """Waiting rows by time and tie-break in a map; in a value the key's fold and its one timer, at the earliest waiting time."""
+    """Waiting rows in a list, packed: a call of the state takes a batch of rows, not one; in a value the key's
+    fold and its one timer, at the earliest waiting time."""
 
     def __init__(self, start: float, step: Callable[[float, int, float], float]):
         self.start, self.step = start, step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, tie long", "value double")
+        self.waiting = handle.getListState("waiting_parts", "part binary")
         self.fold = handle.getValueState("fold", "n long, level double, due long")
 
     def _held(self) -> tuple[int, float, int | None]:
         return tuple(self.fold.get()) if self.fold.exists() else (0, self.start, None)
 
+    @staticmethod
+    def _parts(rows: np.ndarray) -> list[tuple[bytes]]:
+        return [(rows[i : i + PART_ROWS].tobytes(),) for i in range(0, len(rows), PART_ROWS)]
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for b in rows:
-            for _, _, tie, value, at in b.itertuples(index=False):  # by place: versions differ in what they call the columns
-                self.waiting.updateValue((int(at), int(tie)), (float(value),))
-                first = int(at) if first is None else min(first, int(at))
+            if len(b):
+                new = np.empty(len(b), WAITING)
+                new["tie"], new["value"], new["at"] = (b.iloc[:, i].to_numpy() for i in (2, 3, 4))  # by place: versions differ in what they call the columns
+                self.waiting.appendList(self._parts(new))
+                least = int(new["at"].min())
+                first = least if first is None else min(first, least)
         n, level, due = self._held()
         if first is not None and (due is None or first < due):
             if due is not None:
@@ -52,24 +65,26 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs()
-        ready, later = [], None
-        for (at, tie), (value,) in self.waiting.iterator():
-            if at <= upto:
-                ready.append((at, tie, value))
-            else:
-                later = at if later is None else min(later, at)
+        parts = [np.frombuffer(part, WAITING) for (part,) in self.waiting.get()]
+        rows = np.concatenate(parts) if parts else np.empty(0, WAITING)
+        rows = rows[np.lexsort((rows["tie"], rows["at"]))]  # stable: of equal ones the last to come is last
+        if len(rows):
+            rows = rows[np.append((rows["at"][1:] != rows["at"][:-1]) | (rows["tie"][1:] != rows["tie"][:-1]), True)]
+        ends = int(np.searchsorted(rows["at"], upto, side="right"))
+        ready, later = rows[:ends], rows[ends:]
         n, level, _ = self._held()
-        out = []
-        for at, tie, value in sorted(ready):
-            before, level = level, self.step(level, n, value)
-            n += 1
-            out.append((key[0], at, tie, n, before, level))
-            self.waiting.removeKey((at, tie))
-        if later is not None:
-            self.handle.registerTimer(later)
-        self.fold.update((n, level, later))
-        if out:
-            yield pd.DataFrame(out, columns=["_key", "_ms", "_tie", "n", "before", "after"])
+        levels = [level]
+        for i, value in enumerate(ready["value"].tolist()):
+            levels.append(self.step(levels[-1], n + i, value))
+        due = int(later["at"][0]) if len(later) else None
+        if due is None:
+            self.waiting.clear()
+        else:
+            self.waiting.put(self._parts(later))
+            self.handle.registerTimer(due)
+        self.fold.update((n + len(ready), levels[-1], due))
+        if len(ready):
+            yield pd.DataFrame({"_key": [key[0]] * len(ready), "_ms": ready["at"], "_tie": ready["tie"], "n": np.arange(n + 1, n + 1 + len(ready)), "before": levels[:-1], "after": levels[1:]})
 
     def close(self) -> None:
         pass

@@ -41,3 +41,45 @@ def test_files_in_any_order_give_the_ordered_pass(spark, tmp_path, per_batch):
     want = _loop(rows, began + timedelta(days=7))
     assert got.keys() == want.keys()
     assert all(g[0] == w[0] and math.isclose(g[1], w[1]) and math.isclose(g[2], w[2]) for g, w in ((got[k], want[k]) for k in got))
+
+
+def test_state_is_asked_by_batch_not_by_row(monkeypatch):
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def __getattr__(self, name):
+            def call(*x):
+                calls.append(name)
+                if name == "appendList":
+                    self.held += x[0]
+                elif name in ("put", "clear"):
+                    self.held = list(x[0]) if x else []
+                elif name == "update":
+                    self.held = x[0]
+                elif name == "exists":
+                    return bool(self.held)
+                elif name == "get":
+                    return self.held
+
+            return call
+
+    class Handle:
+        getMapState = getListState = getValueState = lambda self, *a: State()
+        registerTimer = deleteTimer = lambda self, at: None
+
+    class Watermark:
+        getCurrentWatermarkInMs = lambda self: 700
+
+    monkeypatch.setattr(ordered, "PART_ROWS", 64, raising=False)
+    p = ordered._InOrder(0.0, lambda level, n, value: level + value)
+    p.init(Handle())
+    batch = pd.DataFrame({"_key": 1, "_at": 0, "_tie": range(1000), "_value": 1.0, "_ms": range(999, -1, -1)})
+    list(p.handleInputRows((1,), iter([batch, batch.assign(_value=2.0)]), None))
+    out = pd.concat(p.handleExpiredTimer((1,), Watermark(), None))
+    assert len(calls) < 12
+    assert out["_ms"].tolist() == list(range(701)) and out["n"].tolist() == list(range(1, 702)) and out["after"].iloc[-1] == 2.0 * 701
