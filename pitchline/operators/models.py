@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchline.session import bounded_tasks
+
 
 def fold_of(group: Column, folds: int, seed: int = 0) -> Column:
     """The fold of a row: all rows of a group share it, whatever the partitions."""
@@ -83,12 +85,14 @@ def load(path: str) -> PipelineModel:
 def fit_boosted(df: DataFrame, features: list[str], label: str, classes: int, rounds: int = 10, depth: int = 4, step: float = 0.2, seed: int = 7) -> list[PipelineModel]:
     """Boosted trees for ``classes`` integer labels: one model of each class against the rest.
 
-    Rows with a null feature or label are skipped.
+    Rows with a null feature or label are skipped.  The fit holds its rows in
+    memory and reads them anew for each tree, so it takes them in small parts.
     """
     rows = df.select(*features, F.col(label).alias("_y")).where(F.col("_y").isNotNull())
     gather = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
     trees = lambda k: GBTClassifier(featuresCol="_features", labelCol=f"_is_{k}", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).setProbabilityCol("_p").setRawPredictionCol("_raw").setPredictionCol("_said")
-    return [Pipeline(stages=[gather, trees(k)]).fit(rows.withColumn(f"_is_{k}", (F.col("_y") == k).cast("double"))) for k in range(classes)]
+    with bounded_tasks(df.sparkSession):
+        return [Pipeline(stages=[gather, trees(k)]).fit(rows.withColumn(f"_is_{k}", (F.col("_y") == k).cast("double"))) for k in range(classes)]
 
 
 def score_boosted(models: list[PipelineModel], df: DataFrame, name: str = "p") -> DataFrame:

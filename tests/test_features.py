@@ -168,3 +168,21 @@ def test_chases_know_how_they_end(spark):
     balls = spark.createDataFrame([(m, i, n, r, 0) for m, rs in ((1, ((3, 3), (4, 4))), (2, ((6, 6), (1, 1)))) for i, x in enumerate(rs, 1) for n, r in enumerate(x)], "m long, i long, n long, r long, w long")
     out = innings.chase_rows(balls, "m", "i", ["n"], "r", "w", 2).collect()
     assert sorted((r.m, r.n, r.won) for r in out) == [(1, 0, 1), (1, 1, 1), (2, 0, 0), (2, 1, 0)] and all(r.run_rate is not None for r in out)
+
+
+def test_boosted_fits_take_rows_in_small_parts(spark, tmp_path, monkeypatch):
+    from pitchline import session
+
+    class Seen:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, df):
+            return df.rdd.getNumPartitions()
+
+    rows = spark.range(0, 20000, 1, 1).select(F.col("id").cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("k"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    monkeypatch.setattr(models, "Pipeline", Seen)
+    monkeypatch.setattr(session, "TASK_BYTES", 1 << 12)
+    before = spark.read.parquet(f"{tmp_path}/rows").rdd.getNumPartitions()
+    assert min(models.fit_boosted(spark.read.parquet(f"{tmp_path}/rows"), ["a"], "k", 2)) > 4 * before
